@@ -42,6 +42,12 @@ def op4_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_group_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import suffix_duplicates
+
+    return suffix_duplicates(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import fingerprints
 
