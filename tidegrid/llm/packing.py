@@ -21,6 +21,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -164,7 +165,8 @@ class WordEncoder:
     the ids of its words in a row. Whether that holds is tested on texts of each worker.
     """
 
-    limit = 1_000_000
+    #: Words that are kept: so many, and up to so many characters, as longer ones seldom recur.
+    limit, longest = 1_200_000, 11
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -215,12 +217,19 @@ class WordEncoder:
         if len(self.known) > self.limit:
             self.known = {"": b""}
         cut = [t.replace("\n", " ").split(" ") for t in texts]
-        missing = {w: self._parts(w) for w in set().union(*cut).difference(self.known)} if cut else {}
-        parts = list({p for ps in missing.values() for p in ps}.difference(self.known))
-        self.known.update(self._encode_words(parts))
-        for w, ps in missing.items():
-            self.known[w] = b"".join([self.known[p] for p in ps])
-        out = [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        words = list(chain.from_iterable(cut))
+        found = list(map(self.known.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        new = {w: self._parts(w) for w in {words[i] for i in missing}}
+        parts = {p for ps in new.values() for p in ps}
+        ids = {p: self.known[p] for p in parts & self.known.keys()}
+        ids.update(self._encode_words(list(parts.difference(ids))))
+        learned = {w: b"".join([ids[p] for p in ps]) for w, ps in new.items()}
+        self.known.update((w, x) for w, x in learned.items() if len(w) <= self.longest)
+        for i in missing:
+            found[i] = learned[words[i]]
+        ends = np.cumsum([len(c) for c in cut]).tolist()
+        out = [b"".join(found[b - len(c) : b]) for c, b in zip(cut, ends, strict=True)]
         if self.tested < 16 and texts:
             few = [i for i in range(len(texts)) if len(texts[i]) < 20_000][:4]
             if [out[i] for i in few] != list(self._encode([texts[i] for i in few])):
@@ -303,6 +312,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
         .select("part", "source", "queue", "base")
     )
 
+    base = shared.stored(base, "queue-base")  # its size is known when the join is planned
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
