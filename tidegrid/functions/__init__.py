@@ -1 +1 @@
-
+"""Column functions on vectors and names."""

@@ -1 +1 @@
-
+"""Readers and writers of packet logs, windows and manifests."""
