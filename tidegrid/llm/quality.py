@@ -138,24 +138,24 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, rank: int =
 
 
 def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """``docs`` with ``quality_score``: 0 to 1, higher if label 1 is likelier. A null text is scored as an empty one."""
+    """``docs`` with ``__quality_score``: 0 to 1, higher if label 1 is likelier. A null text is scored as an empty one."""
     fixed = FactorisationMachine(model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([fixed.score(t or "") for t in texts], index=texts.index, dtype=float)
 
-    return docs.withColumn("quality_score", score("text"))
+    return docs.withColumn("__quality_score", score("text"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
     """Per document: held_out, score and predicted. Repeated rows are scored apart; an empty table gives no row; further columns are ignored."""
     shared.share_code(docs.sparkSession)
     out = scored(docs.select("doc_id", "text"), train(docs, labels, max_rows))
-    return out.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), F.col("__quality_score").alias("score"), (F.col("__quality_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, least: float = 0.5) -> DataFrame:
     """The documents, all columns, whose score is at least ``least``."""
     shared.share_code(docs.sparkSession)
-    return scored(docs, train(docs, labels, max_rows)).filter(F.col("quality_score") >= least).drop("quality_score")
+    return scored(docs, train(docs, labels, max_rows)).filter(F.col("__quality_score") >= least).drop("__quality_score")

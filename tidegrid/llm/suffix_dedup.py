@@ -324,8 +324,8 @@ def _kept(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int
 
 def _with_ranges(docs: DataFrame, length: int, **options) -> DataFrame:
     ranges = covered_ranges(docs, length, **options)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_list("start").alias("_starts"), F.collect_list("size").alias("_sizes"))
-    return docs.withColumn("_key", shared.id_in()).join(by_doc.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
+    by_doc = ranges.groupBy("doc_id").agg(F.collect_list("start").alias("__run_starts"), F.collect_list("size").alias("__run_sizes"))
+    return docs.withColumn("__doc_key", shared.id_in()).join(by_doc.withColumnRenamed("doc_id", "__doc_key"), "__doc_key", "left").drop("__doc_key")
 
 
 def suffix_duplicates(docs: DataFrame, length: int = 100, **options) -> DataFrame:
@@ -342,14 +342,14 @@ def suffix_duplicates(docs: DataFrame, length: int = 100, **options) -> DataFram
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, starts, sizes in zip(pdf["doc_id"], pdf["text"], pdf["_starts"], pdf["_sizes"], strict=True):
+            for doc, text, starts, sizes in zip(pdf["doc_id"], pdf["text"], pdf["__run_starts"], pdf["__run_sizes"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 kept, gone, runs = _kept(raw, *(np.array([] if x is None else x, np.int64) for x in (starts, sizes)))
                 rows.append((doc, len(raw), gone, runs, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), length, **options)
-    return shared.id_out(rows.select(shared.id_in(), "text", "_starts", "_sizes").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return shared.id_out(rows.select(shared.id_in(), "text", "__run_starts", "__run_sizes").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
@@ -369,5 +369,5 @@ def without_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
             out.append(text)
         return pd.Series(out, index=texts.index, dtype=object)
 
-    out = _with_ranges(docs, length, **options).withColumn("text", clean("text", "_starts", "_sizes")).select(*docs.columns)
+    out = _with_ranges(docs, length, **options).withColumn("text", clean("text", "__run_starts", "__run_sizes")).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
