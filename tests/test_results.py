@@ -127,7 +127,7 @@ def test_training_and_inference(spark, optimiser, rho):
     y = rng.integers(0, 2, 120)
     x = rng.normal(size=(120, 4)) + 3 * y[:, None]
     model = L.Mlp([4, 8, 2], 2)
-    history = L.train(model, x[:100], y[:100], (x[100:], y[100:]), optimiser, epochs=10, rho=rho)
+    history = L.train(model, x[:100], y[:100], (x[100:], y[100:]), optimiser, epochs=40, rho=rho)
     assert history[-1]["validation_accuracy"] > 0.9
     restored = L.Mlp([4, 8, 2], 9)
     restored.params = TB.unpack_weights(TB.pack_weights(model.params))

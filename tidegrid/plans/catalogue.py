@@ -15,9 +15,11 @@ from ..operators import features as T
 from ..operators import metrics as M
 from ..operators import normalise as R
 from ..operators import segments as G
+from ..operators import selection as E
 from ..operators import splits as X
 from ..operators import statistics as S
 from ..operators import windows as W
+from ..sources import tables as K
 from .views import GRID, OVERLAP_HIGH, OVERLAP_LOW, complex_packets, files, packets, predictions, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -638,3 +640,142 @@ def adaptive_counters(spark, sf_dir):
 def adaptive_first_difference(spark, sf_dir):
     rows = A.adaptive_resampled(packets(spark, sf_dir), ADAPTIVE, ["amp"])
     return T.transformed(rows, "diff", "amp").select("source", "segment_id", "step_index", r("amp").alias("amp"))
+
+
+# --- selections, manifests and summaries ----------------------------------------------
+
+
+@query(f"WITH {FILES} SELECT source, label FROM files QUALIFY row_number() OVER (PARTITION BY label ORDER BY first_us, source) <= 3")
+def capped_per_class(spark, sf_dir):
+    return E.first_per_group(files(spark, sf_dir), ["label"], ["first_us", "source"], 3).select("source", "label")
+
+
+@query(f"WITH {FILES} SELECT label, person, min_by(source, (first_us, source)) AS source FROM files GROUP BY ALL")
+def file_dedupe(spark, sf_dir):
+    return E.deduplicated(files(spark, sf_dir), ["label", "person"], ["first_us", "source"]).select("label", "person", "source")
+
+
+def _person_split(spark, sf_dir):
+    return X.group_split(S.totals(files(spark, sf_dir), ["person"]), "person", "n_rows")
+
+
+_PERSONS = f"WITH {FILES}{_SUBSETS.format(g='person', order='d, size, places')}, flags AS (SELECT g AS person, (mask >> i) & 1 = 1 AS is_train FROM numbered, best)"
+
+
+@query(f"{_PERSONS} SELECT name, CASE WHEN is_train THEN 'train' ELSE 'validation' END AS split, label, person, row_count FROM files JOIN flags USING (person)")
+def split_manifest(spark, sf_dir):
+    return E.split_manifest(files(spark, sf_dir), _person_split(spark, sf_dir), ["person"])
+
+
+@query(f"{_PERSONS} SELECT person FROM flags WHERE NOT is_train")
+def split_complement(spark, sf_dir):
+    return E.complement(files(spark, sf_dir), _person_split(spark, sf_dir).filter("is_train"), ["person"])
+
+
+@query(f"{_PERSONS} SELECT label, CAST(sum(CASE WHEN is_train THEN row_count ELSE 0 END) AS BIGINT) AS train_rows, CAST(sum(CASE WHEN is_train THEN 0 ELSE row_count END) AS BIGINT) AS validation_rows FROM files JOIN flags USING (person) GROUP BY label")
+def split_label_rows(spark, sf_dir):
+    rows = E.assigned(files(spark, sf_dir), _person_split(spark, sf_dir), ["person"])
+    held = lambda c: F.sum(F.when(c, F.col("row_count")).otherwise(0))
+    return rows.groupBy("label").agg(held(F.col("is_train")).alias("train_rows"), held(~F.col("is_train")).alias("validation_rows"))
+
+
+@query(f"""WITH {FILES} SELECT label, '{{"n_files":' || count(*) || ',"n_rows":' || CAST(sum(row_count) AS BIGINT) || '}}' AS summary FROM files GROUP BY label""")
+def summary_json(spark, sf_dir):
+    return K.summary_json(S.totals(files(spark, sf_dir), ["label"]), ["label"])
+
+
+@query(f"WITH {FILES} SELECT person, CAST(coalesce(sum(row_count) FILTER (label = 'big'), 0) AS BIGINT) AS big, CAST(coalesce(sum(row_count) FILTER (label = 'small'), 0) AS BIGINT) AS small FROM files GROUP BY person")
+def person_label_pivot(spark, sf_dir):
+    return files(spark, sf_dir).groupBy("person").pivot("label", ["big", "small"]).agg(F.sum("row_count")).fillna(0, ["big", "small"])
+
+
+@query("SELECT DISTINCT 'class_' || label AS class FROM embeddings")
+def class_discovery(spark, sf_dir):
+    paths = table(spark, sf_dir, "embeddings").select(F.format_string("windows/class_%d_manifest.csv", "label").alias("path"))
+    return K.classes(paths)
+
+
+@query("SELECT vec_id, CAST(CASE WHEN label % 3 = 2 THEN -1 ELSE label % 3 END AS INTEGER) AS label_id FROM embeddings")
+def label_encode(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", N.label_id(F.concat(F.lit("c"), F.col("label") % 3), ["c0", "c1"]).alias("label_id"))
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS BIGINT) AS best FROM embeddings")
+def first_argmax(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", V.first_argmax("embedding").alias("best"))
+
+
+@query(f"SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS sc_000, CAST(embedding[2] AS DOUBLE) AS sc_001, CAST(embedding[3] AS DOUBLE) AS sc_002 FROM embeddings")
+def wide_columns(spark, sf_dir):
+    return K.wide(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", 3)
+
+
+@query("SELECT vec_id, v.variant, list_transform(v.p, lambda k: CAST(embedding[2 * k + 1] AS DOUBLE)) AS im FROM embeddings, (SELECT unnest([{'variant': 'low', 'p': [0, 1, 2]}, {'variant': 'high', 'p': [10, 11]}, {'variant': 'both', 'p': [0, 1, 2, 10, 11]}]) AS v)")
+def variant_fan_out(spark, sf_dir):
+    specs = {"low": [0, 1, 2], "high": [10, 11], "both": [0, 1, 2, 10, 11]}
+    rows = table(spark, sf_dir, "embeddings").withColumn("variant", F.explode(F.array(*map(F.lit, specs))))
+    cut = None
+    for name, pairs in specs.items():
+        cut = (F.when if cut is None else cut.when)(F.col("variant") == name, V.imag(V.gather_pairs("embedding", pairs)).cast("array<double>"))
+    return rows.select("vec_id", "variant", cut.alias("im"))
+
+
+@query(f"WITH {GAPS}, v AS (SELECT gap_us / 3600000000.0::DOUBLE AS x FROM gaps WHERE gap_us / 3600000000.0::DOUBLE BETWEEN 0 AND 24), s AS (SELECT min(x) AS lo, max(x) AS hi FROM v), b AS (SELECT CAST(CASE WHEN hi > lo THEN least(floor((x - lo) / ((hi - lo) / 100)), 99) ELSE 0 END AS INTEGER) AS bin, lo, (hi - lo) / 100 AS w FROM v, s) SELECT bin, {q('any_value(lo) + bin * any_value(w)')} AS low, count(*) AS n, {q('count(*) / (sum(count(*)) OVER () * any_value(w))')} AS density FROM b GROUP BY bin")
+def gap_histogram_clipped(spark, sf_dir):
+    hours = G.gaps(packets(spark, sf_dir)).select((F.col("gap_us") / 3_600_000_000.0).alias("x")).filter(F.col("x").between(0, 24))
+    return S.histogram(hours, "x", 100).withColumns({"low": r("low"), "density": r("density")})
+
+
+@query(f"WITH {PREDICTIONS} SELECT {q('avg(CAST(truth = pred AS INTEGER))')} AS accuracy, count(*) AS n FROM predictions WHERE model = 'b'")
+def accuracy(spark, sf_dir):
+    return M.accuracy(_model(spark, sf_dir)).withColumn("accuracy", r("accuracy"))
+
+
+@query(f"WITH {PREDICTIONS}, b AS (SELECT model, sample_id % 5 AS batch, avg(CAST(truth <> pred AS INTEGER)) AS m FROM predictions GROUP BY ALL) SELECT model, {q('avg(m)')} AS loss FROM b GROUP BY model")
+def batch_mean_loss(spark, sf_dir):
+    rows = predictions(spark, sf_dir).select("model", (F.col("sample_id") % 5).alias("batch"), (F.col("true") != F.col("pred")).cast("double").alias("loss"))
+    return M.batch_mean_loss(rows, ["model"]).withColumn("loss", r("loss"))
+
+
+@query(f"WITH {GAPS} SELECT source, {q('median(gap_us)', 1)} AS base_gap_us FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY row_no) AS j FROM gaps WHERE gap_us > 0) WHERE j <= 8 GROUP BY source")
+def initial_base_gap(spark, sf_dir):
+    return A.base_gaps(packets(spark, sf_dir), 8).withColumn("base_gap_us", r("base_gap_us", 1))
+
+
+@query(f"WITH RECURSIVE {_WALK} SELECT split_reason, count(*) AS n FROM split WHERE split_reason IS NOT NULL GROUP BY split_reason")
+def split_reasons(spark, sf_dir):
+    return A.adaptive_segments(packets(spark, sf_dir), ADAPTIVE).filter("split_reason is not null").groupBy("split_reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_HISTORY}, b AS (SELECT run, max_by(epoch, (acc, -epoch)) AS best_epoch, max(acc) AS best_accuracy, max_by(1 - acc, epoch) AS g, max(epoch) AS last FROM h GROUP BY run) SELECT run, best_epoch, {q('best_accuracy')} AS best_accuracy, {q('g')} AS final_gap, greatest(last - best_epoch - 5, 0) AS epochs_past_patience FROM b")
+def convergence(spark, sf_dir):
+    h = _history(spark, sf_dir).withColumn("train_accuracy", F.lit(1.0))
+    return S.convergence(h, 5).withColumns({"best_accuracy": r("best_accuracy"), "final_gap": r("final_gap")})
+
+
+@query()
+def split_random_file(spark, sf_dir):
+    return X.random_file(files(spark, sf_dir), 0.2, name="source").select("source", "label", "split")
+
+
+@query()
+def split_stratified_rows(spark, sf_dir):
+    return X.stratified_rows(table(spark, sf_dir, "embeddings"), 0.2, key="vec_id").select("vec_id", "label", "split")
+
+
+@query()
+def mlp_inference(spark, sf_dir):
+    """A small network fitted on at most 2,000 vectors (by hash order), applied to all."""
+    import numpy as np
+
+    from ..operators import models as L
+
+    rows = table(spark, sf_dir, "embeddings").filter("embedding is not null and label is not null")
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(2000).collect()
+    x, y = np.array([s["embedding"] for s in sample], float), np.array([s["label"] for s in sample])
+    means, stds = x.mean(0), np.maximum(x.std(0), 1e-6)
+    model = L.Mlp([x.shape[1], 32, int(y.max()) + 1], 1)
+    held = max(1, len(x) // 5)
+    z = (x - means) / stds
+    L.train(model, z[held:], y[held:], (z[:held], y[:held]), L.Adam(0.01), epochs=8)
+    return L.predicted(rows, model, "embedding", (x.shape[1],), means, stds).select("vec_id", "label", "pred", "probability")
