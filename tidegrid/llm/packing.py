@@ -17,11 +17,11 @@ sort; token ids are computed once and kept in the shared folder.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -158,6 +158,10 @@ class Rounds:
                 w += 1
 
 
+#: What the word tokenizer's own pattern tells apart in ASCII without apostrophes.
+_RUNS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+
+
 class WordEncoder:
     """Token ids by the tokenizers library, each distinct word encoded once.
 
@@ -165,7 +169,7 @@ class WordEncoder:
     the ids of its words in a row. Whether that holds is tested on texts of each worker.
     """
 
-    #: Words that are kept: so many, and up to so many characters, as longer ones seldom recur.
+    #: Words that are kept: so many, and up to so many bytes, as longer ones seldom recur.
     limit, longest = 1_200_000, 11
 
     def __init__(self, path: str):
@@ -179,58 +183,117 @@ class WordEncoder:
         if suffix:  # tokens that end a word, which tell the words of a joined text apart
             self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.bare = self._bare() if suffix else None
+        self.known: dict[bytes, bytes] = {}
         self.tested = 0
 
+    def _bare(self):
+        """The tokenizer without the steps that leave words of a-z as they are, or None if it isn't byte-level."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        if "ByteLevel" not in str(self.tokenizer.pre_tokenizer):
+            return None
+        t = Tokenizer.from_str(self.tokenizer.to_str())
+        t.normalizer = normalizers.Sequence([])
+        t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = ["the quick brown fox", "zyxwv utsrq"]
+        same = [e.ids for e in t.encode_batch_fast(probe, add_special_tokens=False)] == [e.ids for e in self.tokenizer.encode_batch_fast(probe, add_special_tokens=False)]
+        return t if same else None
+
     def _encode(self, words: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
             yield np.array(e.ids, self.dtype).tobytes()
 
-    def _encode_words(self, words: list[str], joined: int = 256) -> Iterator[tuple[str, bytes]]:
-        """Words of letters only go through the tokenizer many to a text, the others alone."""
-        plain = [w for w in words if w.isalpha()] if self.ends is not None else []
-        alone = [w for w in words if not w.isalpha()] if self.ends is not None else words
-        groups = [plain[i : i + joined] for i in range(0, len(plain), joined)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+    def _joined(self, tokenizer, words: list[str], size: int = 256) -> list[bytes | None]:
+        """Ids of words of letters, many to a text, cut after the tokens that end words; None where they don't fit."""
+        out: list[bytes | None] = []
+        groups = [words[i : i + size] for i in range(0, len(words), size)]
+        for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids)
             stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
             if len(stops) != len(group) or (len(stops) and stops[-1] != len(ids)):
-                alone += group
+                out += [None] * len(group)
                 continue
-            raw, size = ids.astype(self.dtype).tobytes(), int(self.dtype[2])
-            stops = (stops * size).tolist()
-            yield from zip(group, (raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True)
-        yield from zip(alone, self._encode(alone), strict=True)
+            raw, stops = ids.astype(self.dtype).tobytes(), (stops * int(self.dtype[2])).tolist()
+            out += [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+        return out
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
-        """Cuts that change no id: ASCII in lower case, the full stop or comma after a last letter apart."""
-        if "<" in word:  # may hold a special token
+        """Cuts that change no id: ASCII in lower case, letters, digits and marks apart; else a full stop or comma after the last letter."""
+        if "<" in word or "'" in word:  # may hold a special token or a contraction
             return (word,)
         if word.isascii():
-            word = word.lower()
+            return tuple(_RUNS.findall(word.lower()))
         if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "ɐ":
             return word[:-1], word[-1]
         return (word,)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {"": b""}
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        words = list(chain.from_iterable(cut))
+    def _learn(self, words: list[bytes], plain: list[bool]) -> list[bytes]:
+        """Ids of distinct words; ``plain`` ones have a-z only. Those of up to ``longest`` bytes are kept."""
         found = list(map(self.known.get, words))
         missing = [i for i, x in enumerate(found) if x is None]
-        new = {w: self._parts(w) for w in {words[i] for i in missing}}
-        parts = {p for ps in new.values() for p in ps}
-        ids = {p: self.known[p] for p in parts & self.known.keys()}
-        ids.update(self._encode_words(list(parts.difference(ids))))
-        learned = {w: b"".join([ids[p] for p in ps]) for w, ps in new.items()}
-        self.known.update((w, x) for w, x in learned.items() if len(w) <= self.longest)
-        for i in missing:
-            found[i] = learned[words[i]]
-        ends = np.cumsum([len(c) for c in cut]).tolist()
-        out = [b"".join(found[b - len(c) : b]) for c, b in zip(cut, ends, strict=True)]
-        if self.tested < 16 and texts:
+        easy = [i for i in missing if plain[i]] if self.bare else []
+        for i, x in zip(easy, self._joined(self.bare, [words[i].decode() for i in easy]) if easy else [], strict=True):
+            found[i] = x
+        hard = [i for i in missing if found[i] is None]
+        split = [self._parts(words[i].decode("utf-8", "surrogatepass")) for i in hard]
+        parts = list({p for ps in split for p in ps})
+        letters = [p for p in parts if p.isalpha()] if self.ends is not None else []
+        ids = {p: x for p, x in zip(letters, self._joined(self.tokenizer, letters) if letters else [], strict=True) if x is not None}
+        alone = [p for p in parts if p not in ids]
+        ids.update(zip(alone, self._encode(alone), strict=True))
+        for i, ps in zip(hard, split, strict=True):
+            found[i] = ids[ps[0]] if len(ps) == 1 else b"".join([ids[p] for p in ps])
+        self.known.update((words[i], found[i]) for i in missing if len(words[i]) <= self.longest)
+        return found
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Words are told apart in numpy, by up to 16 bytes as two integers; each distinct one is looked up once."""
+        if len(self.known) > self.limit:
+            self.known = {}
+        if not texts:
+            return []
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        raw = b" ".join(raws) + b" "
+        a = np.frombuffer(raw + bytes(16), np.uint8)
+        stops = np.flatnonzero((a[: len(raw)] == 32) | (a[: len(raw)] == 10))
+        starts = np.concatenate([[0], stops[:-1] + 1])
+        starts, sizes = starts[stops > starts], (stops - starts)[stops > starts]
+        short = np.flatnonzero(sizes <= 16)
+        cells = a[starts[short][:, None] + np.arange(16)] * (np.arange(16) < sizes[short][:, None])
+        low, high = np.ascontiguousarray(cells).view("<u8").T
+        size = sizes[short].astype(np.uint64)
+        key = shared.mix64(low + shared.mix64(high * np.uint64(3) + size))
+        order = np.argsort(key)
+        key, low, high, size = key[order], low[order], high[order], size[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        same = ~fresh[1:]
+        if ((low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (size[1:] != size[:-1]))[same].any():  # two words with one key
+            fresh[:] = True
+        place = np.empty(len(starts), np.int64)
+        place[short[order]] = np.cumsum(fresh) - 1
+        at = short[order[fresh]]
+        words = [raw[i:j] for i, j in zip(starts[at].tolist(), (starts[at] + sizes[at]).tolist(), strict=True)]
+        extra: dict[bytes, int] = {}
+        for i in np.flatnonzero(sizes > 16).tolist():
+            w = raw[starts[i] : starts[i] + sizes[i]]
+            place[i] = extra.setdefault(w, len(words) + len(extra))
+        letters = ((cells >= 97) & (cells <= 122)).sum(1) == sizes[short]
+        ids = self._learn([*words, *extra], [*letters[order[fresh]].tolist(), *[False] * len(extra)])
+        width = int(self.dtype[2])
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        begin = np.cumsum(count) - count
+        per_word = count[place]
+        until = np.cumsum(per_word)
+        take = np.repeat(begin[place] - (until - per_word), per_word) + np.arange(int(until[-1]) if len(until) else 0)
+        flat = np.frombuffer(b"".join(ids), self.dtype)[take].tobytes()
+        ends = np.cumsum([len(r) + 1 for r in raws])
+        edge = np.concatenate([[0], until])[np.searchsorted(starts, ends)] * width
+        edge = [0, *edge.tolist()]
+        out = [flat[i:j] for i, j in zip(edge, edge[1:], strict=False)]
+        if self.tested < 16:
             few = [i for i in range(len(texts)) if len(texts[i]) < 20_000][:4]
             if [out[i] for i in few] != list(self._encode([texts[i] for i in few])):
                 raise ValueError("this tokenizer joins tokens across white space; encode whole texts instead")
@@ -263,8 +326,8 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True
         last = np.array([end_id], encode.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                some = pdf.iloc[at : at + 512]
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at : at + 1024]
                 ids = [x + last for x in encode(some["text"].tolist())]
                 sizes = [len(x) // len(last) for x in ids]
                 runs = []
