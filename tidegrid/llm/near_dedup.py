@@ -8,10 +8,12 @@ joint likelihood of two sketches, with the known set sizes, estimates the resemb
 candidates that can't reach the threshold go, all others are verified on their full sets.
 
 Documents with one and the same set are one class from the start. Candidates are first
-taken between each bucket's members and its least member; buckets that still hold
-several components then give the pairs between different components. So no pair is
-emitted inside what is already connected, and every link between components that the
-bands can see is verified.
+taken between each bucket's members and its least one, then, where a bucket still holds
+several components, and its most central one. What is still apart after that and can have
+a link by two exact bounds (the sets' sizes, and the shingles of each set that no other
+candidate has) is compared in blocks: a task intersects the sets of two blocks at once
+and emits only links between components. So no pair is emitted inside what is already
+connected, and every link between components that the bands can see is found.
 """
 
 from __future__ import annotations
@@ -117,26 +119,26 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float, margin: float) -
     return sized.mapInPandas(keep, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, members: int = 2000) -> DataFrame:
+def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, set) of the documents in ``ids``: the sorted hashes of each full set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [shingles(t, words).tobytes() for t in pdf["text"]]})
+
+    texts = docs.select(shared.id_in(), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(ids.hint("merge"), "doc_id", "left_semi").mapInPandas(run, "doc_id long, set binary").filter(F.length("set") > 0)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, members: int = 500) -> DataFrame:
     """The pairs (a, b) that are links by their full sets.
 
-    Each document of a pair is read once and its set sent to the least member's place;
-    places with over ``members`` sets are split, the least member's set goes to each part.
+    Each set of a pair is sent to the place of a; places with over ``members`` sets are
+    split, and the set of a goes to each part.
     """
-    spark = docs.sparkSession
     places = pairs.groupBy("a").agg(F.ceil(F.count("*") / members).cast("int").alias("parts"))
-    guests = pairs.join(places, "a").select(F.col("b").alias("doc_id"), F.struct(F.col("a").alias("place"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("guest")).alias("to"))
-    hosts = places.select(F.col("a").alias("doc_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a").select("doc_id", F.struct(F.col("a").alias("place"), "part", F.lit(0).alias("guest")).alias("to"))
-    routes = guests.union(hosts).groupBy("doc_id").agg(F.collect_set("to").alias("to"))  # few for each document: one a leader that it meets
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                rows = []
-                for doc, text, to in zip(pdf["doc_id"][at : at + 200], pdf["text"][at : at + 200], pdf["to"][at : at + 200], strict=True):
-                    s = shingles(text, words).tobytes()
-                    rows += [(r["place"], r["part"], r["guest"], doc, s) for r in to]
-                yield pd.DataFrame(rows, columns=["place", "part", "guest", "doc_id", "set"])
+    guests = pairs.join(places, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("place"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("guest"))
+    hosts = places.select(F.col("a").alias("doc_id"), F.col("a").alias("place"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("guest"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, host = None, np.zeros(0, np.uint64)
@@ -152,12 +154,114 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, member
                         found.append((place, doc))
             yield pd.DataFrame(found, columns=["a", "b"])
 
-    texts = docs.select(shared.id_in(), F.coalesce("text", F.lit("")).alias("text"))
-    sent = texts.join(routes, "doc_id").mapInPandas(send, "place long, part int, guest int, doc_id long, set binary")
-    n = shared.shuffle_partitions(spark)
+    sent = sets.join(guests.union(hosts).hint("merge"), "doc_id")
+    n = shared.shuffle_partitions(sets.sparkSession)
     return sent.repartition(n, "place", "part").sortWithinPartitions("place", "part", "guest", "doc_id").mapInPandas(compare, "a long, b long").distinct()
 
 
+def shared_counts(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, n, common): each candidate's set size and how many of its shingles another candidate has too."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at : at + 256]
+                values = [np.frombuffer(s, np.int64) for s in some["set"]]
+                yield pd.DataFrame({"shingle": np.concatenate(values), "doc_id": np.repeat(some["doc_id"].to_numpy(), [len(v) for v in values])})
+
+    chosen = sets.join(ids, "doc_id", "left_semi")
+    single = chosen.mapInPandas(run, "shingle long, doc_id long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
+    alone = single.groupBy("doc_id").agg(F.count("*").alias("alone"))
+    sizes = chosen.select("doc_id", (F.length("set") / 8).cast("long").alias("n"))
+    return sizes.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+
+
+def _within(overlap, total, percent: int):
+    """Whether an overlap of at most ``overlap`` in two sets of ``total`` together can be a link."""
+    return 100 * overlap >= percent * (total - overlap)
+
+
+def still_mixed(members: DataFrame, percent: int) -> DataFrame:
+    """Members (bucket, doc_id, component, n, common) that can have a link to another component of their bucket.
+
+    The bound takes the smallest size and the largest common part of a whole bucket, so
+    members are compared with the bucket, not with each other.
+    """
+    ends = members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("common").alias("most"))
+    able = members.join(ends, "bucket")
+    overlap = F.least("common", "most")
+    able = able.filter(_within(overlap, F.col("n") + F.greatest("least", F.lit(0)), percent)).drop("least", "most")
+    mixed = able.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    return able.join(mixed, "bucket")
+
+
+def _links(x: list[np.ndarray], y: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
+    """Which pairs of the sets in x and y are links: shared shingles counted by products of 0/1 blocks."""
+    names, times = np.unique(np.concatenate([*x, *y]), return_counts=True)
+    names = names[times > 1]
+    both = np.zeros((len(x), len(y)), np.float64)
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        at = np.minimum(np.searchsorted(names, flat), max(0, len(names) - 1))
+        hit = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order]
+
+    (at_x, own_x), (at_y, own_y) = places(x), places(y)
+    for low in range(0, len(names), columns):
+        parts = []
+        for at, own, n in ((at_x, own_x, len(x)), (at_y, own_y, len(y))):
+            i, j = np.searchsorted(at, (low, low + columns))
+            dense = np.zeros((n, columns), np.float32)
+            dense[own[i:j], at[i:j] - low] = 1
+            parts.append(dense)
+        both += parts[0] @ parts[1].T
+    size_x, size_y = (np.array([len(v) for v in sets], float) for sets in (x, y))
+    return 100 * both >= percent * (size_x[:, None] + size_y[None] - both)
+
+
+def links_across(members: DataFrame, sets: DataFrame, percent: int, block: int = 400) -> DataFrame:
+    """Links (a, b) between components: ``members`` has doc_id, component and family, and only families are compared.
+
+    A family is split into blocks; each pair of its blocks is one place. A document gives
+    at most one link to each component that a block holds, which connects as well as all.
+    """
+    parts = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    placed = members.join(parts, "family").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("doc_id", "component", "family", "mine", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"))
+
+    def settle(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        x = [r for r in rows if r[0] == key[1]]
+        y = x if key[1] == key[2] else [r for r in rows if r[0] == key[2]]
+        if not x or not y:
+            return []
+        linked = _links([r[3] for r in x], [r[3] for r in y], percent)
+        linked &= np.array([r[2] for r in x])[:, None] != np.array([r[2] for r in y])[None]
+        out = {}
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            out.setdefault((x[i][1], y[j][2]), y[j][1])
+        return [(min(a, b), max(a, b)) for (a, _), b in out.items()]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, rows = None, []
+        for pdf in batches:
+            found = []
+            for here, mine, doc, component, s in zip(zip(pdf["family"], pdf["i"], pdf["j"], strict=True), pdf["mine"], pdf["doc_id"], pdf["component"], pdf["set"], strict=True):
+                if here != key:
+                    found += settle(key, rows) if rows else []
+                    key, rows = here, []
+                rows.append((mine, doc, component, np.frombuffer(s, np.uint64)))
+            yield pd.DataFrame(found, columns=["a", "b"])
+        yield pd.DataFrame(settle(key, rows) if rows else [], columns=["a", "b"])
+
+    n = shared.shuffle_partitions(sets.sparkSession)
+    sent = sets.join(placed.hint("merge"), "doc_id")
+    return sent.repartition(n, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin: float = 0.2) -> DataFrame:
     """Per document: n_shingles, component_id and kept.
 
@@ -175,21 +279,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin:
     classes = shared.stored(classes.select("print", "r.*"), "classes")
     buckets = classes.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
     leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    shared_buckets = shared.stored(buckets.join(leaders, "bucket"), "buckets")  # members of buckets with more than one
+    meeting = shared.stored(buckets.join(leaders, "bucket"), "buckets")  # members of buckets with more than one
+    sets = shared.stored(set_table(docs, meeting.select("doc_id").distinct(), words), "sets")
 
-    first = shared.stored(likely(shared_buckets.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), classes, threshold, margin), "pairs")
-    links = shared.stored(verified(first, docs, words, percent), "verified")
+    tried = shared.stored(likely(meeting.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), classes, threshold, margin), "pairs")
+    links = shared.stored(verified(tried, sets, percent), "verified")
     found = components(links)
 
-    # what the leaders left: buckets that still hold several components
-    named = shared_buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    rest = shared.stored(named.join(mixed, "bucket"), "mixed")
-    other = rest.select("bucket", F.col("doc_id").alias("other"), F.col("component").alias("theirs"))
-    across = rest.join(other, "bucket").filter("component < theirs").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
-    second = shared.stored(likely(across.join(first, ["a", "b"], "left_anti"), classes, threshold, margin), "pairs")
-    if not second.isEmpty():
-        more = shared.stored(verified(second, docs, words, percent), "verified")
+    def apart() -> DataFrame:
+        named = meeting.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+
+    mixed = apart().groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
+    counts = shared.stored(shared_counts(sets, apart().join(mixed, "bucket").select("doc_id").distinct()), "counts")
+    rest = shared.stored(still_mixed(apart().join(counts, "doc_id"), percent), "mixed")
+    if not rest.isEmpty():  # the most central member of each bucket leads
+        columns = ("doc_id", "component", "n", "common")
+        led = rest.groupBy("bucket").agg(F.max_by(F.struct(*columns), F.struct((F.col("common") / F.col("n")).alias("share"), "doc_id")).alias("l"))
+        side = rest.join(led, "bucket").filter("component <> l.component").filter(_within(F.least("common", "l.common"), F.col("n") + F.col("l.n"), percent))
+        pairs = side.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
+        new = shared.stored(likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, threshold, margin), "pairs")
+        links = links.union(shared.stored(verified(new, sets, percent), "verified"))
+        found = components(links)
+        rest = shared.stored(still_mixed(apart().join(counts, "doc_id"), percent), "mixed")
+    if not rest.isEmpty():  # families: documents that buckets with several components tie together
+        ties = rest.join(rest.groupBy("bucket").agg(F.min("doc_id").alias("a")), "bucket").select("a", F.col("doc_id").alias("b")).distinct()
+        family = components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        more = shared.stored(links_across(rest.select("doc_id", "component").distinct().join(family, "doc_id"), sets, percent), "across")
         if not more.isEmpty():
             found = components(links.union(more))
 
