@@ -75,7 +75,8 @@ def op9_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame(SELF_TEST, "conv_id long, turn long, role string, text string")
-    return chat_digests(rows.unionByName(own), vocabulary("byte_bpe_50k.json"))
+    found = chat_digests(rows.unionByName(own), vocabulary("byte_bpe_50k.json"))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def op10_sentencepiece_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +90,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 SQL = {
+    "op5_suffix_group_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        p AS (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS pos FROM d),
+        s AS (SELECT doc_id, pos, substring(h, 2 * pos + 1, 2) AS b, CASE WHEN 2 * pos + 200 <= length(h) THEN substring(h, 2 * pos + 1, 200) END AS w FROM p),
+        r AS (SELECT doc_id, pos, b, w IS NOT NULL AND row_number() OVER (PARTITION BY w ORDER BY doc_id, pos) > 1 AS later FROM s),
+        c AS (SELECT doc_id, pos, b, max(CAST(later AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        e AS (SELECT *, gone > coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY pos), 0) AS opens FROM c),
+        k AS (SELECT doc_id, count(*) AS n_bytes, sum(gone) AS n_removed, count(*) FILTER (opens) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY pos) FILTER (gone = 0), ''))) AS kept_sha256 FROM e GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op8_setsketch_near_duplicates": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        b AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT x, y FROM b JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+        u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS node, doc_id AS seen FROM w UNION SELECT r.node, u.y FROM r JOIN u ON u.x = r.seen),
+        c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+        SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept FROM w JOIN c ON c.node = w.doc_id LEFT JOIN n USING (doc_id)
+    """,
+    "op9_chat_masks": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        e AS (SELECT *, length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS n FROM t)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+          CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+          sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+          CAST(sum(n) AS BIGINT) AS formatted_chars
+        FROM e GROUP BY conv_id
+    """,
     "op6_bit_sliced_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
