@@ -138,9 +138,10 @@ def test_training_and_inference(spark, optimiser, rho):
 
 
 def test_names(spark):
-    df = spark.createDataFrame([("/a/csi_240102_030405_Ann_SMALL.csv",), ("/a/readme.csv",), ("/a/x_20240102_030405.csv",)], "p string")
+    df = spark.createDataFrame([("/a/csi_240102_030405_Ann_SMAL.csv",), ("/a/readme.csv",), ("/a/x_20240102_030405.csv",)], "p string")
     got = [r[0] for r in df.select(N.parse_capture("p")).collect()]
-    assert got[0].asDict() == {"date": "240102", "time": "030405", "person": "ann", "label": "small"}
+    assert got[0].asDict() == {"date": "240102", "time": "030405", "person_raw": "ann", "person": "ann", "label_raw": "smal", "label": "small"}
+    assert df.select(N.parse_capture("p", person_spellings={"ann": "anne"}).alias("c")).first().c.person == "anne"
     assert got[1] is None
     assert str(df.select(N.capture_time("p")).collect()[2][0]) == "2024-01-02 03:04:05"
     key = spark.range(1).select(N.window_key(F.lit("f"), F.lit(3), F.lit(40)).alias("k")).select("k", N.parse_window_key("k").alias("w")).first()

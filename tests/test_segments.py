@@ -118,7 +118,7 @@ def _fold(times, a):
     gaps = [b - c for b, c in zip(times[1:], times, strict=False)]
     first = sorted([g for g in gaps if g > 0][: a.initial_gaps])
     base = (first[(len(first) - 1) // 2] + first[len(first) // 2]) / 2 if first else 0.0
-    ks, segment, out = [], 0, [(None, 0)]
+    segment, out = 0, [(None, 0)]
     for g in gaps:
         fits = [(abs(g - k * base) / (k * base), k) for k in range(1, a.max_steps + 1) if base > 0 and g > 0 and abs(g - k * base) <= max(a.absolute_us, a.relative * k * base)]
         k = min(fits)[1] if fits else None
@@ -126,7 +126,6 @@ def _fold(times, a):
             base = 2 / (a.ema_span + 1) * g + (1 - 2 / (a.ema_span + 1)) * base
         segment += k is None
         out.append((k, segment))
-    del ks
     return out
 
 

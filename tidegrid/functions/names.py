@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Spellings that name the same label or person.
-LABEL_SPELLINGS = {"samll": "small"}
+# Fixed value: a spelling of a label that occurs in file names. Spellings of persons are a parameter.
+LABEL_SPELLINGS = {"smal": "small"}
 
 
 def normalise(name: Column, spellings: dict[str, str]) -> Column:
@@ -23,16 +23,18 @@ def stem(path: Column | str) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def parse_capture(path: Column | str, labels: tuple[str, ...] = ("big", "small"), spellings: dict[str, str] | None = None) -> Column:
-    """struct(date, time, person, label) of ``*_YYMMDD_HHMMSS_{person}_{label}``; null where a name doesn't match."""
-    spellings = LABEL_SPELLINGS if spellings is None else spellings
-    allowed = "|".join([*labels, *spellings])
-    pattern = rf"(?i)^.*?(\d{{6}})_(\d{{6}})_(.+)_({allowed})$"
-    s = stem(path)
-    get = lambda i: F.regexp_extract(s, pattern, i)
+def parse_capture(path: Column | str, labels: tuple[str, ...] = ("big", "small"), label_spellings: dict[str, str] | None = None, person_spellings: dict[str, str] | None = None, prefix: str = "csi") -> Column:
+    """struct(date, time, person_raw, person, label_raw, label) of ``{prefix}_YYMMDD_HHMMSS_{person}_{label}.csv``.
+
+    Case doesn't matter; null where a name doesn't match, so that skipped files can be listed.
+    """
+    label_spellings = LABEL_SPELLINGS if label_spellings is None else label_spellings
+    name = F.element_at(F.split(path, "/"), -1)
+    pattern = rf"(?i)^{prefix}_(\d{{6}})_(\d{{6}})_([A-Za-z]+)_({'|'.join([*labels, *label_spellings])})\.csv$"
+    get = lambda i: F.lower(F.regexp_extract(name, pattern, i))
     return F.when(
-        F.rlike(s, F.lit(pattern)),
-        F.struct(get(1).alias("date"), get(2).alias("time"), F.lower(get(3)).alias("person"), normalise(get(4), spellings).alias("label")),
+        F.rlike(name, F.lit(pattern)),
+        F.struct(get(1).alias("date"), get(2).alias("time"), get(3).alias("person_raw"), normalise(get(3), person_spellings or {}).alias("person"), get(4).alias("label_raw"), normalise(get(4), label_spellings).alias("label")),
     )
 
 
@@ -55,7 +57,7 @@ def parse_window_key(key: Column | str) -> Column:
 
 def variant_name(feature: str, steps: int) -> str:
     """The names of feature variants."""
-    return {"raw": "raw_amplitude", "diff": "first_difference", "ma": f"ma{steps}_diff", "std": f"rolling_std{steps}", "phase_sincos": "phase_sincos", "phase_tdiff": "phase_temporal_diff", "phase_std": f"phase_rolling_std{steps}"}[feature]
+    return {"raw": "raw_amplitude", "diff": "first_difference", "ma": f"ma{steps}_diff", "std": f"rolling_std{steps}", "phase_sincos": "phase_sin_cos", "phase_tdiff": "phase_temporal_diff", "phase_std": f"phase_rolling_std{steps}"}[feature]
 
 
 def label_id(label: Column | str, classes: list[str]) -> Column:

@@ -94,7 +94,7 @@ steps AS (SELECT source, segment_id, step - m + i AS step_index, t0_us + (step -
 STEPS = steps_sql()
 FILES = P + """,
 firsts AS (SELECT source, count(*) AS row_count, min(t_us) AS first_us, max(t_us) AS last_us FROM packets GROUP BY source),
-files AS (SELECT source, CASE WHEN source % 2 = 0 THEN 'big' ELSE 'small' END AS label, 'p' || CAST(source % 7 AS VARCHAR) AS person,
+files AS (SELECT source, CASE WHEN source % 2 = 0 THEN 'big' ELSE 'small' END AS label, chr(CAST(97 + source % 7 AS INTEGER)) AS person,
                  strftime(make_timestamp(last_us), '%y%m%d') AS date, first_us, row_count,
                  'csi_' || strftime(make_timestamp(first_us), '%Y%m%d_%H%M%S') AS name
           FROM firsts)"""
@@ -430,10 +430,11 @@ def sdp_lagfirst_windows(spark, sf_dir):
 # --- names, files and splits ----------------------------------------------------------
 
 
-@query(f"""WITH {FILES} SELECT source, regexp_extract(name || '_' || person || '_' || label, '([0-9]{{6}})_([0-9]{{6}})_([^_]+)_([a-z]+)$', 1) AS date,
-    person, label, make_timestamp(first_us - first_us % 1000000) AS captured FROM files""")
+@query(f"""WITH {FILES} SELECT source, strftime(make_timestamp(first_us), '%y%m%d') AS date, person, label, make_timestamp(first_us - first_us % 1000000) AS captured FROM files""")
 def filename_parse(spark, sf_dir):
-    parsed = N.parse_capture(F.concat(F.lit("/logs/"), "name", F.lit("_"), "person", F.lit("_"), F.upper("label"), F.lit(".csv")))
+    day = F.date_format(F.timestamp_micros("first_us"), "yyMMdd_HHmmss")
+    label = F.when(F.col("label") == "small", "SMAL").otherwise(F.upper("label"))
+    parsed = N.parse_capture(F.concat(F.lit("/logs/CSI_"), day, F.lit("_"), F.upper("person"), F.lit("_"), label, F.lit(".csv")))
     return files(spark, sf_dir).select("source", parsed.alias("p"), N.capture_time(F.concat("name", F.lit(".csv"))).cast("timestamp_ntz").alias("captured")).select("source", "p.date", "p.person", "p.label", "captured")
 
 

@@ -34,12 +34,12 @@ def complex_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File dimension of users: label by parity, person by remainder, date of the last packet, rows."""
+    """File dimension of users: label by parity, person a letter by remainder, date of the last packet, rows."""
     rows = packets(spark, sf_dir).groupBy("source").agg(F.count("*").alias("row_count"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
     return rows.select(
         "source",
         F.when(F.col("source") % 2 == 0, "big").otherwise("small").alias("label"),
-        F.concat(F.lit("p"), (F.col("source") % 7).cast("string")).alias("person"),
+        F.chr(97 + F.col("source") % 7).alias("person"),
         F.date_format(F.timestamp_micros("last_us"), "yyMMdd").alias("date"),
         "first_us",
         "row_count",
