@@ -157,8 +157,12 @@ def train(docs: DataFrame, per_language: int = 600) -> LanguageModel:
             df[slot] = x
     idf = np.log((1 + n) / (1 + df)) + 1
 
-    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = fold.select("doc_id", "lang").withColumn("_place", F.row_number().over(place)).filter(F.col("_place") <= per_language).select("doc_id").distinct()
+    # in two steps, so that no task gets a frequent language's rows of all partitions
+    order = (F.xxhash64("doc_id"), "doc_id")
+    chosen = fold.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
+    for by in (("lang", "part"), ("lang",)):
+        chosen = chosen.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= per_language)
+    chosen = shared.stored(chosen.select("doc_id").distinct(), "chosen")  # its size is known when the join is planned
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
