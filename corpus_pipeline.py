@@ -34,7 +34,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in windows that hold the sources' proportions."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), end_id=2, window=4096, kept_words=100_000)
 
 
 STAGES = [

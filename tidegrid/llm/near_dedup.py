@@ -109,9 +109,11 @@ def likely(pairs: DataFrame, reps: DataFrame, threshold: float, margin: float) -
         for pdf in batches:
             if not len(pdf):
                 continue
-            x, y = (np.stack(pdf[c].to_numpy()).astype("<i8").view("<u2") for c in ("bands_a", "bands_b"))
-            j = estimate(x, y, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float))
-            yield pdf.loc[j >= threshold - margin, ["a", "b"]]
+            for at in range(0, len(pdf), 1000):
+                some = pdf.iloc[at : at + 1000]
+                x, y = (np.stack(some[c].to_numpy()).astype("<i8").view("<u2") for c in ("bands_a", "bands_b"))
+                j = estimate(x, y, some["n_a"].to_numpy(float), some["n_b"].to_numpy(float))
+                yield some.loc[j >= threshold - margin, ["a", "b"]]
 
     a = reps.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bands").alias("bands_a"))
     b = reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bands").alias("bands_b"))

@@ -170,7 +170,7 @@ class WordEncoder:
     """
 
     #: Words that are kept: so many, and up to so many bytes, as longer ones seldom recur.
-    limit, longest = 1_200_000, 11
+    limit, longest = 600_000, 11
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -311,18 +311,19 @@ class TextEncoder(WordEncoder):
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def encoder(path: str, by_word: bool) -> WordEncoder:
+def encoder(path: str, by_word: bool, kept_words: int | None = None) -> WordEncoder:
     key = (path, by_word)
     if key not in _encoders:
         _encoders[key] = (WordEncoder if by_word else TextEncoder)(path)
+    _encoders[key].limit = kept_words or WordEncoder.limit
     return _encoders[key]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, kept_words: int | None = None) -> DataFrame:
     """Ids of every document with ``end_id`` last, with its place among its source's documents of the same part."""
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(tokenizer, by_word)
+        encode = encoder(tokenizer, by_word, kept_words)
         last = np.array([end_id], encode.dtype).tobytes()
         part, seen = TaskContext.get().partitionId(), defaultdict(int)
         for pdf in batches:
@@ -341,7 +342,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True
     return rows.mapInPandas(ids_of, TOKENS)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, weights: dict[str, float] | None = None, max_queues: int = 1024, by_word: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, weights: dict[str, float] | None = None, max_queues: int = 1024, by_word: bool = True, kept_words: int | None = None) -> DataFrame:
     """Pieces of all documents, dealt into sequences of ``window`` tokens.
 
     ``docs`` has doc_id, text and source; further columns are ignored. A null text is
@@ -349,11 +350,12 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
     are packed as often as they occur; an empty table gives no row. Only the last
     sequence can be short. ``weights`` maps sources to target proportions (default: their
     shares of all tokens); sources under 1 / ``max_queues`` of the tokens share one queue,
-    which bounds the schedule that tasks get.
+    which bounds the schedule that tasks get. ``kept_words`` bounds the words whose ids a
+    worker remembers, for speed only.
     """
     spark = docs.sparkSession
     shared.share_code(spark)
-    tokens = shared.stored(tokenised(docs, tokenizer, end_id, by_word), "tokens")
+    tokens = shared.stored(tokenised(docs, tokenizer, end_id, by_word, kept_words), "tokens")
     sums = tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("tokens"))
     by_source = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     n = by_source.agg(F.sum("tokens")).first()[0] or 0

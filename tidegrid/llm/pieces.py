@@ -133,7 +133,7 @@ class Codec:
     many words to a text; texts with runs of spaces or a literal marker go through whole.
     """
 
-    limit, joined = 400_000, 256
+    limit, joined = 300_000, 256
 
     def __init__(self, path: str):
         import sentencepiece

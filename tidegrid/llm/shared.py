@@ -54,8 +54,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
 def share_code(spark: SparkSession) -> None:
-    """Let Python workers import this package where they start elsewhere."""
+    """Ready a session for the operators.
+
+    Python workers that start elsewhere can import this package. Rows are whole texts and
+    sets here, so Arrow batches are set to ``BATCH_ROWS`` rows unless the session has a
+    size of its own: with Spark's 10,000 a batch of a few KB a row takes tens of MB,
+    several times over in JVM and Python.
+    """
+    if spark.conf.get(BATCH_KEY, None) in (None, "10000"):
+        spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -75,7 +86,7 @@ def mix64(h: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for words seen before (bounded)."""
 
-    limit = 400_000
+    limit = 60_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

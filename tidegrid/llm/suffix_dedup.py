@@ -125,17 +125,23 @@ def _firsts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return e, gram | _new(e["context"]), gram
 
 
-def _entries(batches: Iterator[pd.DataFrame], length: int, parts: int, chunk: int) -> Iterator[pd.DataFrame]:
-    """Packed entries by part of the gram; ranges already known to be covered have part -1."""
+def _entries(batches: Iterator[pd.DataFrame], length: int, parts: int, chunk: int, most: int = 1 << 21) -> Iterator[pd.DataFrame]:
+    """Packed entries by part of the gram, of about ``chunk`` bytes of text at a time; ranges already known to be covered have part -1."""
+    step = min(chunk, most)
 
-    def settle(docs: list[int], texts: list[bytes]) -> pd.DataFrame:
+    def entries(pieces: list[tuple[int, int, bytes]]) -> np.ndarray:
+        docs, offsets, texts = zip(*pieces, strict=True)
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         c = contexts(b"".join(texts), bounds, length)
         owner = np.searchsorted(bounds, c["start"], "right") - 1
         e = np.empty(len(owner), ENTRY)
         e["gram"], e["context"], e["anchor"], e["more"] = c["gram"], c["context"], c["anchor"], c["more"]
         e["doc"] = np.array(docs, np.int64)[owner]
-        e["start"] = c["start"] - bounds[owner]
+        e["start"] = c["start"] - bounds[owner] + np.array(offsets, np.int64)[owner]
+        return e
+
+    def settle(found: list[np.ndarray]) -> pd.DataFrame:
+        e = np.concatenate(found)
         e, first, _ = _firsts(e)
         rows = [(-1, _pack(e[~first]))] if not first.all() else []
         e = e[first]
@@ -145,19 +151,25 @@ def _entries(batches: Iterator[pd.DataFrame], length: int, parts: int, chunk: in
         rows += [(p, _pack(e[order[cuts[p] : cuts[p + 1]]])) for p in range(parts) if cuts[p + 1] > cuts[p]]
         return pd.DataFrame(rows, columns=["part", "blob"])
 
-    docs, texts, size = [], [], 0
+    held, size, found, total = [], 0, [], 0
     for pdf in batches:
         for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
             raw = text.encode("utf-8", "surrogatepass")
-            if len(raw) >= length:
-                docs.append(doc)
-                texts.append(raw)
-                size += len(raw)
-            if size >= chunk:
-                yield settle(docs, texts)
-                docs, texts, size = [], [], 0
-    if texts:
-        yield settle(docs, texts)
+            for at in range(0, max(1, len(raw) - length + 1), step):  # a longer text goes on in pieces; no string is lost or seen twice
+                piece = raw[at : at + step + length - 1]
+                if len(piece) >= length:
+                    held.append((doc, at, piece))
+                    size += len(piece)
+                if size >= step:
+                    found.append(entries(held))
+                    held, size, total = [], 0, total + size
+                if total >= chunk:
+                    yield settle(found)
+                    found, total = [], 0
+    if held:
+        found.append(entries(held))
+    if found:
+        yield settle(found)
 
 
 RANGES = "doc_id long, start int, size int, anchor int, gram long, hot boolean"
@@ -277,7 +289,7 @@ def covered_ranges(docs: DataFrame, length: int = 100, hot_contexts: int = 50_00
         for pdf in batches:  # sorted by gram: blocks end where a gram ends
             held.append(pdf)
             size += len(pdf)
-            if size < 20_000:
+            if size < 8_000:
                 continue
             block = pd.concat(held, ignore_index=True)
             last = block["gram"].to_numpy() == block["gram"].iloc[-1]
