@@ -20,7 +20,7 @@ def numbered_csv(spark: SparkSession, path: str, columns: list[str], recursive:
     The header names the columns of each file; missing ones are null. Lines without
     content don't count as rows.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.csv").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv", recursiveFileLookup=recursive)
     lines = files.select(F.input_file_name().alias("source_csv"), F.split("value", r"\r?\n").alias("l"))
     names = F.transform(F.split(F.regexp_replace(F.col("l")[0], "^﻿", ""), ","), F.trim)
     rows = lines.select("source_csv", names.alias("names"), F.posexplode("l").alias("i", "line")).filter((F.col("i") > 0) & (F.length(F.trim("line")) > 0))
