@@ -142,6 +142,36 @@ def test_adaptive_fold(spark):
     assert [r.k for r in A.adaptive_segments(log(spark, [5]), a).collect()] == [None]
 
 
+def test_adaptive_sources_stay_apart_and_in_batches(spark):
+    a = A.Adaptive(max_steps=3, ema_span=5, initial_gaps=5, relative=0.18, absolute_us=1.0)
+    times = {1: [0, 10, 21, 30, 70, 80], 2: [5], None: [0, 0, 9, 27, 80], 4: [0, 30, 60, 61, 90]}
+    df = spark.createDataFrame([(s, i, t) for s, ts in times.items() for i, t in enumerate(ts)], "source long, row_no int, t_us long")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "2")
+    try:
+        out = A.adaptive_segments(df, a)
+        rows = out.orderBy("row_no").collect()
+    finally:
+        spark.conf.set(key, before)
+    for source in (1, 2, 4):
+        assert [(r.k, r.segment_id) for r in rows if r.source == source] == _fold(times[source], a)
+    assert [r.segment_id for r in rows if r.source is None] == [0, 1, 2, 3, 4]
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("stride", [1, 3, 7])
+def test_step_windows_equal_slices_without_long_arrays(spark, stride):
+    rows = _segment(spark, range(23))
+    want = W.windows(G.to_segments(rows, ["amp"]), ["amp"], [4, 5], stride).drop("n_steps")
+    got = W.step_windows(rows, ["amp"], [4, 5], stride)
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # one window a row at most: packing happens after the rows were dealt to windows
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "start_index" in plan[plan.index("Aggregate") : plan.index("collect_list")]
+
+
 def test_adaptive_steps_match_segments(spark):
     a = A.Adaptive(max_steps=3, ema_span=5, initial_gaps=5, relative=0.18, absolute_us=1.0)
     rows = A.adaptive_resampled(log(spark, [0, 10, 20, 40, 100, 110]), a, ["amp"]).orderBy("segment_id", "step_index").collect()

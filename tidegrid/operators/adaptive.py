@@ -2,19 +2,22 @@
 
 A gap is k steps when it is within tolerance of k times the base gap, k with the least
 relative error, the lowest on ties. Each one-step gap moves the base by an exponential
-mean. The state makes this an ordered fold over a source's gaps: ``aggregate`` with a
-struct accumulator over the sorted array of gaps, without Python. A source's gaps are one
-array, as they are one sequence.
+mean. The state makes this an ordered fold over a source's gaps: rows stream through in
+order, and the base and the segment are all that is carried from one to the next.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructField, StructType
 
-from ..functions.vectors import let
 from .segments import gaps
 
 
@@ -35,15 +38,16 @@ def base_gaps(log: DataFrame, initial_gaps: int) -> DataFrame:
     return positive.groupBy("source").agg(F.median("gap_us").alias("base_gap_us"))
 
 
-def classify(gap: Column, base: Column, a: Adaptive) -> Column:
-    """k of a gap, null where no k from 1 to ``max_steps`` fits."""
-
-    def error(k: int) -> Column:
-        want = base * k
-        return F.when(F.abs(gap - want) <= F.greatest(F.lit(a.absolute_us), want * a.relative), F.struct((F.abs(gap - want) / want).alias("error"), F.lit(k).alias("k")))
-
-    fits = F.array_compact(F.array(*(error(k) for k in range(1, a.max_steps + 1))))
-    return F.when((gap > 0) & (base > 0), F.array_min(fits)["k"])
+def fitted(gap: int, base: float, a: Adaptive) -> int | None:
+    """k of a gap, None where no k from 1 to ``max_steps`` fits."""
+    best, found = math.inf, None
+    if gap > 0 and base > 0:
+        for k in range(1, a.max_steps + 1):
+            want = base * k
+            off = abs(gap - want)
+            if off <= max(a.absolute_us, want * a.relative) and off / want < best:
+                best, found = off / want, k
+    return found
 
 
 def adaptive_segments(log: DataFrame, a: Adaptive) -> DataFrame:
@@ -53,36 +57,37 @@ def adaptive_segments(log: DataFrame, a: Adaptive) -> DataFrame:
     the gap was held against; split_reason is nonpositive, long or unmatched.
     """
     alpha = 2.0 / (a.ema_span + 1.0)
-    rows = gaps(log).select("source", "row_no", "gap_us")
-    ordered = rows.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("row_no", "gap_us"))).alias("g"))
-    ordered = ordered.join(base_gaps(log, a.initial_gaps), "source", "left")
-    kind = "struct<row_no:bigint,gap_us:bigint,k:int,base:double,next:double>"
-    start = F.struct(F.col("g")[0]["row_no"].cast("long").alias("row_no"), F.lit(None).cast("long").alias("gap_us"), F.lit(None).cast("int").alias("k"), F.coalesce("base_gap_us", F.lit(0.0)).alias("base"), F.coalesce("base_gap_us", F.lit(0.0)).alias("next")).cast(kind)
-
-    def step(done: Column, x: Column) -> Column:
-        base = done["last"]["next"]
-        moved = let(
-            classify(x["gap_us"], base, a),
-            lambda k: F.struct(
-                x["row_no"].cast("long").alias("row_no"), x["gap_us"].alias("gap_us"), k.alias("k"), base.alias("base"),
-                F.when(k == 1, F.lit(alpha) * x["gap_us"] + F.lit(1.0 - alpha) * base).otherwise(base).alias("next"),
-            ).cast(kind),
-        )
-        return let(moved, lambda m: F.struct(m.alias("last"), F.concat(done["rows"], F.array(m)).alias("rows")))
-
-    chunk = 64  # results are appended by chunks: one long array would be copied at every step
-
-    def chunk_fold(done: Column, xs: Column) -> Column:
-        inner = F.aggregate(xs, F.struct(done["last"].alias("last"), F.expr(f"cast(array() as array<{kind}>)").alias("rows")), step)
-        return let(inner, lambda r: F.struct(r["last"].alias("last"), F.concat(done["chunks"], F.array(r["rows"])).alias("chunks")))
-
-    rest = F.slice("g", 2, F.greatest(F.size("g") - 1, F.lit(0)))
-    pieces = let(rest, lambda r: F.transform(F.when(F.size(r) > 0, F.sequence(F.lit(0), F.size(r) - 1, F.lit(chunk))).otherwise(F.expr("cast(array() as array<int>)")), lambda i: F.slice(r, i + 1, chunk)))
-    folded = F.aggregate(pieces, F.struct(start.alias("last"), F.array(F.array(start)).alias("chunks")), chunk_fold)["chunks"]
-    out = ordered.select("source", F.explode(F.flatten(folded)).alias("r")).select("source", "r.row_no", "r.gap_us", "r.k", F.col("r.base").alias("base_gap_us"))
-    reason = F.when(F.col("gap_us").isNotNull() & F.col("k").isNull(), F.when(F.col("gap_us") <= 0, "nonpositive").when((F.col("base_gap_us") > 0) & (F.col("gap_us") > F.col("base_gap_us") * a.long_factor), "long").otherwise("unmatched"))
-    run = Window.partitionBy("source").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("split_reason", reason).withColumn("segment_id", F.sum(F.col("split_reason").isNotNull().cast("int")).over(run).cast("int"))
+    w = Window.partitionBy("source").orderBy("row_no")
+    rows = gaps(log).select("source", F.col("row_no").cast("long").alias("row_no"), F.col("gap_us").cast("long").alias("gap_us"), F.row_number().over(w).alias("_n"))
+    rows = rows.join(base_gaps(log, a.initial_gaps).withColumnRenamed("base_gap_us", "_first"), "source", "left")
+    rows = rows.repartition("source").sortWithinPartitions("source", "_n")
+    added = [("k", pa.int32()), ("base_gap_us", pa.float64()), ("split_reason", pa.string()), ("segment_id", pa.int32())]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, segment = 0.0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for n, gap, first in zip(*(batch.column(c).to_pylist() for c in ("_n", "gap_us", "_first")), strict=True):
+                if n == 1:
+                    base, segment = first or 0.0, 0
+                    out.append((None, base, None, 0))
+                    continue
+                k = reason = None
+                used = base
+                if gap is not None:
+                    k = fitted(gap, base, a)
+                    if k is None:
+                        reason = "nonpositive" if gap <= 0 else "long" if 0 < base * a.long_factor < gap else "unmatched"
+                        segment += 1
+                    elif k == 1:
+                        base = alpha * gap + (1.0 - alpha) * base
+                out.append((k, used, reason, segment))
+            columns = zip(*out, strict=True) if out else [()] * len(added)
+            kept = ["source", "row_no", "gap_us"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, t) for c, (_, t) in zip(columns, added, strict=True))], names=[*kept, *(c for c, _ in added)])
+
+    schema = StructType([*rows.select("source", "row_no", "gap_us").schema, *(StructField(c, from_arrow_type(t)) for c, t in added)])
+    return rows.mapInArrow(fold, schema)
 
 
 def adaptive_resampled(log: DataFrame, a: Adaptive, values: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .windows import step_windows
 
 EPS = 1e-6
 
@@ -68,10 +69,8 @@ def profile_windows(profiles: DataFrame, length: int, stride: int, lags: int, pa
     width = length - lags if paper_style else length
     if width < 1:
         raise ValueError("the window must be longer than the lags")
-    packed = F.array_sort(F.collect_list(F.struct("step_index", "profile")))
-    rows = profiles.groupBy("source", "segment_id").agg(packed.alias("_p")).filter(F.size("_p") >= width)
-    starts = rows.withColumn("start_index", F.explode(F.sequence(F.lit(0), F.size("_p") - width, F.lit(stride))))
-    return starts.select("source", "segment_id", "start_index", F.slice(F.col("_p.profile"), F.col("start_index") + 1, width).alias("sdp"))
+    cut = step_windows(profiles, ["profile"], [width], stride)
+    return cut.select("source", "segment_id", "start_index", F.col("profile").alias("sdp"))
 
 
 def context_places(windows: DataFrame, length: int, lags: int) -> DataFrame:

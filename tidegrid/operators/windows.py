@@ -20,6 +20,20 @@ def windows(segments: DataFrame, columns: list[str], lengths: list[int], stride:
     return starts.select(*others, "window_length", "start_index", *(F.slice(c, F.col("start_index") + 1, F.col("window_length")).alias(c) for c in columns))
 
 
+def step_windows(steps: DataFrame, columns: list[str], lengths: list[int], stride: int, order: str = "step_index") -> DataFrame:
+    """The windows of ``windows`` from step rows: each row goes to the windows that cover it, so no array is longer than a window."""
+    at = F.row_number().over(Window.partitionBy("source", "segment_id").orderBy(order)) - 1
+    rows = steps.select("source", "segment_id", F.col(order).alias("_o"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)), at.alias("_at"))
+    rows = rows.withColumn("window_length", F.explode(F.array(*map(F.lit, lengths))))
+    first = F.greatest(F.ceil((F.col("_at") - F.col("window_length") + 1) / stride), F.lit(0)).cast("int")
+    last = F.floor(F.col("_at") / stride).cast("int")
+    rows = rows.withColumns({"_first": first, "_last": last}).filter("_first <= _last")
+    rows = rows.withColumn("_k", F.explode(F.sequence("_first", "_last"))).withColumn("start_index", F.col("_k") * stride)
+    packed = F.array_sort(F.collect_list(F.struct("_at", *(f"_{i}" for i in range(len(columns))))))
+    cut = rows.groupBy("source", "segment_id", "window_length", "start_index").agg(packed.alias("_w")).filter(F.size("_w") == F.col("window_length"))
+    return cut.select("source", "segment_id", "window_length", "start_index", *(F.col(f"_w._{i}").alias(c) for i, c in enumerate(columns)))
+
+
 def window_starts(steps: DataFrame, lengths: list[int], stride: int, partition: tuple[str, ...] = ("source", "segment_id")) -> DataFrame:
     """Keys of all windows without their values, from step rows."""
     n = steps.groupBy(*partition).agg(F.count("*").cast("int").alias("n_steps"))

@@ -301,7 +301,7 @@ def multi_length_windows(spark, sf_dir):
 
 def _cut(spark, sf_dir):
     columns = ["amp", "interp_mask", "grid_t_us"]
-    return W.windows(G.to_segments(steps(spark, sf_dir), columns), columns, [8, 16], 4)
+    return W.step_windows(steps(spark, sf_dir), columns, [8, 16], 4)
 
 
 _CUT = f"""WITH {STEPS}{_WINDOWS}, joined AS (
