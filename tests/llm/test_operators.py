@@ -447,6 +447,12 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(31)}, 100: 0, 200: 200, 201: 200, 202: 200}
 
 
+def test_unfinished_components_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        components(chain, most_rounds=1)
+
+
 # --- chats and pieces -----------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +21,18 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     ``links`` has longs a and b. A node's neighbours are never gathered: each step is a
     minimum by node, joined back, so a node with very many links is no hot spot. Each
-    round's table is written to the shared folder.
+    round's table is written to the shared folder. Links that still change after
+    ``most_rounds`` rounds are an error, never a result.
     """
     edges = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
     edges = shared.stored(edges, "links")
     before = None
-    for _ in range(most_rounds):
+    for round_ in itertools.count():
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
+        if round_ >= most_rounds:
+            raise RuntimeError(f"components: the links still change after {most_rounds} rounds")
         before = state
         both = edges.select(F.col("hi").alias("node"), F.col("lo").alias("other")).union(edges.select("lo", "hi"))
         large = _stars(both).filter("other > node").select(F.col("other").alias("hi"), F.col("least").alias("lo")).distinct()
