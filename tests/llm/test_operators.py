@@ -103,10 +103,62 @@ def test_windows_hold_the_proportions(spark):
             assert abs(mix[s][source] - 4096 * tokens / n) < 2
 
 
+def test_word_ids_equal_the_librarys():
+    """Every assigned code point with letters, marks and spaces on both sides, and mixed texts."""
+    import unicodedata
+
+    encode = packing.WordEncoder(Q.vocabulary("word_bpe_49k.json"))
+    points = [chr(i) for i in range(1, 0x110000) if unicodedata.category(chr(i)) not in ("Cn", "Cs", "Co")]
+    han = [c for c in points if "\u3400" <= c < "\ufb00" or c >= "\U00020000"]
+    texts = [f"a{c} {c}b {c}. {c},\n{c} A{c}{c}. x{c}, {c}'s B{c}." for c in sorted({*points} - {*han})]
+    texts += [" ".join(f"{c}. a{c}, {c}b" for c in han[i : i + 200]) for i in range(0, len(han), 200)]
+    r = random.Random(1)
+    pool = [*"abcXYZİIıéßŞſKÅ.,.,'<>| \n\t0129-_\u0301\u0307漢字Ωςσ½Ⅷ²", "<|endoftext|>", "İ.", "KALİTELİ.", "'s", *"    ", "ﬁ", "ǅ"]
+    texts += ["".join(r.choice(pool) for _ in range(r.randrange(1, 60))) for _ in range(20_000)]
+    for at in range(0, len(texts), 5000):
+        some = texts[at : at + 5000]
+        assert [t for t, x, y in zip(some, encode.by_word(some), encode._encode(some), strict=True) if x != y] == []
+
+
+def test_tokenizers_that_join_across_spaces_get_whole_texts(spark):
+    assert packing.splits_at_spaces(Q.vocabulary("word_bpe_49k.json"))
+    assert not packing.splits_at_spaces(Q.vocabulary("byte_bpe_50k.json"))
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(Q.vocabulary("byte_bpe_50k.json"))
+    docs = [(i, prose(30 + i), "en", "s", 0) for i in range(40)]
+    for by_word in (None, True):  # a worker finds out by itself, too
+        rows = packing.pack(spark.createDataFrame(docs, SCHEMA), Q.vocabulary("byte_bpe_50k.json"), window=64, by_word=by_word).collect()
+        for r in rows:
+            ids = [*t.encode(docs[r.doc_id][1], add_special_tokens=False).ids, 2]
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
 def test_weights_and_pooled_queues(spark):
     docs = [(i, prose(80), "en", f"s{i}" if i > 40 else "big", 0) for i in range(80)]
     df = spark.createDataFrame(docs, SCHEMA)
     check_packing(packing.pack(df, Q.vocabulary("word_bpe_49k.json"), window=256, max_queues=4).collect(), docs, 256)
+    # sources in one queue keep their proportions to within a document each, though the table is sorted by source
+    docs = [(i, prose(20 + 60 * (i // 100 % 2)), "en", f"s{i // 100}", 0) for i in range(600)]
+    rows = packing.pack(spark.createDataFrame(docs, SCHEMA), Q.vocabulary("word_bpe_49k.json"), window=1024, max_queues=2).collect()
+    check_packing(rows, docs, 1024)
+    total, so_far = Counter(), Counter()
+    for r in rows:
+        total[r.source] += r.length
+    n, at = sum(total.values()), 0
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        so_far[r.source] += r.length
+        at += r.length
+        assert all(abs(so_far[s] - at * total[s] / n) < 6 * 250 for s in total)
+    # small sources with a weight have queues of their own
+    docs = [(i, prose(60), "en", "big" if i > 20 else f"t{i % 2}", 0) for i in range(400)]
+    rows = packing.pack(spark.createDataFrame(docs, SCHEMA), Q.vocabulary("word_bpe_49k.json"), window=512, max_queues=2, weights={"t0": 1, "big": 1}).collect()
+    check_packing(rows, docs, 512)
+    mix = Counter()
+    for r in rows:
+        if r.sequence_id == 0:
+            mix[r.source] += r.length
+    assert mix == {"t0": 256, "big": 256}
     docs = [(i, prose(60), "en", "ab"[i % 2], 0) for i in range(200)]
     rows = packing.pack(spark.createDataFrame(docs, SCHEMA), Q.vocabulary("word_bpe_49k.json"), window=512, weights={"a": 3, "b": 1}).collect()
     check_packing(rows, docs, 512)

@@ -10,7 +10,7 @@ their queue ends.
 The rounds run in parallel: windows are grouped into epochs, and what every queue was
 served before an epoch, thus the deficits carried into it, follows from the targets
 alone (``Rounds.served_before``). A task works out only the epochs that its documents
-lie in. Queue positions come from sums over (part, source), never from one global
+lie in. Queue positions come from sums over (source, part), never from one global
 sort; token ids are computed once and kept in the shared folder.
 """
 
@@ -166,9 +166,13 @@ class WordEncoder:
     """Token ids by the tokenizers library, each distinct word encoded once.
 
     For tokenizers that drop white space and never join across it, ids of a text are
-    the ids of its words in a row. Whether that holds is tested on texts of each worker.
+    the ids of its words in a row. ``splits_at_spaces`` asks the tokenizer for that before
+    this class is used; besides, each worker holds one text of ``every`` against the
+    library's encoding of the whole text, and takes that for all texts once they differ.
     """
 
+    every = 256
+
     #: Words that are kept: so many, and up to so many bytes, as longer ones seldom recur.
     limit, longest = 600_000, 11
 
@@ -185,7 +189,7 @@ class WordEncoder:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.bare = self._bare() if suffix else None
         self.known: dict[bytes, bytes] = {}
-        self.tested = 0
+        self.seen, self.whole = 0, False
 
     def _bare(self):
         """The tokenizer without the steps that leave words of a-z as they are, or None if it isn't byte-level."""
@@ -220,12 +224,15 @@ class WordEncoder:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
-        """Cuts that change no id: ASCII in lower case, letters, digits and marks apart; else a full stop or comma after the last letter."""
+        """Cuts that change no id: ASCII in lower case, letters, digits and marks apart; else a full stop or comma after the last letter.
+
+        The letter must be one in lower case, too: that of a dotted capital I ends with a mark.
+        """
         if "<" in word or "'" in word:  # may hold a special token or a contraction
             return (word,)
         if word.isascii():
             return tuple(_RUNS.findall(word.lower()))
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "ɐ":
+        if len(word) > 1 and word[-1] in ".," and word[-2] < "ɐ" and word[-2].isalpha() and word[-2].lower().isalpha():
             return word[:-1], word[-1]
         return (word,)
 
@@ -249,11 +256,20 @@ class WordEncoder:
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.whole or not texts:
+            return list(self._encode(texts))
+        out = self.by_word(texts)
+        tested = [i for i in range(len(texts)) if (self.seen + i) % self.every < (16 if self.seen + i < self.every else 1)]
+        self.seen += len(texts)
+        if [out[i] for i in tested] != list(self._encode([texts[i] for i in tested])):
+            self.whole = True
+            return list(self._encode(texts))
+        return out
+
+    def by_word(self, texts: list[str]) -> list[bytes]:
         """Words are told apart in numpy, by up to 16 bytes as two integers; each distinct one is looked up once."""
         if len(self.known) > self.limit:
             self.known = {}
-        if not texts:
-            return []
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         raw = b" ".join(raws) + b" "
         a = np.frombuffer(raw + bytes(16), np.uint8)
@@ -292,13 +308,7 @@ class WordEncoder:
         ends = np.cumsum([len(r) + 1 for r in raws])
         edge = np.concatenate([[0], until])[np.searchsorted(starts, ends)] * width
         edge = [0, *edge.tolist()]
-        out = [flat[i:j] for i, j in zip(edge, edge[1:], strict=False)]
-        if self.tested < 16:
-            few = [i for i in range(len(texts)) if len(texts[i]) < 20_000][:4]
-            if [out[i] for i in few] != list(self._encode([texts[i] for i in few])):
-                raise ValueError("this tokenizer joins tokens across white space; encode whole texts instead")
-            self.tested += len(few)
-        return out
+        return [flat[i:j] for i, j in zip(edge, edge[1:], strict=False)]
 
 
 class TextEncoder(WordEncoder):
@@ -308,6 +318,19 @@ class TextEncoder(WordEncoder):
         return list(self._encode(texts))
 
 
+def probes() -> Iterator[str]:
+    """Texts of all kinds of characters with spaces and marks on both sides."""
+    for c in map(chr, [*range(1, 0x600), *range(0x600, 0x3100, 16), *range(0xFB00, 0xFF00, 64), *range(0x1F300, 0x1F700, 64)]):
+        yield f"a{c} {c}b {c}. {c},\n{c} A{c}{c}. 1{c}\u0301 {c}'s"
+
+
+@lru_cache
+def splits_at_spaces(path: str) -> bool:
+    """Whether the ids of texts are those of their words in a row, on every probe."""
+    encode, texts = WordEncoder(path), list(probes())
+    return encode.by_word(texts) == list(encode._encode(texts))
+
+
 _encoders: dict[tuple[str, bool], WordEncoder] = {}
 
 
@@ -319,7 +342,7 @@ def encoder(path: str, by_word: bool, kept_words: int | None = None) -> WordEnco
     return _encoders[key]
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True, kept_words: int | None = None) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool, kept_words: int | None = None) -> DataFrame:
     """Ids of every document with ``end_id`` last, with its place among its source's documents of the same part."""
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,42 +365,71 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, by_word: bool = True
     return rows.mapInPandas(ids_of, TOKENS)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, weights: dict[str, float] | None = None, max_queues: int = 1024, by_word: bool = True, kept_words: int | None = None) -> DataFrame:
+def _running(units: DataFrame, keys: list[str], block, order: list[str], out: str) -> DataFrame:
+    """``units`` with the tokens of the units before each one of the same ``keys``, in two levels.
+
+    ``block`` splits a key's units into stretches in order; sums of stretches run over the
+    stretches, units run inside theirs, so no task gets all units of a key.
+    """
+    units = units.withColumn("_block", block)
+    by = [*keys, "_block"]
+    sums = units.groupBy(*by).agg(F.sum("tokens").alias("_all"))
+    over = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sums.select(*by, F.coalesce(F.sum("_all").over(over), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = units.withColumn("_inside", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(ahead, by)
+    return rows.withColumn(out, F.col("_inside") + F.col("_ahead")).drop("_block", "_inside", "_ahead")
+
+
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, weights: dict[str, float] | None = None, max_queues: int = 1024, by_word: bool | None = None, kept_words: int | None = None) -> DataFrame:
     """Pieces of all documents, dealt into sequences of ``window`` tokens.
 
     ``docs`` has doc_id, text and source; further columns are ignored. A null text is
     empty, so it has ``end_id`` only; a null source is a source of its own; repeated rows
     are packed as often as they occur; an empty table gives no row. Only the last
     sequence can be short. ``weights`` maps sources to target proportions (default: their
-    shares of all tokens); sources under 1 / ``max_queues`` of the tokens share one queue,
-    which bounds the schedule that tasks get. ``kept_words`` bounds the words whose ids a
-    worker remembers, for speed only.
+    shares of all tokens); a source without one comes after those that have one.
+
+    A source has a queue of its own if it has a weight or at least 1 / ``max_queues`` of
+    all tokens. The others' queue is a schedule of a second level: each source's documents,
+    in stretches of at most a window or one document, come at the moment that is their
+    share of their source, so they keep proportions too, to within a stretch each.
+
+    ``by_word`` encodes distinct words once; by default where ``splits_at_spaces``.
+    ``kept_words`` bounds the words whose ids a worker remembers, for speed only.
     """
     spark = docs.sparkSession
     shared.share_code(spark)
+    by_word = splits_at_spaces(tokenizer) if by_word is None else by_word
     tokens = shared.stored(tokenised(docs, tokenizer, end_id, by_word, kept_words), "tokens")
-    sums = tokens.groupBy("part", "source").agg(F.sum("n_tokens").alias("tokens"))
-    by_source = sums.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    n = by_source.agg(F.sum("tokens")).first()[0] or 0
+    by_source = tokens.groupBy("source").agg(F.sum("n_tokens").alias("total"))
+    n = by_source.agg(F.sum("total")).first()[0] or 0
     if not n:
         return spark.createDataFrame([], PIECES)
-    own = by_source.filter(F.col("tokens") * max_queues >= n).orderBy("source").collect()  # at most max_queues rows
-    names, totals = [r["source"] for r in own], [r["tokens"] for r in own]
-    if sum(totals) < n:
-        names, totals = [*names, None], [*totals, n - sum(totals)]
+    own = by_source.filter((F.col("total") * max_queues >= n) | F.col("source").isin(list(weights or {}))).orderBy("source").collect()  # at most max_queues and the weights given
+    names, totals = [r["source"] for r in own], [r["total"] for r in own]
+    pooled = n - sum(totals)
+    if pooled:
+        names, totals = [*names, None], [*totals, pooled]
     rates = None if weights is None else [float(weights.get(x, 0.0)) if x is not None else 0.0 for x in names]
     rounds = Rounds(totals, rates, window)
 
     queue = spark.createDataFrame([(x, i) for i, x in enumerate(names) if x is not None], "source string, queue int")
-    before = Window.partitionBy("queue").orderBy("part", "source").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        sums.join(F.broadcast(queue), "source", "left")
-        .withColumn("queue", F.coalesce("queue", F.lit(len(names) - 1)))
-        .withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-        .select("part", "source", "queue", "base")
-    )
-
-    base = shared.stored(base, "queue-base")  # its size is known when the join is planned
+    if pooled:
+        tokens = tokens.join(F.broadcast(queue), "source", "left").withColumn("cell", F.when(F.col("queue").isNull(), F.floor(F.col("run") / window)).otherwise(0)).drop("queue")
+    else:
+        tokens = tokens.withColumn("cell", F.lit(0).cast("long"))
+    unit = ["source", "part", "cell"]
+    units = tokens.groupBy(*unit).agg(F.sum("n_tokens").alias("tokens"), F.min("run").alias("first"))
+    base = shared.stored(_running(units, ["source"], F.floor(F.col("part") / 256), ["part", "cell"], "base").join(F.broadcast(queue), "source", "left"), "queue-base")
+    if pooled:
+        spread = 4 * shared.shuffle_partitions(spark)
+        when = (F.col("base") + F.col("tokens") * (F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / (1 << 20))) / F.col("total")
+        timed = base.filter(F.col("queue").isNull()).join(by_source, "source").withColumn("_when", when).drop("base", "queue")
+        placed = _running(timed, [], F.floor(F.col("_when") * spread), ["_when", *unit], "base").withColumn("queue", F.lit(len(names) - 1))
+        columns = [*unit, "first", "queue", "base"]
+        base = shared.stored(base.filter(F.col("queue").isNotNull()).select(*columns).union(placed.select(*columns)), "queue-base")
+    base = base.select(*unit, "queue", (F.col("base") - F.col("first")).alias("base"))  # a unit's documents count from the part's start
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -388,5 +440,5 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
                     rows.append((doc, a, size, zlib.crc32(wide[a : a + size]), n, w, off, source))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
-    pieces = tokens.join(base, ["part", "source"]).select("doc_id", "source", "queue", "base", "run", "n_tokens", "ids").mapInPandas(deal, PIECES)
+    pieces = tokens.join(base, unit).select("doc_id", "source", "queue", "base", "run", "n_tokens", "ids").mapInPandas(deal, PIECES)
     return shared.id_out(pieces)
