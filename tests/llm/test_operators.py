@@ -220,10 +220,23 @@ def test_language_on_held_out_rows(spark, sf_dir, odd, empty):
     assert (held.lang == held.lang_pred).mean() > 0.97
     rows = {(r.doc_id, r.lang_pred, r.score) for r in language.languages(odd).collect()}
     assert {r[1] for r in rows if r[0] in (2, 3, 4, 8)} == {"und"}
+    marks = spark.createDataFrame(list(enumerate(["\u00bd", "\u2167 12", "\u2460\u00b2 _", "\u0301"])) + [(9, "\u00bd a")], "doc_id long, text string")
+    model = language.train(docs)
+    assert [r.lang_pred == "und" for r in language.languages(marks, model=model).orderBy("doc_id").collect()] == [True] * 4 + [False]
     assert len(language.languages(odd).collect()) == len(ODD)
     assert language.languages(empty).count() == 0
 
 
+def test_training_sees_the_counts_that_predictions_see(spark, monkeypatch):
+    text = "a" * 70_000 + " b"
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda pairs, names, idf: seen.extend(pairs) or language.LanguageModel(names, idf, np.zeros((language.SLOTS, 1)), 1.0))
+    language.train(spark.createDataFrame([(i, text, "en") for i in range(3)], "doc_id long, text string, lang string"))
+    slots, counts = language.ngrams(text)
+    assert max(counts) == 70_000
+    assert seen and all(s.tolist() == slots.tolist() and c.tolist() == counts.tolist() for s, c, _ in seen)
+
+
 def test_ftrl_is_sparse():
     ftrl = language.Ftrl(2, l1=0.5)
     for label in (0, 1) * 20:
@@ -558,6 +571,33 @@ def test_pieces_have_parity(spark, odd, empty):
     assert pieces.verify_pieces(empty, model).count() == 0
 
 
+def test_a_wrong_word_is_reported_for_its_documents():
+    c = pieces.Codec(Q.vocabulary("piece_bpe_32k.model"))
+    texts = ["some plain words", "more words here", "é漢字 only"]
+    assert [x[1:] for x in c.verified(texts)] == [(True, True, True)] * 3
+    c.known["more"], c.other["only"] = c.known["some"], "lonely"  # doctored
+    assert [x[1:] for x in c.verified(texts)] == [(True, True, True), (False, True, True), (True, False, False)]
+
+
+def test_pieces_equal_the_librarys_on_mixed_texts():
+    r = random.Random(3)
+    pool = [*"ab .,  \n\t▁é漢🙂\u0301\u200b\u00a0\u3000\x00", "<s>", "</s>", "<0x41>", "word", " the ", "ﬁ", "½"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(0, 40))) for _ in range(3000)]
+    c = pieces.Codec(Q.vocabulary("piece_bpe_32k.model"))
+    for text, (_, *same) in zip(texts, c.verified(texts), strict=True):
+        assert all(same[:2]), text
+
+
+def test_parallelism_is_set_by_each_operator(monkeypatch):
+    import os
+
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "false")
+    pieces.Codec(Q.vocabulary("piece_bpe_32k.model")).coded(["a b"])
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "true"
+    list(packing.WordEncoder(Q.vocabulary("word_bpe_49k.json"))(["a b"]))
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+
 def _field(n, value):
     raw = value if isinstance(value, bytes) else value.encode()
     return bytes([n << 3 | 2, len(raw)]) + raw

@@ -9,7 +9,6 @@ weights haven't seen.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +21,6 @@ from . import shared
 
 SLOTS = 1 << 15
 NONE = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -88,8 +86,8 @@ class LanguageModel:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """(language, probability); ``und`` with 0 for a text without letters."""
-        if not text or not self.names or not _LETTER.search(text):
+        """(language, probability); ``und`` with 0 for a text without letters (categories Lu, Ll, Lt, Lm and Lo)."""
+        if not text or not self.names or not any(map(str.isalpha, text)):
             return NONE, 0.0
         slots, counts = ngrams(text)
         p = softmax(tf_idf(slots, counts, self.idf) @ self.weights[slots] / self.temperature)
@@ -130,11 +128,13 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], idf: n
     return LanguageModel(names, idf, w, temperature)
 
 
-def train(docs: DataFrame, per_language: int = 600) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 600, most_rows: int = 60_000) -> LanguageModel:
     """A model of ``lang``, learned from documents that are not held out and have a language.
 
     Document frequencies count all of them; the weights see at most ``per_language``
-    documents of each language, those with the smallest hashes of doc_id.
+    documents of each language, those with the smallest hashes of doc_id. With more
+    languages than ``most_rows / per_language``, each gives its part of ``most_rows``, one
+    document at least.
     """
     fold = docs.filter(F.col("lang").isNotNull() & F.coalesce(learnable(), F.lit(False)))
     rows = fold.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
@@ -159,6 +159,7 @@ def train(docs: DataFrame, per_language: int = 600) -> LanguageModel:
 
     # in two steps, so that no task gets a frequent language's rows of all partitions
     order = (F.xxhash64("doc_id"), "doc_id")
+    per_language = max(1, min(per_language, most_rows // max(1, fold.select("lang").distinct().count())))
     chosen = fold.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
     for by in (("lang", "part"), ("lang",)):
         chosen = chosen.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= per_language)
@@ -167,12 +168,12 @@ def train(docs: DataFrame, per_language: int = 600) -> LanguageModel:
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [ngrams(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "slots": [s.astype("<u2").tobytes() for s, _ in got], "counts": [np.minimum(c, 65535).astype("<u2").tobytes() for _, c in got]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "slots": [s.astype("<u2").tobytes() for s, _ in got], "counts": [c.astype("<u4").tobytes() for _, c in got]})
 
     sample = rows.join(chosen, "doc_id", "left_semi").mapInPandas(extract, "doc_id long, lang string, slots binary, counts binary").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["slots"])))
     names = sorted({r["lang"] for r in sample})
-    pairs = [(np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u2"), names.index(r["lang"])) for r in sample]
+    pairs = [(np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4"), names.index(r["lang"])) for r in sample]
     return fit(pairs, names, idf)
 
 
