@@ -9,7 +9,6 @@ there and reading back is exact.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 from collections.abc import Iterator
 
@@ -77,7 +76,6 @@ _tokenizers: dict[str, object] = {}
 def chat_tokenizer(path: str):
     """The tokenizer with the markers as special tokens and untrimmed offsets."""
     if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import AddedToken, Tokenizer, processors
 
         t = Tokenizer.from_file(path)

@@ -177,7 +177,6 @@ class WordEncoder:
     limit, longest = 600_000, 11
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -205,11 +204,13 @@ class WordEncoder:
         return t if same else None
 
     def _encode(self, words: list[str]) -> Iterator[bytes]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # whatever other operators set in this worker
         for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
             yield np.array(e.ids, self.dtype).tobytes()
 
     def _joined(self, tokenizer, words: list[str], size: int = 256) -> list[bytes | None]:
         """Ids of words of letters, many to a text, cut after the tokens that end words; None where they don't fit."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         out: list[bytes | None] = []
         groups = [words[i : i + size] for i in range(0, len(words), size)]
         for group, e in zip(groups, tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):

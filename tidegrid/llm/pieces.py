@@ -2,8 +2,8 @@
 
 The model's protobuf is read field by field; normaliser, white space marker, scores and
 byte fallback are rebuilt as a ``tokenizers`` pipeline for unigram and BPE models. Batches
-are encoded multithreaded and decoded again; parity with the sentencepiece library is
-verified on the same texts.
+are encoded multithreaded and decoded again; the sentencepiece library encodes and decodes
+every whole text beside it, and both are compared text by text.
 """
 
 from __future__ import annotations
@@ -129,65 +129,83 @@ class Codec:
     """A model file as a ``tokenizers`` pipeline, with the sentencepiece library beside it to verify.
 
     Where no piece goes on past a word's end, ids of a text are the ids of its words in a
-    row. Then each distinct word is encoded, decoded and held against the library once,
-    many words to a text; texts with runs of spaces or a literal marker go through whole.
+    row. Then each distinct word is encoded and decoded once, many words to a text; texts
+    with runs of spaces or a literal marker go through whole.
     """
 
-    limit, joined = 300_000, 256
+    #: Words that are kept: so many, and up to so many characters, as longer ones seldom recur; words to a text.
+    limit, longest, joined = 800_000, 12, 256
 
     def __init__(self, path: str):
-        import sentencepiece
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         with open(path, "rb") as f:
             self.model = parse(f.read())
+        self.path, self.loaded = path, None
         self.tokenizer = build(self.model)
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.by_word = self.tokenizer.pre_tokenizer is not None and self.model.dummy_prefix and not self.model.squeeze_spaces
+        self.by_word = self.tokenizer.pre_tokenizer is not None and self.model.dummy_prefix and not self.model.squeeze_spaces and not self.model.charsmap
         self.starts = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.is_byte = np.array([k == BYTE for _, _, k in self.model.pieces])
         self.known: dict[str, bytes] = {}
-        self.odd: dict[str, tuple[bool, bool, bool]] = {}  # words that fail a comparison: ids, decoding, round trip
+        self.other: dict[str, str] = {}  # words that decode to another text, and that text
+
+    @property
+    def library(self):
+        if self.loaded is None:
+            import sentencepiece
+
+            self.loaded = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        return self.loaded
 
-    def whole(self, texts: list[str]) -> list[tuple[bytes, bool, bool, bool]]:
-        """Per text: ids, and whether ids, decoding and round trip agree."""
+    def whole(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids and decoded text of each text; the batch runs on several threads whatever other operators set in this worker."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         decoded = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        theirs = self.library.encode(texts, num_threads=1)
-        back = self.library.decode(theirs)
-        return [(np.array(a, "<u4").tobytes(), a == b, d == e, d == x) for a, b, d, e, x in zip(ids, theirs, decoded, back, texts, strict=True)]
+        return [(np.array(a, "<u4").tobytes(), d) for a, d in zip(ids, decoded, strict=True)]
 
     def learn(self, words: list[str]) -> None:
+        """Encode and decode words that aren't known yet."""
         groups = [words[i : i + self.joined] for i in range(0, len(words), self.joined)]
-        for group, (raw, *fine) in zip(groups, self.whole([" ".join(g) for g in groups]), strict=True):
+        texts = [" ".join(g) for g in groups]
+        for group, text, (raw, decoded) in zip(groups, texts, self.whole(texts), strict=True):
             at = (np.flatnonzero(self.starts[np.frombuffer(raw, "<u4")]) * 4).tolist()
-            if all(fine) and len(at) == len(group):
+            if decoded == text and len(at) == len(group):
                 self.known.update(zip(group, (raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)), strict=True))
                 continue
-            for w, (one, *same) in zip(group, self.whole(group), strict=True):
-                self.known[w] = one
-                if not all(same):
-                    self.odd[w] = tuple(same)
+            for w, (ids, back) in zip(group, self.whole(group), strict=True):
+                self.known[w] = ids
+                if back != w:
+                    self.other[w] = back
 
-    def __call__(self, texts: list[str]) -> list[tuple[bytes, bool, bool, bool]]:
+    def coded(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """The ids of each text, and what they decode to."""
         if not self.by_word:
             return self.whole(texts)
         if len(self.known) > self.limit:
-            self.known, self.odd = {}, {}
+            self.known, self.other = {}, {}
         cut = [t.split(" ") if t else [] for t in texts]
         apart = [i for i, words in enumerate(cut) if "" in words or MARK in texts[i]]
         for i in apart:
             cut[i] = []
-        self.learn(list(set().union(*cut).difference(self.known)))
-        out = [(b"".join(map(self.known.__getitem__, words)), True, True, True) for words in cut]
-        if self.odd:
-            for i, words in enumerate(cut):
-                if bad := [self.odd[w] for w in self.odd.keys() & words]:
-                    out[i] = (out[i][0], *map(all, zip(*bad, strict=True)))
+        fresh = list(set().union(*cut).difference(self.known))
+        self.learn(fresh)
+        out = []
+        for text, words in zip(texts, cut, strict=True):
+            back = " ".join([self.other.get(w, w) for w in words]) if self.other and not self.other.keys().isdisjoint(words) else text
+            out.append((b"".join(map(self.known.__getitem__, words)), back))
         for i, found in zip(apart, self.whole([texts[i] for i in apart]), strict=True):
             out[i] = found
+        for w in fresh:
+            if len(w) > self.longest:
+                del self.known[w]
+                self.other.pop(w, None)
         return out
 
+    def verified(self, texts: list[str]) -> list[tuple[bytes, bool, bool, bool]]:
+        """Per text: ids, whether the library's ids and its decoding are the same, and whether decoding returns the text."""
+        theirs = self.library.encode(texts, num_threads=1)
+        back = self.library.decode(theirs)
+        return [(raw, raw == np.array(ids, "<u4").tobytes(), decoded == b, decoded == t) for (raw, decoded), ids, b, t in zip(self.coded(texts), theirs, back, texts, strict=True)]
+
 
 _codecs: dict[str, Codec] = {}
 
@@ -199,15 +217,18 @@ def codec(path: str) -> Codec:
 
 
 def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and the piece ids of every text; a null or empty text has none."""
+    """doc_id and the piece ids of every text; a null or empty text has none.
+
+    Repeated rows are encoded apart; an empty table gives no row; further columns are ignored.
+    """
     shared.share_code(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = codec(model).tokenizer
+        c = codec(model)
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at : at + 512]
-                yield pd.DataFrame({"doc_id": some["doc_id"], "ids": [e.ids for e in t.encode_batch_fast(some["text"].tolist(), add_special_tokens=False)]})
+                yield pd.DataFrame({"doc_id": some["doc_id"], "ids": [np.frombuffer(raw, "<u4").astype(np.int32) for raw, _ in c.coded(some["text"].tolist())]})
 
     rows = docs.select(shared.id_in(), F.coalesce("text", F.lit("")).alias("text"))
     return shared.id_out(rows.mapInPandas(run, "doc_id long, ids array<int>"))
@@ -229,8 +250,8 @@ def verify_pieces(docs: DataFrame, model: str) -> DataFrame:
     """Per document: its encoding, whether the sentencepiece library gives the same ids, and whether decoding returns the text.
 
     Nulls are empty texts; repeated rows and further columns are kept apart and ignored;
-    an empty table gives no row. ``decoded_same`` compares with the library's own
-    decoding, ``round_trip`` with the text itself.
+    an empty table gives no row. The library encodes and decodes each whole text:
+    ``same_ids`` compares its ids, ``decoded_same`` its decoding, ``round_trip`` the text itself.
     """
     shared.share_code(docs.sparkSession)
 
@@ -239,7 +260,7 @@ def verify_pieces(docs: DataFrame, model: str) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at : at + 512]
-                found = c(some["text"].tolist())
+                found = c.verified(some["text"].tolist())
                 yield pd.DataFrame(
                     {
                         "doc_id": some["doc_id"],
