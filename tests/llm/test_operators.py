@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import assert_same, connect
 from tidegrid.llm import chat, fingerprints, language, near_dedup, packing, pieces, pii, quality, shared, suffix_dedup, suffix_order, topk
@@ -434,12 +435,25 @@ def test_fingerprints(spark, odd, empty):
         full = [set(shared.shingle_hashes(shared.word_hashes(t), 5).tolist()) for t in (text, edited)]
         exact = len(full[0] & full[1]) / len(full[0] | full[1]) if full[0] | full[1] else 1.0
         assert abs(r.near_edited - exact) < 0.2
+        prints = {d: fingerprints.from_text(rows[d].fingerprint) for d in rows}
+        assert prints[d].tolist() == sorted(full[0])[: fingerprints.K]
+        assert fingerprints.from_text(r.edited_fingerprint).tolist() == sorted(full[1])[: fingerprints.K]
+        other = set(shared.shingle_hashes(shared.word_hashes(after), 5).tolist())
+        least = sorted(full[0] | other)[: fingerprints.K]
+        assert r.near_next == pytest.approx(len(set(least) & full[0] & other) / len(least) if least else 1.0)
     assert len(fingerprints.fingerprints(odd).collect()) == len(ODD)
     assert len({r.fingerprint for r in fingerprints.fingerprints(odd).collect() if r.doc_id in (1, 5)}) == 1
     assert fingerprints.fingerprints(empty).count() == 0
     assert rows[100].n_chars == 0
 
 
+def test_ranges_of_ids_are_partitions(spark):
+    docs = spark.createDataFrame([(i * i, "x", "en", "s", 0) for i in range(400)], SCHEMA)
+    where = fingerprints.with_next(docs, 8).withColumn("p", F.spark_partition_id()).groupBy("range", "p").count().collect()
+    assert sorted((r["range"], r["p"]) for r in where) == [(i, i) for i in range(8)]
+    assert max(r["count"] for r in where) < 60
+
+
 def test_sketches_merge_and_estimate():
     a, b = prose(3000, 1), prose(3000, 2)
     both = fingerprints.merge(fingerprints.sketch(a), fingerprints.sketch(b))

@@ -66,8 +66,8 @@ def from_text(s: str) -> np.ndarray:
 def with_next(docs: DataFrame, spark_partitions: int) -> DataFrame:
     """Documents dealt into ranges of doc_id, in order, each range followed by the first document of the next one.
 
-    Ranges come from quantiles of doc_id, so no task gets more than its share; the only
-    rows that meet twice are the first of each range.
+    Ranges come from quantiles of doc_id, and range i is partition i, so each task gets one
+    share of the rows; the only rows that meet twice are the first of each range.
     """
     spark = docs.sparkSession
     rows = docs.select(shared.id_in().alias("place"), F.coalesce("text", F.lit("")).alias("text"))
@@ -80,7 +80,7 @@ def with_next(docs: DataFrame, spark_partitions: int) -> DataFrame:
     guest = F.broadcast(spark.createDataFrame(guests, "place long, before int"))
     both = F.array(F.struct(F.col("range"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(1).alias("guest")))
     dealt = ranged.join(guest, "place", "left").withColumn("to", F.explode(F.filter(both, lambda x: x["range"].isNotNull())))
-    return dealt.select(F.col("place").alias("doc_id"), "text", "to.range", "to.guest").repartition(spark_partitions, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
+    return dealt.select(F.col("place").alias("doc_id"), "text", "to.range", "to.guest").repartitionById(spark_partitions, "range").sortWithinPartitions("range", "guest", "doc_id", F.xxhash64("text"))
 
 
 def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
