@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-BITS, BLOCK, QUERIES = 6, 1 << 15, 256
+BITS, BLOCK, QUERIES = 6, 1 << 15, 64
 BLOCKS = "uid long, dims int, n int, vec_ids binary, exact binary, slices binary, low long, shift int"
 
 
@@ -171,17 +171,19 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     Vectors of another dimension are no candidates. Null vectors and vectors with null or
     non-finite components take no part; further columns are ignored; an empty table gives
     no row. Scores must fit into a long. Each block of rows meets each block of queries
-    once; at most k rows of such a pair go on.
+    once; at most k rows of such a pair go on. A block goes once to each of its places, and
+    its queries stream past it there; blocks have several places where there are few of them.
     """
     spark = vectors.sparkSession
     shared.share_code(spark)
     rows = quantised(vectors, scale)
     blocks = shared.stored(index(rows, block), "slices")
-    names = blocks.select("uid", "dims").withColumn("block", F.row_number().over(Window.orderBy("uid")) - 1)  # one row a block
+    names = blocks.select("uid").withColumn("block", F.row_number().over(Window.orderBy("uid")) - 1)  # one small row a block of rows
     names = shared.stored(names, "block-names")
-    n = names.count()
+    n, tasks = names.count(), shared.shuffle_partitions(spark)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sides = -(-2 * tasks // n) if n < 2 * tasks else 1
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, list[tuple[int, np.ndarray]]] = {}
@@ -199,21 +201,28 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
             yield made(dims)
 
     asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    bundles = shared.stored(asked.mapInPandas(bundle, "dims int, query_ids binary, queries binary"), "queries")
-    sent = bundles.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = blocks.join(names.select("uid", "block"), "uid").repartition(max(1, min(n, shared.shuffle_partitions(spark))), "block").join(sent, ["block", "dims"])
+    bundles = asked.mapInPandas(bundle, "dims int, query_ids binary, queries binary").withColumn("side", F.pmod(F.xxhash64("query_ids"), F.lit(sides)).cast("int"))
+    hosts = blocks.join(names, "uid").withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(sides - 1))))
+    guests = bundles.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = hosts.drop("uid").unionByName(guests, allowMissingColumns=True).withColumn("guest", F.col("queries").isNotNull())
+    place = F.pmod(F.col("block").cast("long") * sides + F.col("side"), F.lit(min(tasks, n * sides))).cast("int")
+    met = met.repartitionById(min(tasks, n * sides), place).sortWithinPartitions("block", "side", "guest")
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here = None
         for pdf in batches:
-            for ids, exact, maps, shift, dims, size, query_ids, queries in zip(*(pdf[c] for c in ("vec_ids", "exact", "slices", "shift", "dims", "n", "query_ids", "queries")), strict=True):
-                ids = np.frombuffer(ids, "<i8")
-                matrix = np.frombuffer(exact, np.int16 if len(exact) == 2 * dims * size else np.int64).reshape(size, dims)
-                bitmaps = np.frombuffer(maps, "<u8").reshape(dims, BITS, -1) if dims else np.zeros((0, BITS, -(-size // 64)), np.uint64)
-                asked_ids = np.frombuffer(query_ids, "<i8")
-                for own, q in zip(asked_ids, np.frombuffer(queries, "<i8").reshape(len(asked_ids), dims), strict=True):
-                    found, scores = search(q, own, ids, matrix, bitmaps, shift, k)
-                    yield pd.DataFrame({"query_id": own, "vec_id": found, "score": scores})
-
-    near = pairs.mapInPandas(meet, "query_id long, vec_id long, score long")
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for row in pdf.itertuples():
+                if not row.guest:
+                    here, size, dims, shift = (row.block, row.side), int(row.n), int(row.dims), int(row.shift)
+                    ids = np.frombuffer(row.vec_ids, "<i8")
+                    matrix = np.frombuffer(row.exact, np.int16 if len(row.exact) == 2 * dims * size else np.int64).reshape(size, dims)
+                    bitmaps = np.frombuffer(row.slices, "<u8").reshape(dims, BITS, -1) if dims else np.zeros((0, BITS, -(-size // 64)), np.uint64)
+                elif here == (row.block, row.side) and dims == row.dims:
+                    asked_ids = np.frombuffer(row.query_ids, "<i8")
+                    for own, q in zip(asked_ids, np.frombuffer(row.queries, "<i8").reshape(len(asked_ids), dims), strict=True):
+                        found, scores = search(q, own, ids, matrix, bitmaps, shift, k)
+                        yield pd.DataFrame({"query_id": own, "vec_id": found, "score": scores})
+
+    near = met.mapInPandas(meet, "query_id long, vec_id long, score long")
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
