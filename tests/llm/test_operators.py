@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tests.oracle import assert_same, connect
 from tidegrid.llm import chat, fingerprints, language, near_dedup, packing, pieces, pii, quality, shared, suffix_dedup, suffix_order, topk
 from tidegrid.llm import queries as Q
-from tidegrid.llm.graph import components
+from tidegrid.llm.graph import components, merged
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 CLASH = "doc_id long, text string, lang string, source string, n_chars long, part int, score string, bands int, spans int, queue int, place int, __starts int"
@@ -510,6 +510,43 @@ def test_near_duplicates_odd_inputs(spark, odd, empty):
     kept = near_dedup.deduplicated(odd)
     assert kept.columns == odd.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 2, 3, 4, 6, 7, 8]
+    assert kept.filter("doc_id is null").count() == 1
+    twice = odd.union(odd)  # every row repeated, those without an id too
+    assert sorted(map(str, near_dedup.deduplicated(twice).collect())) == sorted(map(str, kept.collect()))
+    more = spark.createDataFrame([(None, "no id here"), (None, "no id here"), (None, "another text here"), (None, ODD[0][1]), (1, ODD[0][1]), (None, None)], "doc_id long, text string")
+    assert {(r.doc_id, r.text) for r in near_dedup.deduplicated(more).collect()} == {(None, "no id here"), (None, "another text here"), (1, ODD[0][1]), (None, None)}
+
+
+def test_mutually_close_texts_under_the_threshold(spark, monkeypatch):
+    """A bucket of many components: what leaders don't connect is compared in blocks, and all links are found."""
+    base = prose(60, 78).split()
+    r, rows = random.Random(4), []
+    for i in range(150):
+        w = list(base)
+        for k in r.sample(range(60), 2 + i % 3):
+            w[k] = f"new{r.randrange(7)}"
+        rows.append((i, " ".join(w)))
+    asked = []
+    across = near_dedup.links_across
+    monkeypatch.setattr(near_dedup, "links_across", lambda *a, **k: asked.append(1) or across(*a, **k, block=20))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()}
+    assert got == brute_components(rows, 4, 80)
+    assert asked
+
+
+def test_hot_groups_keep_their_rows(spark):
+    rows = [(i, "hot") for i in range(300)] + [(1000 + i, f"g{i // 2}") for i in range(101)]
+    df = shared.stored(spark.createDataFrame(rows, "doc_id long, bucket string"), "test-groups")
+    got = shared.with_groups(df, "bucket", F.min("doc_id").alias("a"), where="n > 1", least=20, most_hot=50).collect()
+    assert sorted((r.doc_id, r.bucket, r.a) for r in got) == sorted((d, b, 0 if b == "hot" else 1000 + 2 * int(b[1:])) for d, b in rows if b != "g50")
+
+
+def test_links_merge_into_components(spark):
+    found = spark.createDataFrame([(i, i // 10 * 10) for i in range(40)], "node long, component long")
+    links = spark.createDataFrame([(5, 17), (33, 100), (100, 101), (200, 201), (7, 8)], "a long, b long")
+    got = {r.node: r.component for r in merged(found, links).collect()}
+    want = {i: 0 if i < 20 else i // 10 * 10 for i in range(40)} | {100: 30, 101: 30, 200: 200, 201: 200}
+    assert got == want
 
 
 def test_registers_merge_and_estimate():

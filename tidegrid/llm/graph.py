@@ -16,6 +16,17 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, "node")
 
 
+def merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found``, (node, component), with further ``links`` (a, b): only components that a link joins are worked on."""
+    name = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    ends = links.select("a", "b").join(name("a"), "a", "left").join(name("b"), "b", "left")
+    joins = components(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+    moves = shared.stored(joins.withColumnRenamed("component", "whole"), "joined")
+    old = found.join(moves.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    new = moves.join(found, "node", "left_anti").select("node", F.col("whole").alias("component"))  # had no link before
+    return shared.stored(old.union(new), "components")
+
+
 def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component) of all nodes with a link; a component is named by its least node.
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .graph import components
+from .graph import components, merged
 
 REGISTERS, ROWS = 128, 4
 BASE, RATE, TOP = 1.001, 20.0, 65534
@@ -162,7 +162,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, members: int = 500
 
 
 def shared_counts(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, n, common): each candidate's set size and how many of its shingles another candidate has too."""
+    """(doc_id, n_set, common): each candidate's set size and how many of its shingles another candidate has too."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -174,8 +174,8 @@ def shared_counts(sets: DataFrame, ids: DataFrame) -> DataFrame:
     chosen = sets.join(ids, "doc_id", "left_semi")
     single = chosen.mapInPandas(run, "shingle long, doc_id long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1")
     alone = single.groupBy("doc_id").agg(F.count("*").alias("alone"))
-    sizes = chosen.select("doc_id", (F.length("set") / 8).cast("long").alias("n"))
-    return sizes.join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("common"))
+    sizes = chosen.select("doc_id", (F.length("set") / 8).cast("long").alias("n_set"))
+    return sizes.join(alone, "doc_id", "left").select("doc_id", "n_set", (F.col("n_set") - F.coalesce("alone", F.lit(0))).alias("common"))
 
 
 def _within(overlap, total, percent: int):
@@ -184,17 +184,20 @@ def _within(overlap, total, percent: int):
 
 
 def still_mixed(members: DataFrame, percent: int) -> DataFrame:
-    """Members (bucket, doc_id, component, n, common) that can have a link to another component of their bucket.
+    """Members (bucket, doc_id, component, n_set, common) that can have a link to another component of their bucket.
 
     The bound takes the smallest size and the largest common part of a whole bucket, so
     members are compared with the bucket, not with each other.
     """
-    ends = members.groupBy("bucket").agg(F.min("n").alias("least"), F.max("common").alias("most"))
-    able = members.join(ends, "bucket")
+    able = shared.with_groups(members, "bucket", F.min("n_set").alias("least"), F.max("common").alias("most"))
     overlap = F.least("common", "most")
-    able = able.filter(_within(overlap, F.col("n") + F.greatest("least", F.lit(0)), percent)).drop("least", "most")
-    mixed = able.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    return able.join(mixed, "bucket")
+    able = able.filter(_within(overlap, F.col("n_set") + F.col("least"), percent)).drop("least", "most")
+    return apart(shared.stored(able, "able"))
+
+
+def apart(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    return shared.with_groups(members, "bucket", F.min("component").alias("x"), F.max("component").alias("y"), where="x <> y").drop("x", "y")
 
 
 def _links(x: list[np.ndarray], y: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
@@ -280,36 +283,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin:
     classes = table.filter(F.col("print").isNotNull()).groupBy("print").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("r"))
     classes = shared.stored(classes.select("print", "r.*"), "classes")
     buckets = classes.select("doc_id", F.posexplode("bands").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket"))
-    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    meeting = shared.stored(buckets.join(leaders, "bucket"), "buckets")  # members of buckets with more than one
+    meeting = shared.stored(shared.with_groups(shared.stored(buckets, "all-buckets"), "bucket", F.min("doc_id").alias("a"), where="n > 1"), "buckets")  # members of buckets with more than one
     sets = shared.stored(set_table(docs, meeting.select("doc_id").distinct(), words), "sets")
 
     tried = shared.stored(likely(meeting.filter("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct(), classes, threshold, margin), "pairs")
-    links = shared.stored(verified(tried, sets, percent), "verified")
-    found = components(links)
+    found = shared.stored(components(shared.stored(verified(tried, sets, percent), "verified")), "components")
 
-    def apart() -> DataFrame:
-        named = meeting.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        return named.select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    def named(members: DataFrame) -> DataFrame:
+        """Members with their components as far as they are known; those in buckets with several."""
+        members = members.drop("component").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return apart(shared.stored(members.withColumn("component", F.coalesce("component", "doc_id")), "named"))
 
-    mixed = apart().groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-    counts = shared.stored(shared_counts(sets, apart().join(mixed, "bucket").select("doc_id").distinct()), "counts")
-    rest = shared.stored(still_mixed(apart().join(counts, "doc_id"), percent), "mixed")
+    rest = shared.stored(named(meeting.select("bucket", "doc_id")), "apart")
+    if not rest.isEmpty():
+        counts = shared.stored(shared_counts(sets, rest.select("doc_id").distinct()), "counts")
+        rest = shared.stored(still_mixed(shared.stored(rest.join(counts, "doc_id"), "counted"), percent), "mixed")
     if not rest.isEmpty():  # the most central member of each bucket leads
-        columns = ("doc_id", "component", "n", "common")
-        led = rest.groupBy("bucket").agg(F.max_by(F.struct(*columns), F.struct((F.col("common") / F.col("n")).alias("share"), "doc_id")).alias("l"))
-        side = rest.join(led, "bucket").filter("component <> l.component").filter(_within(F.least("common", "l.common"), F.col("n") + F.col("l.n"), percent))
+        columns = ("doc_id", "component", "n_set", "common")
+        led = F.max_by(F.struct(*columns), F.struct((F.col("common") / F.col("n_set")).alias("share"), "doc_id")).alias("l")
+        side = shared.with_groups(rest, "bucket", led).filter("component <> l.component").filter(_within(F.least("common", "l.common"), F.col("n_set") + F.col("l.n_set"), percent))
         pairs = side.select(F.least("doc_id", "l.doc_id").alias("a"), F.greatest("doc_id", "l.doc_id").alias("b")).distinct()
         new = shared.stored(likely(pairs.join(tried, ["a", "b"], "left_anti"), classes, threshold, margin), "pairs")
-        links = links.union(shared.stored(verified(new, sets, percent), "verified"))
-        found = components(links)
-        rest = shared.stored(still_mixed(apart().join(counts, "doc_id"), percent), "mixed")
+        found = merged(found, shared.stored(verified(new, sets, percent), "verified"))
+        rest = shared.stored(still_mixed(shared.stored(named(rest), "apart"), percent), "mixed")
     if not rest.isEmpty():  # families: documents that buckets with several components tie together
-        ties = rest.join(rest.groupBy("bucket").agg(F.min("doc_id").alias("a")), "bucket").select("a", F.col("doc_id").alias("b")).distinct()
+        ties = shared.with_groups(rest, "bucket", F.min("doc_id").alias("a")).select("a", F.col("doc_id").alias("b")).distinct()
         family = components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
         more = shared.stored(links_across(rest.select("doc_id", "component").distinct().join(family, "doc_id"), sets, percent), "across")
         if not more.isEmpty():
-            found = components(links.union(more))
+            found = merged(found, more)
 
     member = classes.select("print", F.col("doc_id").alias("rep")).join(found.withColumnRenamed("node", "rep"), "rep", "left")
     member = member.select("print", F.coalesce("component", "rep").alias("component"))
@@ -319,7 +321,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin:
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, without those that have a smaller one in their component."""
-    found = near_duplicates(docs.filter(F.col("doc_id").isNotNull()), words, percent)
-    gone = found.filter(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each component, all columns: the one with the least doc_id.
+
+    Rows that share a doc_id are versions of one document: of them the least text stays,
+    and of equal texts one row. A row without a doc_id is a document of its own, named by a
+    hash of its text above all other ids (below 1 << 62), so its exact copies are one
+    document and a copy with an id is preferred to it. A document without words or text
+    links with nothing. An empty table gives no row; further columns are kept.
+    """
+    unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
+    rows = docs.withColumn("__doc_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    found = near_duplicates(rows.select(F.col("__doc_key").alias("doc_id"), "text"), words, percent)
+    found = shared.stored(found.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("times")).filter("kept"), "kept")
+    kept = rows.join(found.select(F.col("doc_id").alias("__doc_key"), F.col("times").alias("__times")), "__doc_key")
+    several = kept.filter("__times > 1").groupBy("__doc_key").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))).alias("__row"))
+    return kept.filter("__times = 1").select(*docs.columns).union(several.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))

@@ -17,10 +17,13 @@ U64 = np.uint64
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a laptop) a folder of our own is set.
+    Only where the session has none and runs on this machine alone (tests, a laptop) a
+    folder of our own is set; on a cluster that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="tidegrid-")
         spark.conf.set("spark.checkpoint.dir", there)
         spark.sparkContext.setCheckpointDir(there)
@@ -54,6 +57,23 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def with_groups(rows: DataFrame, key: str, *aggregates: Column, where: str | None = None, least: int = 1000, most_hot: int = 2000) -> DataFrame:
+    """``rows`` with aggregates of their group, for groups that meet ``where`` (which may use ``n``, the group's rows).
+
+    Groups with over ``least`` rows and over 1 / ``most_hot`` of all rows, thus fewer than
+    ``most_hot``, are broadcast: their rows stay where they are. Only the rows of the other
+    groups are dealt by ``key``. ``rows`` should be a stored table.
+    """
+    groups = stored(rows.groupBy(key).agg(F.count("*").alias("n"), *aggregates), "groups")
+    bound = max(least, (groups.agg(F.sum("n")).first()[0] or 0) // most_hot)
+    hot = groups.filter(F.col("n") > bound).select(F.col(key), F.struct(*[c for c in groups.columns if c != key]).alias("_hot"))  # fewer than most_hot rows
+    marked = rows.join(F.broadcast(hot), key, "left")
+    often = marked.filter(F.col("_hot").isNotNull()).select(*rows.columns, "_hot.*")
+    rest = marked.filter(F.col("_hot").isNull()).drop("_hot").join(groups.filter(F.col("n") <= bound), key).select(*often.columns)
+    both = often.union(rest)
+    return (both.filter(where) if where else both).drop("n")
+
+
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
