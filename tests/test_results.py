@@ -49,12 +49,38 @@ def test_profile_and_paper_windows(spark, rho, mode):
 def test_empty_columns(spark):
     zero = complex_steps(spark, np.zeros((3, 2), complex))
     assert C.lag_profile(zero, "re", "im", 2).first().profile == [0.0, 0.0]
-    kept = spark.createDataFrame([([1e-9, 2e-9],)], "c array<double>").select(C.normalised_column(F.col("c"), "none", False)).first()[0]
+    kept = C.normalised_columns(np.array([[1e-9, 2e-9]]), "none", False)[0].tolist()
     assert kept == [1e-9, 2e-9]
     with pytest.raises(ValueError):
         C.profile_windows(zero, 2, 1, 2, paper_style=True)
 
 
+def test_profiles_across_batches(spark):
+    """Batches end anywhere, also where segments or carriers change."""
+    r = np.random.default_rng(5)
+    rows = [(s, g, i, *(r.normal(size=(2, 3 + s % 2)).tolist())) for s in range(4) for g in range(3) for i in range(1 + 4 * g)]
+    df = spark.createDataFrame(rows, "source long, segment_id int, step_index long, re array<double>, im array<double>")
+    found = {}
+    for size in ("10000", "2", "1"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found[size] = sorted(tuple(map(str, x)) for x in C.lag_profile(df, "re", "im", 2).collect())
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found["10000"] == found["2"] == found["1"]
+    assert len(found["1"]) == 4 * (0 + 3 + 7)
+    assert C.lag_profile(df.limit(0), "re", "im", 2).count() == 0
+
+
+def test_quantiles_equal_the_built_in(spark):
+    r = np.random.default_rng(6)
+    values = [(g, int(x)) for g, n in (("a", 1), ("b", 2), ("c", 3000), (None, 50)) for x in r.integers(0, 40 if g == "c" else 10**6, n)] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(values, "g string, x long")
+    points = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    want = {x[0]: tuple(x)[1:] for x in df.filter("x is not null").groupBy("g").agg(*(F.percentile("x", F.lit(p)).alias(n) for n, p in points.items())).collect()}
+    for accuracy in (10_000, 50):  # narrow bounds, too
+        assert {x[0]: tuple(x)[1:] for x in S.quantiles(df, ["g"], "x", points, accuracy).collect()} == want
+    assert S.quantiles(df.filter("g = 'b'"), [], "x", {"m": 0.5}).first().m == want["b"][2]
+
+
 def test_group_split_ties(spark):
     totals = spark.createDataFrame([("a", 40), ("b", 40), ("c", 20), ("d", 100)], "g string, n long")
     flags = {r.g: r.is_train for r in X.group_split(totals, "g", "n", 0.8).collect()}
@@ -170,6 +196,11 @@ def test_csv_logs(spark, tmp_path):
     assert [r.source_row_number for r in rows.orderBy("source_row_number").collect()] == [2, 3, 4, 5]
     assert P.row_counts(rows).first().row_count == 4
     assert P.labelled(rows).first().label == "big"
+    other = tmp_path / "small"
+    other.mkdir()
+    (other / "log.csv").write_text('\ufefflen,local_timestamp,data\n3, 100 ,"[1,2,3]"\n\n   \n3,200,"[1,\n2,3]"\n4,300,"say ""hi"", x"\n')
+    quoted = P.numbered_csv(spark, str(other), ["local_timestamp", "len", "data", "none"]).orderBy("source_row_number").collect()
+    assert [tuple(r)[1:] for r in quoted] == [(2, "100", "3", "[1,2,3]", None), (3, None, "", None, None), (4, "200", "3", "[1,\n2,3]", None), (5, "300", "4", 'say "hi", x', None)]
     valid = P.packets(rows, 384).collect()
     assert [(r.row_no, r.t_us) for r in valid] == [(2, 100)]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):

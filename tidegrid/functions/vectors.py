@@ -91,10 +91,6 @@ def realify(re: Column, im: Column, mode: str) -> Column:
     raise ValueError(f"unknown mode {mode}")
 
 
-def zip_columns(a: Column | str, b: Column | str, f: Callable[[Column, Column], Column]) -> Column:
-    return F.zip_with(a, b, f)
-
-
 def mean(v: Column | str) -> Column:
     """Mean of a vector, null for an empty one."""
     v = F.col(v) if isinstance(v, str) else v

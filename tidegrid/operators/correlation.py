@@ -8,60 +8,102 @@ those that cut first and correlate then, are slices of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from ..functions import vectors as V
+from .segments import spread
 from .windows import step_windows
 
 EPS = 1e-6
 
 
-def normalised_column(column: Column, mode: str, zero_on_empty: bool = True) -> Column:
-    """A time column as shares: shifted or clamped to be non-negative, divided by its sum.
+def normalised_columns(columns: np.ndarray, mode: str, zero_on_empty: bool = True) -> np.ndarray:
+    """Time columns (rows of the array) as shares: shifted or clamped to be non-negative, divided by their sums.
 
     A sum of at most ``EPS`` gives zeros, or the column as it is without ``zero_on_empty``.
     """
     if mode == "shift":
-        ready = V.let(F.array_min(column), lambda m: F.transform(column, lambda x: F.when(m < 0, x - m).otherwise(x)))
+        columns = columns - np.minimum(columns.min(1, keepdims=True), 0.0)
     elif mode == "clamp":
-        ready = F.transform(column, lambda x: F.greatest(x, F.lit(0.0)))
-    elif mode == "none":
-        ready = column
-    else:
+        columns = np.maximum(columns, 0.0)
+    elif mode != "none":
         raise ValueError(f"unknown normalisation {mode}")
-    return V.let(
-        ready,
-        lambda v: V.let(
-            F.aggregate(v, F.lit(0.0), lambda s, x: s + x),
-            lambda total: F.transform(v, lambda x: F.when(total > EPS, x / total).otherwise(F.lit(0.0) if zero_on_empty else x)),
-        ),
-    )
+    total = columns.sum(1, keepdims=True)
+    full = total > EPS
+    return np.where(full, columns / np.where(full, total, 1.0), 0.0 if zero_on_empty else columns)
 
 
-def lag_profile(steps: DataFrame, re: str, im: str, lags: int, rho: str = "real", mode: str = "shift", zero_on_empty: bool = True) -> DataFrame:
-    """One row a time that has ``lags`` rows before it: (source, segment_id, step_index, profile of ``lags`` shares)."""
-    if lags < 1:
-        raise ValueError("lags must be positive")
-    w = Window.partitionBy("source", "segment_id").orderBy("step_index")
-    zipped = steps.withColumn("_z", F.zip_with(re, im, lambda r, i: F.struct(r.cast("double").alias("r"), i.cast("double").alias("i"), F.sqrt(r.cast("double") * r + i.cast("double") * i).alias("a"))))
-    history = F.collect_list("_z").over(w.rowsBetween(-lags, -1))
+def _real(x: np.ndarray, rho: str) -> np.ndarray:
+    if rho == "real":
+        return x.real
+    if rho == "abs-real":
+        return np.abs(x.real)
+    if rho == "magnitude":
+        return np.abs(x)
+    raise ValueError(f"unknown mode {rho}")
 
-    def one(past: Column) -> Column:
-        def rho_of(now: Column, then: Column) -> Column:
-            x, y = V.conj_product(now["r"], now["i"], then["r"], then["i"])
-            scale = now["a"] * then["a"] + EPS
-            return V.realify(x / scale, y / scale, rho)
 
-        return V.mean(F.zip_with("_z", past, rho_of))
+def _lagged(z: np.ndarray, at: np.ndarray, lags: int, rho: str) -> np.ndarray:
+    """Mean over carriers of the normalised products of rows ``at`` with each of the ``lags`` rows before them."""
+    size = np.abs(z)
+    out = np.empty((len(at), lags))
+    for lag in range(1, lags + 1):
+        out[:, lag - 1] = _real(z[at] * z[at - lag].conj() / (size[at] * size[at - lag] + EPS), rho).mean(1)
+    return out
 
-    rows = zipped.withColumns({"_n": F.row_number().over(w), "_h": history}).filter(F.col("_n") > lags)
-    merged = F.transform(F.reverse("_h"), one)
-    return rows.select("source", "segment_id", "step_index", normalised_column(merged, mode, zero_on_empty).alias("profile"))
 
+def lag_profile(steps: DataFrame, re: str, im: str, lags: int, rho: str = "real", mode: str = "shift", zero_on_empty: bool = True, kept: tuple[str, ...] = ()) -> DataFrame:
+    """One row a time that has ``lags`` rows of as many carriers before it: (source, segment_id, step_index, ``kept``, profile of ``lags`` shares).
 
-def profile_windows(profiles: DataFrame, length: int, stride: int, lags: int, paper_style: bool = False) -> DataFrame:
-    """Windows of profile columns: (source, segment_id, start_index, sdp as time columns).
+    Segments are dealt to tasks and stream through in order; what is carried from one
+    batch to the next are the ``lags`` rows before it.
+    """
+    if lags < 1:
+        raise ValueError("lags must be positive")
+    normalised_columns(np.zeros((1, 1)), mode)
+    _real(np.zeros(1, complex), rho)
+    keys = ["source", "segment_id", "step_index", *kept]
+    rows = spread(steps.select(*keys, F.col(re).cast("array<double>").alias("_re"), F.col(im).cast("array<double>").alias("_im")), "source", "segment_id").sortWithinPartitions("source", "segment_id", "step_index")
+    schema = StructType([*rows.select(*keys).schema, StructField("profile", ArrayType(DoubleType(), False))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, place, before = None, 0, np.zeros((0, 0), complex)  # of the row before: segment, place in it, and the last rows
+        for whole in batches:
+            widths = pc.list_value_length(whole.column("_re")).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), whole.num_rows]
+            for i, j in zip(edges, edges[1:], strict=False):
+                batch = whole.slice(i, j - i)
+                n = batch.num_rows
+                if not n:
+                    continue
+                z = (batch.column("_re").flatten().to_numpy() + 1j * batch.column("_im").flatten().to_numpy()).reshape(n, int(widths[i]))
+                opens = np.ones(n, bool)
+                names = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("source", "segment_id")]
+                opens[0] = key != (names[0][0], names[1][0]) or before.shape[1] != z.shape[1]
+                opens[1:] = (names[0][1:] != names[0][:-1]) | (names[1][1:] != names[1][:-1])
+                start = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+                places = np.arange(n) - start + np.where(np.cumsum(opens) == 0, place + 1, 0)
+                if opens[0]:
+                    before = np.zeros((0, z.shape[1]), complex)
+                at = np.flatnonzero(places >= lags)
+                z = np.concatenate([before, z])
+                found = normalised_columns(_lagged(z, at + len(before), lags, rho), mode, zero_on_empty) if len(at) else np.zeros((0, lags))
+                key, place, before = (names[0][-1], names[1][-1]), int(places[-1]), z[-lags:]
+                out = batch.select(keys).take(pa.array(at))
+                profile = pa.ListArray.from_arrays(np.arange(0, found.size + 1, lags, dtype=np.int32), found.ravel())
+                yield pa.RecordBatch.from_arrays([*out.columns, profile], names=[*keys, "profile"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def profile_windows(profiles: DataFrame, length: int, stride: int, lags: int, paper_style: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Windows of profile columns: (source, segment_id, start_index, sdp as time columns, arrays of ``kept``).
 
     Lag-first windows are ``length`` columns of the profile. Paper-style windows cut
     ``length`` packets first, so ``length - lags`` columns are left of each.
@@ -69,8 +111,37 @@ def profile_windows(profiles: DataFrame, length: int, stride: int, lags: int, pa
     width = length - lags if paper_style else length
     if width < 1:
         raise ValueError("the window must be longer than the lags")
-    cut = step_windows(profiles, ["profile"], [width], stride)
-    return cut.select("source", "segment_id", "start_index", F.col("profile").alias("sdp"))
+    cut = step_windows(profiles, ["profile", *kept], [width], stride)
+    return cut.select("source", "segment_id", "start_index", F.col("profile").alias("sdp"), *kept)
+
+
+#: What a window keeps of its steps: whether and when they were observed, and where they come from.
+PROVENANCE = ("interp_mask", "grid_t_us", "actual_t_us", "source_row")
+
+
+def profile_manifest(steps: DataFrame, length: int, stride: int, lags: int, paper_style: bool = False) -> DataFrame:
+    """One row a window: its key, lags, columns, filled steps and their share, and its grid's ends.
+
+    Paper-style windows are ``length`` steps from start_index on. Lag-first windows follow
+    the ``lags`` steps that their first column looks back on; filled steps count from the
+    window's own first step.
+    """
+    first = 0 if paper_style else lags
+    cut = step_windows(steps, ["interp_mask", "grid_t_us"], [length + first], stride)
+    own = lambda c: F.slice(c, first + 1, length)
+    made = F.aggregate(own("interp_mask"), F.lit(0), lambda s, x: s + x)
+    return cut.select(
+        "source", "segment_id", "start_index",
+        F.lit(length).alias("window_length"), F.lit(lags).alias("lag_steps"), F.lit(length - lags if paper_style else length).alias("wt"),
+        made.alias("window_interp_count"), (made / length).alias("window_interp_ratio"),
+        F.element_at(own("grid_t_us"), 1).alias("grid_start"), F.element_at(own("grid_t_us"), -1).alias("grid_end"),
+    )
+
+
+def context_windows(steps: DataFrame, length: int, stride: int, lags: int) -> DataFrame:
+    """Per lag-first window: provenance arrays of its own steps (``current_``) and of them with the ``lags`` steps before (``context_``)."""
+    cut = step_windows(steps, list(PROVENANCE), [length + lags], stride)
+    return cut.select("source", "segment_id", "start_index", *(F.slice(c, lags + 1, length).alias(f"current_{c}") for c in PROVENANCE), *(F.col(c).alias(f"context_{c}") for c in PROVENANCE))
 
 
 def context_places(windows: DataFrame, length: int, lags: int) -> DataFrame:

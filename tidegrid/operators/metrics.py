@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -44,11 +44,21 @@ def seed_summary(runs: DataFrame, by: list[str], values: list[str]) -> DataFrame
     return runs.groupBy(*by).agg(F.count("*").alias("n_runs"), *(a for v in values for a in (F.avg(v).alias(f"{v}_mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"{v}_std"))))
 
 
-def best_epoch(history: DataFrame, rule: str = "first", by: str = "run") -> DataFrame:
-    """Best epoch by validation accuracy; on ties the ``first``, the ``last``, or the one of the lower loss (``loss``), then the first."""
+def seed_runs(runs: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """Each run's values beside the mean and sample deviation over its seeds."""
+    over = Window.partitionBy(*by)
+    return runs.select(*runs.columns, *(a for v in values for a in (F.avg(v).over(over).alias(f"{v}_mean"), F.coalesce(F.stddev_samp(v).over(over), F.lit(0.0)).alias(f"{v}_std"))))
+
+
+def best_epochs(history: DataFrame, rules: dict[str, str], by: str = "run") -> DataFrame:
+    """Best epochs by validation accuracy, one column a rule; on ties the ``first``, the ``last``, or the one of the lower loss (``loss``), then the first."""
     back = (-F.col("epoch")).alias("b")
     keys = {"first": [back], "last": [F.col("epoch").alias("e")], "loss": [(-F.col("validation_loss")).alias("l"), back]}
-    return history.groupBy(by).agg(F.max_by("epoch", F.struct("validation_accuracy", *keys[rule])).alias("best_epoch"))
+    return history.groupBy(by).agg(*(F.max_by("epoch", F.struct("validation_accuracy", *keys[rule])).alias(name) for name, rule in rules.items()))
+
+
+def best_epoch(history: DataFrame, rule: str = "first", by: str = "run") -> DataFrame:
+    return best_epochs(history, {"best_epoch": rule}, by)
 
 
 def errors(predictions: DataFrame) -> DataFrame:

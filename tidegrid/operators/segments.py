@@ -24,6 +24,15 @@ class Grid:
     fill: str = "linear"
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by ``keys`` to as many partitions as the session has for shuffles.
+
+    For work on arrays, where few bytes take much time: the number is explicit, so that small
+    partitions aren't joined, and later windows by the same keys need no other exchange.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+
+
 def gaps(log: DataFrame, values: list[str] | None = None) -> DataFrame:
     """``gap_us`` to the row before, null on a source's first row; with ``prev_{v}`` for each value."""
     w = Window.partitionBy("source").orderBy("row_no")
@@ -72,6 +81,8 @@ def resampled(log: DataFrame, grid: Grid, values: list[str]) -> DataFrame:
     segment's start, the step on filled rows and the whole gap on the row after a gap.
     Complex values are two array columns, filled apart.
     """
+    if any(log.schema[v].dataType.simpleString().startswith("array") for v in values):
+        log = spread(log, "source")
     rows = segmented(log, grid, values).withColumn("_n", F.when(F.col("snapped"), F.col("n_steps")).otherwise(F.lit(1).cast("long")))
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     seen = F.col("_i") == F.col("_n")

@@ -30,6 +30,11 @@ def group_split(totals: DataFrame, group: str, rows: str, share: float = 0.8, ti
     return numbered.crossJoin(F.broadcast(best)).select(group, (F.expr("shiftright(mask, _i)").bitwiseAND(F.lit(1)) == 1).alias("is_train"))  # one row of the mask
 
 
+def _shuffled(seed: int, key: str) -> list:
+    """An order by a digest of seed and key."""
+    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key)]
+
+
 def _last(files: DataFrame, by: list[str], order: list, ratio: float) -> DataFrame:
     n = F.count("*").over(Window.partitionBy(*by))
     back = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -43,7 +48,7 @@ def time_file(files: DataFrame, ratio: float = 0.2, label: str = "label", time:
 
 def random_file(files: DataFrame, ratio: float = 0.2, seed: int = 42, label: str = "label", name: str = "name") -> DataFrame:
     """As many files in an order by a hash of seed and name: the same on every run, unlike any permutation generator's."""
-    return _last(files, [label], [F.xxhash64(F.lit(seed), F.col(name)), F.col(name)], ratio)
+    return _last(files, [label], _shuffled(seed, name), ratio)
 
 
 def time_block(files: DataFrame, blocks: int = 5, label: str = "label", time: str = "time", name: str = "name") -> DataFrame:
@@ -59,7 +64,7 @@ def time_block(files: DataFrame, blocks: int = 5, label: str = "label", time: st
 
 def stratified_rows(rows: DataFrame, ratio: float = 0.2, seed: int = 42, label: str = "label", key: str = "key") -> DataFrame:
     """Rows of each class by hash order."""
-    return _last(rows, [label], [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)], ratio)
+    return _last(rows, [label], _shuffled(seed, key), ratio)
 
 
 def stratified_files(rows: DataFrame, ratio: float = 0.2, seed: int = 42, label: str = "label", name: str = "name") -> DataFrame:

@@ -8,16 +8,48 @@ from pyspark.sql import functions as F
 FLOOR = 1e-6
 
 
+def quantiles(values: DataFrame, by: list[str], value: str, points: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated quantiles by group, in columns named by ``points``; nulls don't count.
+
+    For large groups: a mergeable sketch bounds each quantile's place from both sides, rows
+    below the bounds are only counted, and the few rows between them are ranked. So no
+    task holds a group's values; the rank must lie between the bounds, or the query fails.
+    """
+    rows = values.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    slack = 3.0 / accuracy
+    ends = [(max(0.0, p - slack), min(1.0, p + slack)) for p in points.values()]
+    at = sorted({e for pair in ends for e in pair})
+    rough = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.percentile_approx("_v", at, accuracy).alias("_e"))
+    few = F.col("_n") <= accuracy  # then the bounds of the sketch could leave out a neighbour of the quantile
+    asked = [F.struct(F.lit(name).alias("q"), (F.col("_n") - 1).cast("double").alias("m"), F.lit(p).alias("p"), F.when(few, F.col("_least")).otherwise(F.col("_e")[at.index(a)]).alias("lo"), F.when(few, F.col("_most")).otherwise(F.col("_e")[at.index(b)]).alias("hi")) for (name, p), (a, b) in zip(points.items(), ends, strict=True)]
+    same = [F.col(f"_by{i}").eqNullSafe(F.col(c)) for i, c in enumerate(by)]
+    bounds = rough.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), F.array(*asked).alias("_asked"))
+    met = rows.join(bounds, same) if by else rows.crossJoin(F.broadcast(bounds))  # one row of bounds
+    near = met.withColumn("_q", F.explode("_asked")).filter(F.col("_v") <= F.col("_q.hi"))
+    counted = near.groupBy(*by, "_q", F.when(F.col("_v") >= F.col("_q.lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    order = Window.partitionBy(*by, "_q.q").orderBy(F.asc_nulls_first("_v"))
+    rank = F.col("_q.m") * F.col("_q.p")
+    ranked = counted.withColumn("_up", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_v").isNotNull())
+    holds = lambda k: F.max(F.when((F.col("_up") - F.col("_c") <= k) & (k < F.col("_up")), F.col("_v").cast("double")))
+    found = ranked.groupBy(*by, "_q").agg(holds(F.floor(rank)).alias("_a"), holds(F.ceil(rank)).alias("_b"))
+    part = rank - F.floor(rank)
+    exact = F.coalesce(F.col("_a") + (F.col("_b") - F.col("_a")) * part, F.raise_error(F.lit("a quantile lies outside its bounds")))
+    return found.withColumn("_x", exact).groupBy(*by).agg(*(F.max(F.when(F.col("_q.q") == name, F.col("_x"))).alias(name) for name in points))
+
+
+def _with(stats: DataFrame, by: list[str], more: DataFrame) -> DataFrame:
+    """Two tables of one row a group side by side."""
+    if not by:
+        return stats.crossJoin(more)  # one row each
+    other = more.select(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by)), *(c for c in more.columns if c not in by))
+    return stats.join(other, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]).drop(*(f"_by{i}" for i in range(len(by))))
+
+
 def gap_summary(gapped: DataFrame, *by: str, gap: str = "gap_us") -> DataFrame:
     """Count, mean, median, population deviation, p90 and p99 of gaps; all gaps count, also those that aren't positive."""
-    return gapped.filter(F.col(gap).isNotNull()).groupBy(*by).agg(
-        F.count("*").alias("n_gaps"),
-        F.avg(gap).alias("mean_gap"),
-        F.median(gap).alias("median_gap"),
-        F.stddev_pop(gap).alias("std_gap"),
-        F.percentile(gap, F.lit(0.9)).alias("p90_gap"),
-        F.percentile(gap, F.lit(0.99)).alias("p99_gap"),
-    )
+    present = gapped.filter(F.col(gap).isNotNull())
+    plain = present.groupBy(*by).agg(F.count("*").alias("n_gaps"), F.avg(gap).alias("mean_gap"), F.stddev_pop(gap).alias("std_gap"))
+    return _with(plain, list(by), quantiles(present, list(by), gap, {"median_gap": 0.5, "p90_gap": 0.9, "p99_gap": 0.99}))
 
 
 def file_stats(gapped: DataFrame) -> DataFrame:
@@ -64,12 +96,11 @@ def log_gap_ms(gap_us: Column | str) -> Column:
 
 def box_stats(values: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles by group, and the outermost values within 1.5 quartile ranges."""
-    q = values.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"), F.count("*").alias("n"))
-    joined = values.filter(F.col(value).isNotNull()).join(q, by)
-    low, high = F.col("_q")[0], F.col("_q")[2]
-    near = F.col(value).between(low - 1.5 * (high - low), high + 1.5 * (high - low))
-    return joined.groupBy(*by).agg(
-        F.first("n").alias("n"), F.first(low).alias("q1"), F.first(F.col("_q")[1]).alias("median"), F.first(high).alias("q3"),
+    present = values.filter(F.col(value).isNotNull())
+    q = quantiles(present, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    near = F.col(value).between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
+    return _with(present, by, q).groupBy(*by).agg(
+        F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("q1", "median", "q3")),
         F.min(F.when(near, F.col(value))).alias("whisker_low"), F.max(F.when(near, F.col(value))).alias("whisker_high"),
     )
 
@@ -88,12 +119,21 @@ def bucket_counts(gapped: DataFrame, step: int, tolerance: int, most: int = 3) -
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # a few rows
 
 
-def trimmed_groups(gapped: DataFrame, value: str, gap: str = "gap_us") -> DataFrame:
-    """Gaps up to the 99th percentile in small and large groups (quartiles): count, mean gap, mean absolute value change."""
-    cuts = gapped.filter(F.col(gap).isNotNull()).agg(F.percentile(gap, F.array(F.lit(0.25), F.lit(0.75), F.lit(0.99))).alias("_c"))
-    rows = gapped.filter(F.col(gap).isNotNull()).crossJoin(F.broadcast(cuts)).filter(F.col(gap) <= F.col("_c")[2])  # one row of cuts
-    group = F.when(F.col(gap) <= F.col("_c")[0], "small").when(F.col(gap) >= F.col("_c")[1], "large").otherwise("middle")
-    return rows.groupBy(group.alias("gap_group")).agg(F.count("*").alias("n"), F.avg(gap).alias("mean_gap"), F.avg(F.abs(F.col(value) - F.col(f"prev_{value}"))).alias("mean_change"))
+def trimmed_groups(gapped: DataFrame, value: str, gap: str = "gap_us", parts: tuple[str, str] | None = None) -> DataFrame:
+    """Gaps up to the 99th percentile in small and large groups (quartiles): count, mean gap, mean absolute value change.
+
+    ``parts`` names real and imaginary arrays (with ``prev_`` ones): then also ``complex_rmse``,
+    the root of the mean squared distance between a row's carriers and the row's before.
+    """
+    present = gapped.filter(F.col(gap).isNotNull())
+    cuts = quantiles(present, [], gap, {"_a": 0.25, "_b": 0.75, "_z": 0.99})
+    rows = present.crossJoin(F.broadcast(cuts)).filter(F.col(gap) <= F.col("_z"))  # one row of cuts
+    group = F.when(F.col(gap) <= F.col("_a"), "small").when(F.col(gap) >= F.col("_b"), "large").otherwise("middle")
+    more = []
+    if parts:
+        off = [F.aggregate(F.zip_with(c, f"prev_{c}", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda s, x: s + x) for c in parts]
+        more = [F.sqrt(F.sum(off[0] + off[1]) / F.sum(F.size(parts[0]))).alias("complex_rmse")]
+    return rows.groupBy(group.alias("gap_group")).agg(F.count("*").alias("n"), F.avg(gap).alias("mean_gap"), F.avg(F.abs(F.col(value) - F.col(f"prev_{value}"))).alias("mean_change"), *more)
 
 
 def channel_stats(rows: DataFrame, vector: str, policy: str = "floor", by: list[str] | None = None) -> DataFrame:
@@ -126,9 +166,11 @@ def pixel_stats(rows: DataFrame, matrix: str) -> DataFrame:
 
 
 def class_heatmap(rows: DataFrame, matrix: str, label: str) -> DataFrame:
-    """Mean and deviation by class and cell, with the least and largest mean of all."""
+    """Mean and deviation by class and cell, with the least and largest of each over all classes: the shared scale of their maps."""
     cells = rows.select(label, F.posexplode(matrix).alias("row", "_r")).select(label, "row", F.posexplode("_r").alias("column", "x"))
-    return cells.groupBy(label, "row", "column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    maps = cells.groupBy(label, "row", "column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    scale = maps.agg(*(f(c).alias(f"{c}_{name}") for c in ("mean", "std") for name, f in (("min", F.min), ("max", F.max))))
+    return maps.crossJoin(F.broadcast(scale))  # one row of bounds
 
 
 def class_weights(rows: DataFrame, label: str) -> DataFrame:
@@ -154,6 +196,27 @@ def carrier_summary(packets: DataFrame, amplitude: str, phase: str) -> DataFrame
     return cells.groupBy("carrier").agg(F.avg("z.a").alias("mean_amplitude"), F.stddev_pop("z.a").alias("std_amplitude"), F.stddev_pop("z.p").alias("std_phase"))
 
 
+def amplitude_phase_summary(packets: DataFrame, by: list[str], re: str, im: str) -> DataFrame:
+    """Rows, mean and deviation of amplitude and deviation of phase over all cells of a group's complex rows."""
+    cell = F.explode(F.arrays_zip(F.col(re).cast("array<double>").alias("r"), F.col(im).cast("array<double>").alias("i")))
+    cells = packets.select(*by, cell.alias("z")).select(*by, F.sqrt(F.col("z.r") * F.col("z.r") + F.col("z.i") * F.col("z.i")).alias("_a"), F.atan2("z.i", "z.r").alias("_p"))
+    found = cells.groupBy(*by).agg(F.avg("_a").alias("amplitude_mean"), F.stddev_pop("_a").alias("amplitude_std"), F.stddev_pop("_p").alias("phase_std"))
+    return _with(packets.groupBy(*by).agg(F.count("*").alias("rows_used")), by, found)
+
+
+def build_counters(steps: DataFrame, cut: DataFrame, files: DataFrame, shrunk: int = 0) -> DataFrame:
+    """Files, segments before and after a feature that takes ``shrunk`` steps, and windows, by split and label.
+
+    ``files`` has source, split and label of every file, also of those without a step.
+    """
+    sized = steps.groupBy("source", "segment_id").agg(F.count("*").alias("_n"))
+    by_file = sized.groupBy("source").agg(F.count("*").alias("_before"), F.sum((F.col("_n") > shrunk).cast("long")).alias("_after"))
+    made = cut.groupBy("source").agg(F.count("*").alias("_windows"))
+    rows = files.select("source", "split", "label").join(by_file, "source", "left").join(made, "source", "left")
+    none = lambda c: F.sum(F.coalesce(c, F.lit(0)))
+    return rows.groupBy("split", "label").agg(F.count("*").alias("files_seen"), F.count("_before").alias("files_with_segments"), none("_before").alias("segments_before"), none("_after").alias("segments_after"), none("_windows").alias("windows"))
+
+
 def convergence(history: DataFrame, patience: int = 10) -> DataFrame:
     """Per run: best epoch (first on ties), its accuracy, the last gap between training and validation, and epochs left when patience ran out."""
     best = history.groupBy("run").agg(

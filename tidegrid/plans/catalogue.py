@@ -524,10 +524,11 @@ def class_weights(spark, sf_dir):
     return S.class_weights(table(spark, sf_dir, "embeddings"), "label").withColumn("weight", r("weight"))
 
 
-@query(f"WITH c AS ({_CELLS}) SELECT label, CAST(channel // 8 AS INTEGER) AS row, CAST(channel % 8 AS INTEGER) AS \"column\", {q('avg(x)')} AS mean, {q('stddev_pop(x)')} AS std FROM c GROUP BY ALL")
+@query(f"""WITH c AS ({_CELLS}), m AS (SELECT label, CAST(channel // 8 AS INTEGER) AS row, CAST(channel % 8 AS INTEGER) AS "column", avg(x) AS mean, stddev_pop(x) AS std FROM c GROUP BY ALL)
+    SELECT label, row, "column", {q('mean')} AS mean, {q('std')} AS std, {', '.join(f"{q(f'{f}({c}) OVER ()')} AS {c}_{f}" for c in ('mean', 'std') for f in ('min', 'max'))} FROM m""")
 def class_heatmap(spark, sf_dir):
     grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(F.col("embedding").cast("array<double>"), i * 8 + 1, 8))
-    return S.class_heatmap(table(spark, sf_dir, "embeddings").withColumn("m", grid), "m", "label").withColumns({"mean": r("mean"), "std": r("std")})
+    return S.class_heatmap(table(spark, sf_dir, "embeddings").withColumn("m", grid), "m", "label").withColumns({c: r(c) for c in ("mean", "std", "mean_min", "mean_max", "std_min", "std_max")})
 
 
 @query(f"WITH c AS ({_CELLS}) SELECT CAST(channel // 8 AS INTEGER) AS row, CAST(channel % 8 AS INTEGER) AS \"column\", {q('avg(x)')} AS mean, {q('sqrt(greatest(var_pop(x), 1e-6))')} AS std FROM c GROUP BY ALL")
@@ -582,9 +583,7 @@ def _history(spark, sf_dir):
 
 @query(f"WITH {_HISTORY} SELECT run, arg_max(epoch, (acc, -epoch)) AS first_best, arg_max(epoch, (acc, epoch)) AS last_best, arg_max(epoch, (acc, -loss, -epoch)) AS loss_best FROM h GROUP BY run")
 def best_epoch(spark, sf_dir):
-    h = _history(spark, sf_dir)
-    a, b, c = (M.best_epoch(h, rule).withColumnRenamed("best_epoch", name) for rule, name in (("first", "first_best"), ("last", "last_best"), ("loss", "loss_best")))
-    return a.join(b, "run").join(c, "run")
+    return M.best_epochs(_history(spark, sf_dir), {"first_best": "first", "last_best": "last", "loss_best": "loss"})
 
 
 @query(f"""WITH {PREDICTIONS}, models AS (SELECT unnest(['a', 'b', 'c']) AS m), pairs AS (SELECT x.m AS l, y.m AS r FROM models x JOIN models y ON x.m < y.m),
@@ -637,7 +636,13 @@ def adaptive_counters(spark, sf_dir):
     return A.adaptive_counters(packets(spark, sf_dir), ADAPTIVE).withColumn("mean_initial_gap_us", r("mean_initial_gap_us", 1))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WALK},
+    numbered AS (SELECT source, row_no, k, CAST(sum(CASE WHEN split_reason IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY source ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS INTEGER) AS segment_id FROM split),
+    placed AS (SELECT n.*, g.amp, g.prev_amp, sum(coalesce(k, 0)) OVER (PARTITION BY n.source, segment_id ORDER BY n.row_no ROWS UNBOUNDED PRECEDING) AS step FROM numbered n JOIN gaps g ON g.source = n.source AND g.row_no = n.row_no),
+    asteps AS (SELECT source, segment_id, CAST(CASE WHEN k IS NULL THEN 0 ELSE step - k + i END AS BIGINT) AS step_index,
+        CASE WHEN k IS NULL OR i = k THEN amp ELSE (1 - CAST(i AS DOUBLE) / k) * prev_amp + CAST(i AS DOUBLE) / k * amp END AS amp FROM (SELECT *, unnest(range(1, coalesce(k, 1) + 1)) AS i FROM placed)),
+    d AS (SELECT *, amp - lag(amp) OVER (PARTITION BY source, segment_id ORDER BY step_index) AS v FROM asteps)
+    SELECT source, segment_id, step_index, {q('v')} AS amp FROM d WHERE v IS NOT NULL""")
 def adaptive_first_difference(spark, sf_dir):
     rows = A.adaptive_resampled(packets(spark, sf_dir), ADAPTIVE, ["amp"])
     return T.transformed(rows, "diff", "amp").select("source", "segment_id", "step_index", r("amp").alias("amp"))
@@ -754,16 +759,86 @@ def convergence(spark, sf_dir):
     return S.convergence(h, 5).withColumns({"best_accuracy": r("best_accuracy"), "final_gap": r("final_gap")})
 
 
-@query()
+_SHUFFLED = "CASE WHEN row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST({key} AS VARCHAR)), {key}) <= greatest(1, round_even(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE, 0)) THEN 'validation' ELSE 'train' END"
+
+
+@query(f"WITH {FILES} SELECT source, label, {_SHUFFLED.format(key='source')} AS split FROM files")
 def split_random_file(spark, sf_dir):
     return X.random_file(files(spark, sf_dir), 0.2, name="source").select("source", "label", "split")
 
 
-@query()
+@query(f"SELECT vec_id, label, {_SHUFFLED.format(key='vec_id')} AS split FROM embeddings")
 def split_stratified_rows(spark, sf_dir):
     return X.stratified_rows(table(spark, sf_dir, "embeddings"), 0.2, key="vec_id").select("vec_id", "label", "split")
 
 
+@query(f"WITH {FILES}, f AS (SELECT DISTINCT label, person FROM files), s AS (SELECT label, person, {_SHUFFLED.format(key='person')} AS split FROM f) SELECT source, label, person, split FROM files JOIN s USING (label, person)")
+def split_stratified_files(spark, sf_dir):
+    return X.stratified_files(files(spark, sf_dir), 0.2, name="person").select("source", "label", "person", "split")
+
+
+@query(f"WITH {FILES} SELECT date, label, count(*) AS n_files, CAST(sum(row_count) AS BIGINT) AS n_rows FROM files GROUP BY ALL")
+def date_totals(spark, sf_dir):
+    return S.totals(files(spark, sf_dir), ["date", "label"])
+
+
+@query(f"""WITH {COMPLEX_STEPS.replace("SELECT source, segment_id, step - m + i AS step_index,", "SELECT source, segment_id, step - m + i AS step_index, t0_us + (step - m + i) * 14400000000 AS grid_t_us, CASE WHEN i < m THEN 1 ELSE 0 END AS interp_mask,").replace("ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step,", "ROWS UNBOUNDED PRECEDING) AS BIGINT) AS step, first_value(t_us) OVER (PARTITION BY source, segment_id ORDER BY row_no ROWS UNBOUNDED PRECEDING) AS t0_us,")},
+    sized AS (SELECT source, segment_id, count(*) AS n FROM zsteps GROUP BY ALL), cut AS (SELECT *, CAST(unnest(range(0, n - 11, 4)) AS INTEGER) AS start_index FROM sized WHERE n >= 12)
+    SELECT c.source, c.segment_id, c.start_index, 8 AS window_length, 4 AS lag_steps, 8 AS wt, CAST(sum(z.interp_mask) AS INTEGER) AS window_interp_count, {q('sum(z.interp_mask) / 8.0::DOUBLE')} AS window_interp_ratio, min(z.grid_t_us) AS grid_start, max(z.grid_t_us) AS grid_end
+    FROM cut c JOIN zsteps z ON z.source = c.source AND z.segment_id = c.segment_id AND z.step_index >= start_index + 4 AND z.step_index < start_index + 12 GROUP BY ALL""")
+def sdp_manifest(spark, sf_dir):
+    return C.profile_manifest(complex_steps(spark, sf_dir), 8, 4, 4).withColumn("window_interp_ratio", r("window_interp_ratio"))
+
+
+@query(f"""WITH {STEPS}, sized AS (SELECT source, segment_id, count(*) AS n FROM steps GROUP BY ALL), cut AS (SELECT *, CAST(unnest(range(0, n - 11, 4)) AS INTEGER) AS start_index FROM sized WHERE n >= 12)
+    SELECT c.source, c.segment_id, c.start_index, {', '.join(f"CAST(coalesce(string_agg(coalesce(CAST(s.{x} AS VARCHAR), ''), ',' ORDER BY s.step_index) FILTER (s.step_index >= start_index + {k}), '') AS VARCHAR) AS {name}_{x}" for name, k in (('current', 4), ('context', 0)) for x in ('interp_mask', 'grid_t_us', 'actual_t_us', 'source_row'))}
+    FROM cut c JOIN steps s ON s.source = c.source AND s.segment_id = c.segment_id AND s.step_index >= start_index AND s.step_index < start_index + 12 GROUP BY ALL""")
+def sdp_context(spark, sf_dir):
+    rows = C.context_windows(steps(spark, sf_dir), 8, 4, 4)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit(""))), ",").alias(c)
+    return rows.select("source", "segment_id", "start_index", *(joined(c) for c in rows.columns[3:]))
+
+
+@query(f"""WITH {STEPS}{_WINDOWS}, {FILES.removeprefix(P + ',')}, s AS (SELECT source, label, {_LAST} AS split FROM files),
+    b AS (SELECT source, count(*) AS before, count(*) FILTER (n_steps > 1) AS after FROM sized GROUP BY source), w AS (SELECT source, count(*) AS n FROM cut WHERE window_length = 8 GROUP BY source)
+    SELECT split, label, count(*) AS files_seen, count(before) AS files_with_segments, CAST(sum(coalesce(before, 0)) AS BIGINT) AS segments_before, CAST(sum(coalesce(after, 0)) AS BIGINT) AS segments_after, CAST(sum(coalesce(n, 0)) AS BIGINT) AS windows
+    FROM s LEFT JOIN b USING (source) LEFT JOIN w USING (source) GROUP BY split, label""")
+def build_counters(spark, sf_dir):
+    made = steps(spark, sf_dir)
+    return S.build_counters(made, W.window_starts(made, [8], 4), _time_split(spark, sf_dir).select("source", "split", "label"), shrunk=1)
+
+
+@query(f"""WITH a AS (SELECT label % 2 = 0 AS even, unnest(range(0, 32)) AS c, embedding FROM embeddings), z AS (SELECT even, CAST(embedding[2 * c + 2] AS DOUBLE) AS re, CAST(embedding[2 * c + 1] AS DOUBLE) AS im FROM a)
+    SELECT even, count(*) // 32 AS rows_used, {q('avg(sqrt(re * re + im * im))')} AS amplitude_mean, {q('stddev_pop(sqrt(re * re + im * im))')} AS amplitude_std, {q('stddev_pop(atan2(im, re))')} AS phase_std FROM z GROUP BY even""")
+def amplitude_phase_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select((F.col("label") % 2 == 0).alias("even"), V.real("embedding").alias("re"), V.imag("embedding").alias("im"))
+    return S.amplitude_phase_summary(rows, ["even"], "re", "im").withColumns({c: r(c) for c in ("amplitude_mean", "amplitude_std", "phase_std")})
+
+
+@query(f"""WITH {VECTORS}, gaps AS (SELECT *, t_us - lag(t_us) OVER w AS gap_us, lag(re) OVER w AS pr, lag(im) OVER w AS pi, lag(amp) OVER w AS prev_amp FROM vectors WINDOW w AS (PARTITION BY source ORDER BY row_no)),
+    c AS (SELECT quantile_cont(gap_us, 0.25) AS a, quantile_cont(gap_us, 0.75) AS b, quantile_cont(gap_us, 0.99) AS z FROM gaps WHERE gap_us IS NOT NULL),
+    o AS (SELECT *, list_sum(list_transform(range(1, 33), lambda k: (CAST(re[k] AS DOUBLE) - pr[k]) * (CAST(re[k] AS DOUBLE) - pr[k]) + (CAST(im[k] AS DOUBLE) - pi[k]) * (CAST(im[k] AS DOUBLE) - pi[k]))) AS d FROM gaps WHERE gap_us IS NOT NULL)
+    SELECT CASE WHEN gap_us <= a THEN 'small' WHEN gap_us >= b THEN 'large' ELSE 'middle' END AS gap_group, count(*) AS n, {q('avg(abs(amp - prev_amp))')} AS mean_change, {q('sqrt(sum(d) / (32 * count(*)))', 5)} AS complex_rmse FROM o, c WHERE gap_us <= z GROUP BY 1""")
+def gap_trimmed_rmse(spark, sf_dir):
+    rows = complex_packets(spark, sf_dir).withColumns({c: F.col(c).cast("array<double>") for c in ("re", "im")})
+    found = S.trimmed_groups(G.gaps(rows, ["amp", "re", "im"]), "amp", parts=("re", "im"))
+    return found.select("gap_group", "n", r("mean_change").alias("mean_change"), r("complex_rmse", 5).alias("complex_rmse"))
+
+
+@query(f"""WITH {PREDICTIONS}, runs AS (SELECT model, sample_id % 3 AS seed, avg(CAST(truth = pred AS INTEGER)) AS accuracy FROM predictions GROUP BY ALL)
+    SELECT model, seed, {q('accuracy')} AS accuracy, {q('avg(accuracy) OVER m')} AS accuracy_mean, {q('coalesce(stddev_samp(accuracy) OVER m, 0)')} AS accuracy_std FROM runs WINDOW m AS (PARTITION BY model)""")
+def seed_runs(spark, sf_dir):
+    runs = predictions(spark, sf_dir).groupBy("model", (F.col("sample_id") % 3).alias("seed")).agg(F.avg((F.col("true") == F.col("pred")).cast("int")).alias("accuracy"))
+    return M.seed_runs(runs, ["model"], ["accuracy"]).withColumns({c: r(c) for c in ("accuracy", "accuracy_mean", "accuracy_std")})
+
+
+@query(f"""WITH {STEPS} SELECT CAST(source AS VARCHAR) AS source_csv, segment_id, step_index, grid_t_us - min(grid_t_us) OVER (PARTITION BY source, segment_id) AS relative_time_us, grid_t_us AS grid_timestamp,
+    coalesce(CAST(actual_t_us AS VARCHAR), '') AS actual_timestamp, coalesce(CAST(source_row AS VARCHAR), '') AS source_row_number, interp_mask, {q('amp')} AS sc_000, {q('2 * amp')} AS sc_001 FROM steps""")
+def resampled_csv(spark, sf_dir):
+    rows = steps(spark, sf_dir).withColumns({"source": F.col("source").cast("string"), "v": F.array(r("amp"), r(2 * F.col("amp")))})
+    return K.resampled_csv(rows, "v", 2)
+
+
 @query()
 def mlp_inference(spark, sf_dir):
     """A small network fitted on at most 2,000 vectors (by hash order), applied to all."""

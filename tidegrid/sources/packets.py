@@ -1,34 +1,35 @@
 """Packet logs as CSV.
 
-A log's order is its file order. Spark's CSV reader gives no row number, so each file is
-read as one value and its lines are numbered (the header is line 1); then all columns
-come from ``from_csv``. One file is one sequential unit, as in the logs themselves.
+A log's order is its file order. Spark's CSV reader gives the rows of a file in order but
+without numbers, so they are numbered by the order in which its task read them; the first
+one of a file is its header. A file with quoted line breaks is read by one task, as a log
+is one sequence anyway, and streams through it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators.normalise import normalised_amplitude, scale_factor
 
 
-def numbered_csv(spark: SparkSession, path: str, columns: list[str], recursive: bool = True) -> DataFrame:
+def numbered_csv(spark: SparkSession, path: str, columns: list[str], recursive: bool = True, most_columns: int = 64) -> DataFrame:
     """(source_csv, source_row_number, columns as strings) of all CSV files under ``path``.
 
-    The header names the columns of each file; missing ones are null. Lines without
-    content don't count as rows.
+    Each file's own header names its columns, the first ``most_columns`` of which are read;
+    missing ones are null. Rows are numbered from 2 in file order; empty lines aren't rows
+    and don't count. Quoted fields may hold commas, line breaks and doubled quotes.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.csv", recursiveFileLookup=recursive)
-    lines = files.select(F.input_file_name().alias("source_csv"), F.split("value", r"\r?\n").alias("l"))
-    names = F.transform(F.split(F.regexp_replace(F.col("l")[0], "^﻿", ""), ","), F.trim)
-    rows = lines.select("source_csv", names.alias("names"), F.posexplode("l").alias("i", "line")).filter((F.col("i") > 0) & (F.length(F.trim("line")) > 0))
-    # quoted fields may hold commas: cut at commas outside quotes
-    cells = F.transform(F.split("line", r',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"|"$', ""), '""', '"'))
-    rows = rows.withColumn("cells", cells)
-    pick = lambda c: F.get("cells", F.array_position("names", c).cast("int") - 1)
-    return rows.select("source_csv", (F.col("i") + 1).alias("source_row_number"), *(F.when(F.array_contains("names", c), pick(c)).alias(c) for c in columns))
+    names = [f"_c{i}" for i in range(most_columns)]
+    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=False, multiLine=True, quote='"', escape='"', pathGlobFilter="*.csv", recursiveFileLookup=recursive)
+    rows = rows.select(F.input_file_name().alias("source_csv"), F.monotonically_increasing_id().alias("_id"), F.transform(F.array(*names), lambda c: F.trim(c)).alias("_cells"))
+    w = Window.partitionBy("source_csv").orderBy("_id")
+    head = F.transform(F.first("_cells").over(w), lambda c: F.regexp_replace(c, "^\ufeff", ""))
+    rows = rows.withColumns({"source_row_number": F.row_number().over(w), "_names": head}).filter("source_row_number > 1")
+    pick = lambda c: F.get("_cells", F.array_position("_names", c).cast("int") - 1)
+    return rows.select("source_csv", "source_row_number", *(F.when(F.array_contains("_names", c), pick(c)).alias(c) for c in columns))
 
 
 def packets(rows: DataFrame, width: int, strict_time: bool = False) -> DataFrame:

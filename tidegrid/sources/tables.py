@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,15 @@ def wide(steps: DataFrame, vector: str, width: int, prefix: str = "sc_") -> Data
     return steps.select(*(c for c in steps.columns if c != vector), *(F.get(vector, F.lit(i)).alias(f"{prefix}{i:03d}") for i in range(width)))
 
 
+def resampled_csv(steps: DataFrame, vector: str, width: int) -> DataFrame:
+    """The columns of a resampled log as CSV: time since the segment's start, blanks for what filled steps don't have, one column a carrier."""
+    start = F.min("grid_t_us").over(Window.partitionBy("source", "segment_id"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = steps.withColumns({"_since": F.col("grid_t_us") - start, "actual_timestamp": blank("actual_t_us"), "source_row_number": blank("source_row")})
+    named = rows.select(F.col("source").alias("source_csv"), "segment_id", "step_index", F.col("_since").alias("relative_time_us"), F.col("grid_t_us").alias("grid_timestamp"), "actual_timestamp", "source_row_number", "interp_mask", vector)
+    return wide(named, vector, width)
+
+
 def summary_json(counts: DataFrame, by: list[str]) -> DataFrame:
     """One JSON document a group, of the other columns."""
     rest = [c for c in counts.columns if c not in by]
