@@ -505,7 +505,11 @@ def mask(text: str, spans: list[Span]) -> str:
 
 
 def masked(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
-    """The documents with personal data masked in ``text``; other columns stay as they are, ``n_chars`` follows the text if there."""
+    """The documents with personal data masked in ``text``; other columns stay as they are, ``n_chars`` follows the text if there.
+
+    Every row stays: a null text stays null, an empty one empty; null ids and repeated rows
+    don't matter, as each row is masked by itself; an empty table gives no row.
+    """
     shared.share_code(docs.sparkSession)
     crf = crf or trained()
 

@@ -156,6 +156,11 @@ def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFra
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, least: float = 0.5) -> DataFrame:
-    """The documents, all columns, whose score is at least ``least``."""
+    """The documents, all columns, whose score is at least ``least``.
+
+    A null or empty text is scored by its statistics like any other; null ids and repeated
+    rows don't matter, as each row is judged by itself; an empty table gives no row. Without
+    labels every document scores 1/2 and stays.
+    """
     shared.share_code(docs.sparkSession)
     return scored(docs, train(docs, labels, max_rows)).filter(F.col("__quality_score") >= least).drop("__quality_score")

@@ -14,9 +14,10 @@ Equal strings of ``length`` bytes hold the same anchor: the leftmost least hash
 3. Each document drops its covered bytes.
 
 Rows move as packed arrays, at most one context a gram and batch for identical ones, so
-a passage in a third of all documents costs each task one entry. Grams with over
-``hot_contexts`` different contexts are settled by a digest of each string instead of
-being gathered.
+a passage in a third of all documents costs each task one entry. Where a gram has over
+``hot_contexts`` different contexts, these are dealt by the 88 bytes around which their
+strings lie, and where those are as frequent, string by string: each level is settled by
+suffix grouping within batches first, so what is dealt are different strings.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -284,42 +286,87 @@ def covered_ranges(docs: DataFrame, length: int = 100, hot_contexts: int = 50_00
 
     pieces = texts.join(wanted, "doc_id").mapInPandas(cut, "doc_id long, start int, anchor int, gram long, hot boolean, raw binary")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-        for pdf in batches:  # sorted by gram: blocks end where a gram ends
-            held.append(pdf)
-            size += len(pdf)
-            if size < 8_000:
-                continue
-            block = pd.concat(held, ignore_index=True)
-            last = block["gram"].to_numpy() == block["gram"].iloc[-1]
-            if not last.all():
-                yield _strings(block[~last].reset_index(drop=True), length)
-                block = block[last]
-            held, size = [block], len(block)
-        if held:
-            yield _strings(pd.concat(held, ignore_index=True), length)
-
-    plan = "doc_id long, start int, size int"
+    def compared(rows: DataFrame) -> DataFrame:
+        return rows.select("doc_id", "start", "anchor", "gram", "raw").repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(lambda b: _compare(b, length), COVERED)
+
+    covered = known.filter(F.col("gram").isNull()).select("doc_id", "start", "size")
     if known.filter("hot").isEmpty():
-        compared = pieces.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(compare, plan)
-    else:
-        pieces = shared.stored(pieces, "pieces")
-        compared = pieces.filter("not hot").repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(compare, plan).union(_by_digest(pieces.filter("hot"), length))
-    return known.filter(F.col("gram").isNull()).select("doc_id", "start", "size").union(compared)
+        return covered.union(compared(pieces))
+    pieces = shared.stored(pieces, "pieces")
+    covered = covered.union(compared(pieces.filter("not hot")))
+    for whole in (False, True):  # by core, then string by string
+        finer = shared.stored(pieces.filter("hot").mapInPandas(lambda b, whole=whole: _finer(b, length, whole), "doc_id long, start int, size int, anchor int, gram long, raw binary"), "finer")
+        covered = covered.union(finer.filter("raw is null").select("doc_id", "start", "size"))
+        left = finer.filter("raw is not null")
+        often = shared.stored(left.groupBy("gram").agg(F.count("*").alias("times")).filter(F.col("times") > hot_contexts).select("gram", F.lit(True).alias("hot")), "often")
+        if whole or often.isEmpty():
+            return covered.union(compared(left))
+        covered = covered.union(compared(left.join(often, "gram", "left_anti")))
+        pieces = shared.stored(left.join(often, "gram"), "pieces")
+
+
+COVERED = "doc_id long, start int, size int"
+
+
+def _compare(batches: Iterator[pd.DataFrame], length: int, most: int = 8_000) -> Iterator[pd.DataFrame]:
+    """The covered ranges of rows sorted by gram, in blocks that end where a gram ends."""
+    held, size = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        size += len(pdf)
+        if size < most:
+            continue
+        block = pd.concat(held, ignore_index=True)
+        last = block["gram"].to_numpy() == block["gram"].iloc[-1]
+        if not last.all():
+            yield _strings(block[~last].reset_index(drop=True), length)
+            block = block[last]
+        held, size = [block], len(block)
+    if held:
+        yield _strings(pd.concat(held, ignore_index=True), length)
 
 
-def _by_digest(pieces: DataFrame, length: int) -> DataFrame:
-    """Covered strings of contexts around very frequent grams: each string's digest has its first place, by partial minima."""
+def _finer(batches: Iterator[pd.DataFrame], length: int, whole: bool, most: int = 8_000) -> Iterator[pd.DataFrame]:
+    """Pieces around each core of the given pieces, or each string, named by a hash of it that deals them only.
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(hashlib.blake2b(raw[k : k + length], digest_size=16).digest(), doc, start + k) for doc, start, raw in zip(pdf["doc_id"], pdf["start"], pdf["raw"], strict=True) for k in range(len(raw) - length + 1)]
-            yield pd.DataFrame(rows, columns=["digest", "doc_id", "start"])
-
-    strings = shared.stored(pieces.mapInPandas(digests, "digest binary, doc_id long, start int"), "strings")
-    firsts = strings.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return strings.join(firsts, "digest").filter("struct(doc_id, start) > first").select("doc_id", "start", F.lit(length).alias("size"))
+    A batch's pieces are compared among each other: those covered come without bytes.
+    """
+    names = ["doc_id", "start", "size", "anchor", "gram", "raw"]
+
+    def settled(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=names)
+        gone = _strings(out, length)
+        doc, start, end = (gone[c].to_numpy(np.int64) for c in ("doc_id", "start", "size"))
+        end = start + end
+        order = np.lexsort((start, doc))
+        doc, start, end = doc[order], start[order], end[order]
+        first = {}
+        for i, d in enumerate(doc.tolist()):
+            first.setdefault(d, [i, i])[1] = i + 1
+        keep = []
+        for d, at, size in zip(out["doc_id"], out["start"], out["size"], strict=True):
+            i, j = first.get(d, (0, 0))
+            k = i + int(np.searchsorted(start[i:j], at, "right")) - 1
+            keep.append(k < i or end[k] < at + size)
+        return pd.concat([out[np.array(keep, bool)], gone.assign(anchor=None, gram=None, raw=None)[names]], ignore_index=True)
+
+    rows: list[tuple] = []
+    for pdf in batches:
+        for doc, start, anchor, raw in zip(pdf["doc_id"], pdf["start"], pdf["anchor"], pdf["raw"], strict=True):
+            for core in range(anchor % 8, len(raw) - CORE + 1, 8):
+                if whole:
+                    cuts = [(k, k + length) for k in range(max(0, core - 7), core + 1) if k + length <= len(raw)]
+                else:
+                    low, high = max(0, core - 7), min(len(raw), core + length)
+                    cuts = [(low, high)] if high - low >= length else []
+                for low, high in cuts:
+                    named = xxhash.xxh3_64_intdigest(raw[low:high] if whole else raw[core : core + CORE])
+                    rows.append((doc, start + low, high - low, core - low, named - (1 << 63), raw[low:high]))
+            if len(rows) >= most:
+                yield settled(rows)
+                rows = []
+    if rows:
+        yield settled(rows)
 
 
 def _kept(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int, int]:
