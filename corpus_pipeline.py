@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is what the stage
 before it kept. All stages but the last return the columns of ``documents``.
+
+Null texts and ids, empty and very long texts, ties and repeated rows are handled by each
+stage as its operator's docstring says: quality, repeats and personal_data treat each row
+by itself (a null text is scored as an empty one and stays null), near_dedup keeps one row
+of a doc_id and one of exact copies without an id, packing gives a document without text
+its end mark only. An empty table gives no row at any stage; further columns, whatever
+their names, pass through all but the last.
 """
 
 from __future__ import annotations
