@@ -91,6 +91,45 @@ def test_group_split_ties(spark):
         X.group_split(totals.filter("g = 'a'"), "g", "n")
 
 
+@pytest.mark.parametrize("ties", ["size", "order"])
+@pytest.mark.parametrize("sizes", [[3, 3, 3, 3, 3], [0, 5, 0, 5], [1, 2, 4, 8, 16, 32], [7, 7, 2, 0, 9, 4, 4]])
+def test_group_split_by_sums_equals_masks(spark, ties, sizes):
+    totals = spark.createDataFrame([(f"g{i}", x) for i, x in enumerate(sizes)], "g string, n long")
+    split = lambda most: {r.g: r.is_train for r in X.group_split(totals, "g", "n", 0.6, ties, most).collect()}
+    assert split(0) == split(20)
+
+
+def test_group_split_of_many_groups(spark):
+    totals = spark.createDataFrame([(i, 1 + i % 3) for i in range(24)], "g int, n long")
+    flags = {r.g: r.is_train for r in X.group_split(totals, "g", "n", 0.5).collect()}
+    held = [i for i in range(24) if flags[i]]
+    assert sum(1 + i % 3 for i in held) == 24 and held == [2, 5, 8, 11, 14, 17, 20, 23]
+
+
+def test_quantiles_by_source_are_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, i, i * 10, int(g) if g > 3 else None) for s, n in (("a", 31), ("b", 1), ("c", 2), ("d", 40)) for i, g in enumerate(rng.integers(0, 60, n))]
+    df = spark.createDataFrame([*rows, ("e", 0, 0, None)], "source string, row_no int, t_us long, gap_us long")
+    want = {x.source: tuple(x)[1:] for x in df.groupBy("source").agg(F.median("gap_us"), F.avg("gap_us"), F.percentile("gap_us", F.lit(0.9))).collect()}
+    got = {x.source: (x.median_gap, x.mean_gap, x.p90_gap) for x in S.file_stats(df).collect()}
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k]) if None not in want[k] else got[k] == want[k]
+
+
+@pytest.mark.parametrize("model", [L.Mlp([4, 5, 3], 2), L.Cnn(2, (3, 4), 3, ((3, 1), (1, 3)), 2)])
+def test_run_is_stored_and_rebuilt(spark, tmp_path, model):
+    x = np.random.default_rng(1).normal(size=(6, 4) if isinstance(model, L.Mlp) else (6, 2, 3, 4))
+    history = L.train(model, x, np.array([0, 1, 2] * 2), (x, np.array([0, 1, 2] * 2)), L.Adam(0.01), epochs=3)
+    path = str(tmp_path / "run")
+    TB.write_run(spark, path, model.params, np.zeros(4), np.ones(4), L.run_summary(history), getattr(model, "kernels", None))
+    params, means, stds, summary, kernels = TB.read_run(spark, path)
+    again = L.rebuilt(params, kernels)
+    assert np.array_equal(again.forward(x)[0], model.forward(x)[0])
+    assert (summary["epochs"], summary["best_epoch"]) == (3, max(history, key=lambda h: (h["validation_accuracy"], -h["epoch"]))["epoch"])
+    assert means.tolist() == [0.0] * 4 and stds.tolist() == [1.0] * 4
+
+
 def test_time_splits(spark):
     files = spark.createDataFrame([("x", i, f"f{i}") for i in range(5)] + [("y", 0, "g")], "label string, time int, name string")
     held = lambda df: sorted(r.name for r in df.filter("split = 'validation'").collect())

@@ -111,6 +111,25 @@ class Cnn:
         return out
 
 
+def rebuilt(params: Params, kernels: list | None = None) -> Mlp | Cnn:
+    """The network of stored weights: layer sizes from their shapes, a CNN's ``kernels`` as they were."""
+    if "w0" in params:
+        depth = sum(k.startswith("w") for k in params)
+        model: Mlp | Cnn = Mlp([params["w0"].shape[0], *(params[f"w{i}"].shape[1] for i in range(depth))])
+    else:
+        shapes = tuple(tuple(int(k) for k in x) for x in kernels or ())
+        channels = params["k0"].shape[0] // int(np.prod(shapes[0]))
+        model = Cnn(channels, (params["k0"].shape[1], params["k1"].shape[1]), params["w"].shape[1], shapes)
+    model.params = dict(params)
+    return model
+
+
+def run_summary(history: list[dict]) -> dict:
+    """The first epoch of the best validation accuracy with its scores, and the number of epochs."""
+    best = max(history, key=lambda h: (h["validation_accuracy"], -h["epoch"]))
+    return {"epochs": len(history), "best_epoch": best["epoch"]} | {k: v for k, v in best.items() if k != "epoch"}
+
+
 class Adam:
     def __init__(self, rate: float = 1e-3, decay: float = 0.0):
         self.rate, self.decay, self.t, self.m, self.v = rate, decay, 0, {}, {}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from .statistics import at_rank, placed
 
 EPS = 1e-8
 
@@ -37,13 +38,15 @@ def mad_scores(packets: DataFrame, strength: Column | str = "strength") -> DataF
     """``packets`` with ``mad_score``: distance from the source's median in scaled median deviations.
 
     ``strength`` is a packet's mean amplitude. The scale is 1.4826 times the median absolute
-    deviation, at least 1e-6. The two medians are aggregated by source and joined back.
+    deviation, at least 1e-6. Both medians are taken by rank over one deal by source, in
+    sorts that can spill.
     """
     s = F.col(strength) if isinstance(strength, str) else strength
-    medians = packets.groupBy("source").agg(F.median(s).alias("_median"))
-    centred = packets.join(medians, "source").withColumn("_off", F.abs(s - F.col("_median")))
-    spreads = centred.groupBy("source").agg(F.greatest(F.lit(1.4826) * F.median("_off"), F.lit(1e-6)).alias("_scale"))
-    return centred.join(spreads, "source").withColumn("mad_score", F.col("_off") / F.col("_scale")).drop("_median", "_off", "_scale")
+    w = Window.partitionBy("source")
+    ranked = placed(packets.withColumn("_strength", s.cast("double")), ["source"], "_strength")
+    centred = ranked.withColumn("_off", F.abs(F.col("_strength") - at_rank("_strength", 0.5, w))).drop("_place", "_count")
+    scale = F.greatest(F.lit(1.4826) * at_rank("_off", 0.5, w), F.lit(1e-6))
+    return placed(centred, ["source"], "_off").withColumn("mad_score", F.col("_off") / scale).drop("_strength", "_off", "_place", "_count")
 
 
 def mad_filtered(packets: DataFrame, most: float, strength: Column | str = "strength") -> DataFrame:

@@ -2,32 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def group_split(totals: DataFrame, group: str, rows: str, share: float = 0.8, ties: str = "size", most_groups: int = 20) -> DataFrame:
+def group_split(totals: DataFrame, group: str, rows: str, share: float = 0.8, ties: str = "size", most_masks: int = 20) -> DataFrame:
     """The training flag of each group, for the proper subset whose rows come nearest to ``share`` of all.
 
-    ``totals`` has one row a group. Ties go to the smaller subset, then the first in order
-    (``size``), or to the first in order alone (``order``). Every subset is one row of a
-    bit mask, so at most ``most_groups`` groups can be searched.
+    ``totals`` has one row a group, 2 at least. Ties go to the smaller subset, then the
+    first in order (``size``), or to the first in order alone (``order``). Up to
+    ``most_masks`` groups every subset is one row of a bit mask; with more, the sums that
+    subsets reach are a table that grows group by group, with the best subset of each sum.
+    Both are exact. Group totals are a dimension and are collected.
     """
     spark = totals.sparkSession
-    groups = [(r[0], r[1]) for r in totals.select(group, rows).orderBy(group).limit(most_groups + 1).collect()]
+    groups = [(r[0], r[1]) for r in totals.select(group, rows).orderBy(group).collect()]
     n = len(groups)
-    if not 2 <= n <= most_groups:
-        raise ValueError(f"a subset search needs 2 to {most_groups} groups")
-    target = sum(r for _, r in groups) * share
-    masks = spark.range(1, 2**n - 1).withColumnRenamed("id", "mask")
-    bit = lambda i: F.shiftright("mask", i).bitwiseAND(F.lit(1))
-    held = sum((bit(i) * F.lit(r) for i, (_, r) in enumerate(groups)), F.lit(0))
-    places = F.array_compact(F.array(*(F.when(bit(i) == 1, F.lit(i)) for i in range(n))))
-    diff = F.abs(held - F.lit(float(target)))
-    key = F.struct(diff.alias("d"), F.size(places).alias("size"), places.alias("p")) if ties == "size" else F.struct(diff.alias("d"), places.alias("p"), held.alias("h"))
-    best = masks.agg(F.min_by("mask", key).alias("mask"))
+    if n < 2:
+        raise ValueError("a subset search needs 2 groups at least")
+    target = float(sum(r for _, r in groups) * share)
+    if n <= most_masks:
+        masks = spark.range(1, 2**n - 1).withColumnRenamed("id", "mask")
+        bit = lambda i: F.shiftright("mask", i).bitwiseAND(F.lit(1))
+        held = sum((bit(i) * F.lit(r) for i, (_, r) in enumerate(groups)), F.lit(0))
+        subsets = masks.select(held.alias("held"), F.array_compact(F.array(*(F.when(bit(i) == 1, F.lit(i)) for i in range(n)))).alias("places"))
+    else:
+        subsets = _reached([r for _, r in groups], spark, ties)
+    diff = F.abs(F.col("held") - F.lit(target))
+    key = [diff.alias("d"), F.size("places").alias("size"), F.col("places").alias("p")] if ties == "size" else [diff.alias("d"), F.col("places").alias("p"), F.col("held").alias("h")]
+    best = subsets.agg(F.min_by("places", F.struct(*key)).alias("places"))
     numbered = spark.createDataFrame([(g, i) for i, (g, _) in enumerate(groups)], f"{group} {totals.schema[group].dataType.simpleString()}, _i int")
-    return numbered.crossJoin(F.broadcast(best)).select(group, (F.expr("shiftright(mask, _i)").bitwiseAND(F.lit(1)) == 1).alias("is_train"))  # one row of the mask
+    return numbered.crossJoin(F.broadcast(best)).select(group, F.array_contains("places", F.col("_i")).alias("is_train"))  # one row: the subset
+
+
+def _reached(sizes: list[int], spark: SparkSession, ties: str) -> DataFrame:
+    """(held, places) of the best proper subset for each sum of sizes that one reaches.
+
+    Groups are taken from the last to the first: what is put in front of two subsets leaves
+    their order as it is, so only the better one of each sum goes on. The empty subset and
+    the whole are told apart, as others may have their sums.
+    """
+    front = spark.createDataFrame([(0, [])], "held long, places array<int>")
+    for taken, i in enumerate(reversed(range(len(sizes))), 1):
+        grown = F.struct((F.col("held") + F.lit(sizes[i])).alias("held"), F.concat(F.array(F.lit(i)), "places").alias("places"))
+        both = front.select(F.explode(F.array(F.struct("held", "places"), grown)).alias("s")).select("s.*")
+        size = F.size("places")
+        order = F.struct(size, "places") if ties == "size" else F.struct("places")
+        front = both.groupBy("held", (size == 0).alias("_none"), (size == taken).alias("_all")).agg(F.min_by("places", order).alias("places"))
+        if taken % 16 == 0 and spark.sparkContext.getCheckpointDir():
+            front = front.checkpoint()
+    return front.filter("not _none and not _all").select("held", "places")
 
 
 def _shuffled(seed: int, key: str) -> list:

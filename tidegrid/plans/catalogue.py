@@ -299,6 +299,11 @@ def multi_length_windows(spark, sf_dir):
     return W.window_starts(steps(spark, sf_dir), [8, 16], 4).select("source", "segment_id", "window_length", "start_index")
 
 
+@query(f"WITH {STEPS}, n AS (SELECT source, segment_id, CAST(count(*) AS INTEGER) AS n_steps FROM steps GROUP BY ALL) SELECT source, segment_id, 8 AS window_length, CAST(unnest(range(0, n_steps - 7, 8)) AS INTEGER) AS start_index FROM n WHERE n_steps >= 8")
+def tumbling_windows(spark, sf_dir):
+    return W.window_starts(steps(spark, sf_dir), [8], 8).select("source", "segment_id", "window_length", "start_index")
+
+
 def _cut(spark, sf_dir):
     columns = ["amp", "interp_mask", "grid_t_us"]
     return W.step_windows(steps(spark, sf_dir), columns, [8, 16], 4)
@@ -405,6 +410,31 @@ def lag_profile(spark, sf_dir):
     return _profiles(spark, sf_dir).select("source", "segment_id", "step_index", rv("profile", 5).alias("profile"))
 
 
+def _magnitude_sql(lags: int, of: str) -> str:
+    """Products of carriers by lag, made real by ``of``; clamped shares, kept as they are where their sum is no more than 1e-6."""
+    dot, cross = "CAST(a.re[k] AS DOUBLE) * b.re[k] + CAST(a.im[k] AS DOUBLE) * b.im[k]", "CAST(a.im[k] AS DOUBLE) * b.re[k] - CAST(a.re[k] AS DOUBLE) * b.im[k]"
+    top = {"abs-real": f"abs({dot})", "magnitude": f"sqrt(({dot}) * ({dot}) + ({cross}) * ({cross}))"}[of]
+    size = lambda t: f"sqrt(CAST({t}.re[k] AS DOUBLE) * {t}.re[k] + CAST({t}.im[k] AS DOUBLE) * {t}.im[k])"
+    return COMPLEX_STEPS + f""",
+places AS (SELECT *, row_number() OVER (PARTITION BY source, segment_id ORDER BY step_index) AS n FROM zsteps),
+rho AS (SELECT a.source, a.segment_id, a.step_index, b.lag, greatest(list_avg(list_transform(range(1, 33), lambda k: {top} / ({size('a')} * {size('b')} + 1e-6))), 0) AS v
+        FROM places a JOIN (SELECT *, unnest(range(1, {lags + 1})) AS lag FROM places) b ON a.source = b.source AND a.segment_id = b.segment_id AND a.step_index = b.step_index + b.lag WHERE a.n > {lags}),
+profiles AS (SELECT source, segment_id, step_index, list(CASE WHEN total > 1e-6 THEN v / total ELSE v END ORDER BY lag) AS profile
+             FROM (SELECT *, sum(v) OVER (PARTITION BY source, segment_id, step_index) AS total FROM rho) GROUP BY ALL)"""
+
+
+@query(f"WITH {_magnitude_sql(4, 'magnitude')} SELECT source, segment_id, step_index, {qv('profile', 5)} AS profile FROM profiles")
+def lag_profile_magnitude(spark, sf_dir):
+    found = C.lag_profile(complex_steps(spark, sf_dir), "re", "im", 4, "magnitude", "clamp", zero_on_empty=False)
+    return found.select("source", "segment_id", "step_index", rv("profile", 5).alias("profile"))
+
+
+@query(f"WITH {_magnitude_sql(4, 'abs-real')} SELECT source, segment_id, step_index, {qv('profile', 5)} AS profile FROM profiles")
+def lag_profile_abs_real(spark, sf_dir):
+    found = C.lag_profile(complex_steps(spark, sf_dir), "re", "im", 4, "abs-real", "clamp", zero_on_empty=False)
+    return found.select("source", "segment_id", "step_index", rv("profile", 5).alias("profile"))
+
+
 def _sdp_sql(width: int) -> str:
     return f"""WITH {_profile_sql(4)}, sized AS (SELECT source, segment_id, count(*) AS n, min(step_index) AS s0 FROM profiles GROUP BY ALL),
     cut AS (SELECT *, CAST(unnest(range(0, n - {width} + 1, 4)) AS INTEGER) AS start_index FROM sized WHERE n >= {width})
@@ -567,6 +597,13 @@ def precision_recall_f1(spark, sf_dir):
     return M.class_scores(M.confusion(_model(spark, sf_dir), [0, 1])).withColumns({c: r(c) for c in ("precision", "recall", "f1")})
 
 
+@query(f"""WITH {_CELLS_OF_B}, t AS (SELECT truth AS c, sum(n) AS support, sum(CASE WHEN truth = pred THEN n ELSE 0 END) AS tp FROM cells GROUP BY 1), p AS (SELECT pred AS c, sum(n) AS predicted FROM cells GROUP BY 1),
+    s AS (SELECT CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0 END AS pr, CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0 END AS rc FROM t JOIN p USING (c))
+    SELECT {q('avg(pr)')} AS macro_precision, {q('avg(rc)')} AS macro_recall, {q('avg(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0 END)')} AS macro_f1 FROM s""")
+def macro_scores(spark, sf_dir):
+    return M.macro_scores(M.class_scores(M.confusion(_model(spark, sf_dir), [0, 1]))).withColumns({c: r(c) for c in ("macro_precision", "macro_recall", "macro_f1")})
+
+
 @query(f"WITH {PREDICTIONS}, runs AS (SELECT model, sample_id % 3 AS seed, avg(CAST(truth = pred AS INTEGER)) AS accuracy FROM predictions GROUP BY ALL) SELECT model, count(*) AS n_runs, {q('avg(accuracy)')} AS accuracy_mean, {q('coalesce(stddev_samp(accuracy), 0)')} AS accuracy_std FROM runs GROUP BY model")
 def seed_mean_std(spark, sf_dir):
     runs = predictions(spark, sf_dir).groupBy("model", (F.col("sample_id") % 3).alias("seed")).agg(F.avg((F.col("true") == F.col("pred")).cast("int")).alias("accuracy"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -76,3 +77,17 @@ def pack_weights(params: dict[str, np.ndarray]) -> bytes:
 def unpack_weights(raw: bytes) -> dict[str, np.ndarray]:
     with np.load(io.BytesIO(raw)) as f:
         return {k: f[k] for k in f.files}
+
+
+def write_run(spark: SparkSession, path: str, params: dict[str, np.ndarray], means: np.ndarray, stds: np.ndarray, summary: dict, kernels: tuple | None = None) -> None:
+    """A training run as a table of one row: its weights with what standardises their input, and its summary as JSON."""
+    raw = pack_weights({f"p.{k}": v for k, v in params.items()} | {"means": means, "stds": stds})
+    row = [(bytearray(raw), json.dumps(kernels), json.dumps(summary))]
+    spark.createDataFrame(row, "weights binary, kernels string, summary string").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_run(spark: SparkSession, path: str) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, dict, list | None]:
+    """(weights, means, stds, summary, kernels) of a run, for inference or to go on training."""
+    row = spark.read.parquet(path).first()
+    found = unpack_weights(bytes(row.weights))
+    return {k[2:]: v for k, v in found.items() if k.startswith("p.")}, found["means"], found["stds"], json.loads(row.summary), json.loads(row.kernels)
