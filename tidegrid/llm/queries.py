@@ -85,6 +85,12 @@ def op10_sentencepiece_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verify_pieces(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_duplicates
+
+    return substring_duplicates(_table(spark, sf_dir, "documents"), window=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -121,6 +127,15 @@ SQL = {
           CAST(sum(n) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id
     """,
+    "op11_recompression_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS pos FROM d),
+        s AS (SELECT doc_id, pos, w[pos] AS b, CASE WHEN pos + 19 <= len(w) THEN array_to_string(w[pos:pos + 19], ' ') END AS k FROM p),
+        r AS (SELECT doc_id, pos, b, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1 AS later FROM s),
+        c AS (SELECT doc_id, pos, b, max(CAST(later AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM r),
+        g AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(b, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op6_bit_sliced_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
