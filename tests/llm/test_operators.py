@@ -53,7 +53,7 @@ def empty(spark):
 
 def test_registered_queries_are_whole():
     assert sorted(Q.queries(), key=lambda n: int(n[2:].split("_")[0])) == [n for _, n in sorted((int(n[2:].split("_")[0]), n) for n in Q.queries())]
-    assert {int(n[2:].split("_")[0]) for n in Q.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in Q.queries()} == set(range(1, 14))
 
 
 # --- packing --------------------------------------------------------------------------
