@@ -110,7 +110,7 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
-def _contexts(batches: Iterator[pd.DataFrame], window: int, parts: int, chunk: int, hot: int, step: int = 1 << 19) -> Iterator[pd.DataFrame]:
+def _contexts(batches: Iterator[pd.DataFrame], window: int, parts: int, chunk: int, hot: int, step: int = 1 << 18) -> Iterator[pd.DataFrame]:
     """Packed contexts by part, of about ``chunk`` words at a time; what is covered already has part -1."""
 
     def settle(found: list[np.ndarray]) -> pd.DataFrame:
