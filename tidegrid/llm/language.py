@@ -128,13 +128,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], names: list[str], idf: n
     return LanguageModel(names, idf, w, temperature)
 
 
-def train(docs: DataFrame, per_language: int = 600, most_rows: int = 60_000) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 600, most_rows: int = 60_000, most_languages: int = 200) -> LanguageModel:
     """A model of ``lang``, learned from documents that are not held out and have a language.
 
     Document frequencies count all of them; the weights see at most ``per_language``
-    documents of each language, those with the smallest hashes of doc_id. With more
-    languages than ``most_rows / per_language``, each gives its part of ``most_rows``, one
-    document at least.
+    documents of each language, those with the smallest hashes of doc_id, and of rows that
+    repeat a doc_id in a language the least text. With more languages than ``most_rows /
+    per_language``, each gives its part of ``most_rows``. Only the ``most_languages`` with
+    the most rows are learned.
     """
     fold = docs.filter(F.col("lang").isNotNull() & F.coalesce(learnable(), F.lit(False)))
     rows = fold.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
@@ -159,18 +160,20 @@ def train(docs: DataFrame, per_language: int = 600, most_rows: int = 60_000) ->
 
     # in two steps, so that no task gets a frequent language's rows of all partitions
     order = (F.xxhash64("doc_id"), "doc_id")
-    per_language = max(1, min(per_language, most_rows // max(1, fold.select("lang").distinct().count())))
-    chosen = fold.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("part"))
+    known = [r.lang for r in fold.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(min(most_languages, most_rows)).collect()]
+    per_language = min(per_language, most_rows // max(1, len(known)))
+    chosen = fold.filter(F.col("lang").isin(known)).select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(64)))
     for by in (("lang", "part"), ("lang",)):
         chosen = chosen.withColumn("_place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_place") <= per_language)
-    chosen = shared.stored(chosen.select("doc_id").distinct(), "chosen")  # its size is known when the join is planned
+    chosen = shared.stored(chosen.select("doc_id", "lang"), "chosen")  # its size is known when the join is planned
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [ngrams(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "slots": [s.astype("<u2").tobytes() for s, _ in got], "counts": [c.astype("<u4").tobytes() for _, c in got]})
 
-    sample = rows.join(chosen, "doc_id", "left_semi").mapInPandas(extract, "doc_id long, lang string, slots binary, counts binary").collect()
+    rows = rows.join(chosen, ["doc_id", "lang"], "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    sample = rows.mapInPandas(extract, "doc_id long, lang string, slots binary, counts binary").collect()
     sample.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["slots"])))
     names = sorted({r["lang"] for r in sample})
     pairs = [(np.frombuffer(r["slots"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4"), names.index(r["lang"])) for r in sample]
@@ -181,8 +184,9 @@ def languages(docs: DataFrame, per_language: int = 600, model: LanguageModel | N
     """Per document: held_out, lang_pred and score.
 
     A null text and one without letters are ``und`` with score 0, as is every text when
-    there is nothing to learn from. Repeated rows are judged apart; an empty table gives
-    no row; further columns are ignored.
+    there is nothing to learn from. Repeated rows are judged apart; a very long text is
+    judged whole; of equally likely languages the first by name is given; an empty table
+    gives no row; further columns are ignored.
     """
     shared.share_code(docs.sparkSession)
     model = model or train(docs, per_language)

@@ -117,14 +117,16 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, rank: int =
     """A model of ``labels.quality``, fitted on at most ``max_rows`` labelled documents.
 
     The sample is the labelled rows with the smallest hashes of doc_id among those that
-    are not held out. Only its features reach the driver. Null labels count as none; of
-    several labels of one document the largest counts. Without labels every score is 1/2.
+    are not held out, and of rows that repeat a doc_id the least text. Only its features
+    reach the driver. Null labels count as none; of several labels of one document the
+    largest counts. Without labels every score is 1/2.
     """
     spark = docs.sparkSession
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & learnable()).groupBy("doc_id").agg(F.max("quality").alias("_quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     chosen = spark.createDataFrame(chosen.collect(), "doc_id long, _quality int")  # max_rows rows at most
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "_quality").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -138,29 +140,35 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, rank: int =
 
 
 def scored(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """``docs`` with ``__quality_score``: 0 to 1, higher if label 1 is likelier. A null text is scored as an empty one."""
+    """(row, score): each whole row, and 0 to 1, higher if label 1 is likelier. A null text is scored as an empty one."""
     fixed = FactorisationMachine(model.bias, model.weights.astype(np.float32), model.factors.astype(np.float32))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series([fixed.score(t or "") for t in texts], index=texts.index, dtype=float)
 
-    return docs.withColumn("__quality_score", score("text"))
+    return docs.select(F.struct(*docs.columns).alias("row"), score("text").alias("score"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
-    """Per document: held_out, score and predicted. Repeated rows are scored apart; an empty table gives no row; further columns are ignored."""
+    """Per document: held_out, score and predicted.
+
+    Repeated rows are scored apart; a very long text is scored whole, in time linear in its
+    words; equal texts have equal scores; an empty table gives no row; further columns are
+    ignored.
+    """
     shared.share_code(docs.sparkSession)
     out = scored(docs.select("doc_id", "text"), train(docs, labels, max_rows))
-    return out.select("doc_id", F.coalesce(~learnable(), F.lit(False)).alias("held_out"), F.col("__quality_score").alias("score"), (F.col("__quality_score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("row.doc_id", F.coalesce(~learnable("row.doc_id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, least: float = 0.5) -> DataFrame:
     """The documents, all columns, whose score is at least ``least``.
 
     A null or empty text is scored by its statistics like any other; null ids and repeated
-    rows don't matter, as each row is judged by itself; an empty table gives no row. Without
-    labels every document scores 1/2 and stays.
+    rows don't matter, as each row is judged by itself, a very long text as a whole; an
+    empty table gives no row; columns of any name pass. Without labels every document scores
+    1/2 and stays.
     """
     shared.share_code(docs.sparkSession)
-    return scored(docs, train(docs, labels, max_rows)).filter(F.col("__quality_score") >= least).drop("__quality_score")
+    return scored(docs, train(docs, labels, max_rows)).filter(F.col("score") >= least).select("row.*")
