@@ -227,13 +227,14 @@ def _links(x: list[np.ndarray], y: list[np.ndarray], percent: int, columns: int
     return 100 * both >= percent * (size_x[:, None] + size_y[None] - both)
 
 
-def links_across(members: DataFrame, sets: DataFrame, percent: int, block: int = 400) -> DataFrame:
-    """Links (a, b) between components: ``members`` has doc_id, component and family, and only families are compared.
+def links_across(members: DataFrame, sets: DataFrame, percent: int, block: int = 400, shingles_a_block: int = 1 << 20) -> DataFrame:
+    """Links (a, b) between components: ``members`` has doc_id, component, family and n_set, and only families are compared.
 
-    A family is split into blocks; each pair of its blocks is one place. A document gives
-    at most one link to each component that a block holds, which connects as well as all.
+    A family is split into blocks of some ``block`` documents with ``shingles_a_block``
+    shingles, or one with more; each pair of its blocks is one place. A document gives at
+    most one link to each component that a block holds, which connects as well as all.
     """
-    parts = members.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    parts = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_set") / shingles_a_block)).cast("int").alias("parts"))
     placed = members.join(parts, "family").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.select("doc_id", "component", "family", "mine", F.least("mine", "k").alias("i"), F.greatest("mine", "k").alias("j"))
@@ -272,7 +273,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin:
 
     Links are pairs with ``100 * intersection >= percent * union`` of ``words``-word
     shingle sets (a shorter text is one shingle). A document without words or text links
-    with nothing. Rows that share a doc_id count as one node. An empty table gives no
+    with nothing; a very long one is sketched and verified whole. Rows that share a doc_id count as one node. An empty table gives no
     row; further columns are ignored. Two documents at the threshold miss every band with
     a probability under 1e-7; the likelihood's margin is over five standard deviations.
     """
@@ -309,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, margin:
     if not rest.isEmpty():  # families: documents that buckets with several components tie together
         ties = shared.with_groups(rest, "bucket", F.min("doc_id").alias("a")).select("a", F.col("doc_id").alias("b")).distinct()
         family = components(ties).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-        more = shared.stored(links_across(rest.select("doc_id", "component").distinct().join(family, "doc_id"), sets, percent), "across")
+        more = shared.stored(links_across(rest.select("doc_id", "component", "n_set").distinct().join(family, "doc_id"), sets, percent), "across")
         if not more.isEmpty():
             found = merged(found, more)
 
@@ -327,12 +328,13 @@ def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFram
     and of equal texts one row. A row without a doc_id is a document of its own, named by a
     hash of its text above all other ids (below 1 << 62), so its exact copies are one
     document and a copy with an id is preferred to it. A document without words or text
-    links with nothing. An empty table gives no row; further columns are kept.
+    links with nothing; a very long one is compared whole. An empty table gives no row;
+    columns of any name pass.
     """
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2)
-    rows = docs.withColumn("__doc_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    found = near_duplicates(rows.select(F.col("__doc_key").alias("doc_id"), "text"), words, percent)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), unnamed).alias("key"), F.struct(*docs.columns).alias("row"))
+    found = near_duplicates(rows.select(F.col("key").alias("doc_id"), "row.text"), words, percent)
     found = shared.stored(found.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("times")).filter("kept"), "kept")
-    kept = rows.join(found.select(F.col("doc_id").alias("__doc_key"), F.col("times").alias("__times")), "__doc_key")
-    several = kept.filter("__times > 1").groupBy("__doc_key").agg(F.min_by(F.struct(*docs.columns), F.struct("text", F.to_json(F.struct(*docs.columns)))).alias("__row"))
-    return kept.filter("__times = 1").select(*docs.columns).union(several.select(*[F.col("__row")[c].alias(c) for c in docs.columns]))
+    kept = rows.join(found.select(F.col("doc_id").alias("key"), "times"), "key")
+    several = kept.filter("times > 1").groupBy("key").agg(F.min_by("row", F.struct("row.text", F.to_json("row"))).alias("row"))
+    return kept.filter("times = 1").select("row.*").union(several.select("row.*"))

@@ -382,9 +382,10 @@ def _kept(raw: bytes, starts: np.ndarray, sizes: np.ndarray) -> tuple[bytes, int
 
 
 def _with_ranges(docs: DataFrame, length: int, **options) -> DataFrame:
+    """(doc_id, row, starts, sizes): each whole row with its covered ranges, null where it has none."""
     ranges = covered_ranges(docs, length, **options)
-    by_doc = ranges.groupBy("doc_id").agg(F.collect_list("start").alias("__run_starts"), F.collect_list("size").alias("__run_sizes"))
-    return docs.withColumn("__doc_key", shared.id_in()).join(by_doc.withColumnRenamed("doc_id", "__doc_key"), "__doc_key", "left").drop("__doc_key")
+    by_doc = ranges.groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("size").alias("sizes"))
+    return docs.select(shared.id_in(), F.struct(*docs.columns).alias("row")).join(by_doc, "doc_id", "left")
 
 
 def suffix_duplicates(docs: DataFrame, length: int = 100, **options) -> DataFrame:
@@ -393,29 +394,31 @@ def suffix_duplicates(docs: DataFrame, length: int = 100, **options) -> DataFram
     A byte goes if a ``length``-byte string over it also starts earlier: in a document of
     smaller doc_id, or earlier in the same one. Strings are those of the input. A null
     text is empty; a null doc_id counts as smallest; rows that repeat a doc_id never
-    remove each other's bytes at the same place; an empty table gives no row; further
-    columns are ignored.
+    remove each other's bytes at the same place; a very long text goes on in pieces that
+    overlap by a string; an empty table gives no row; further columns are ignored.
     """
     shared.share_code(docs.sparkSession)
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc, text, starts, sizes in zip(pdf["doc_id"], pdf["text"], pdf["__run_starts"], pdf["__run_sizes"], strict=True):
+            for doc, text, starts, sizes in zip(pdf["doc_id"], pdf["text"], pdf["starts"], pdf["sizes"], strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 kept, gone, runs = _kept(raw, *(np.array([] if x is None else x, np.int64) for x in (starts, sizes)))
                 rows.append((doc, len(raw), gone, runs, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_ranges(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), length, **options)
-    return shared.id_out(rows.select(shared.id_in(), "text", "__run_starts", "__run_sizes").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    return shared.id_out(rows.select("doc_id", "row.text", "starts", "sizes").mapInPandas(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
 
 
 def without_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
     """The documents, all columns, with repeated strings cut from ``text``.
 
     Cut characters go whole: bytes that are left of one are dropped. A null text stays
-    null; ``n_chars`` follows the text if there.
+    null; null ids, repeated rows, ties and very long texts are treated as in
+    ``suffix_duplicates``; an empty table gives no row; columns of any name pass, and
+    ``n_chars`` follows the text if there.
     """
     shared.share_code(docs.sparkSession)
 
@@ -428,5 +431,5 @@ def without_repeats(docs: DataFrame, length: int = 100, **options) -> DataFrame:
             out.append(text)
         return pd.Series(out, index=texts.index, dtype=object)
 
-    out = _with_ranges(docs, length, **options).withColumn("text", clean("text", "__run_starts", "__run_sizes")).select(*docs.columns)
+    out = _with_ranges(docs, length, **options).select(F.col("row").withField("text", clean("row.text", "starts", "sizes")).alias("row")).select("row.*")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
