@@ -31,10 +31,13 @@ class Adaptive:
     long_factor: float = 3.5
 
 
-def base_gaps(log: DataFrame, initial_gaps: int) -> DataFrame:
-    """(source, base_gap_us): median of the first positive gaps; sources without one are left out."""
+def base_gaps(log: DataFrame, initial_gaps: int, range_rows: int | None = None) -> DataFrame:
+    """(source, base_gap_us): median of the first positive gaps; sources without one are left out.
+
+    A task sends at most ``initial_gaps`` rows of a source.
+    """
     w = Window.partitionBy("source").orderBy("row_no")
-    positive = gaps(log).filter("gap_us > 0").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= initial_gaps)
+    positive = gaps(log, range_rows=range_rows).filter("gap_us > 0").withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= initial_gaps)
     return positive.groupBy("source").agg(F.median("gap_us").alias("base_gap_us"))
 
 

@@ -1,6 +1,8 @@
 """Features of ordered steps within a segment. Rolling frames end before the current row.
 
-Values are scalars or arrays; rows come from ``segments.resampled``.
+Values are scalars or arrays; rows come from ``segments.resampled``. With ``range_steps`` a
+segment is worked on in ranges of so many steps, each with the steps before it that its
+frames reach; ``step_index`` has no holes then.
 """
 
 from __future__ import annotations
@@ -9,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from . import ranges
 
 FLOOR = 1e-6
 
@@ -17,45 +20,58 @@ def _order() -> Window:
     return Window.partitionBy("source", "segment_id").orderBy("step_index")
 
 
-def _is_array(steps: DataFrame, value: str) -> bool:
-    return steps.schema[value].dataType.simpleString().startswith("array")
+class _Frames:
+    """Steps and the window over the ``n`` before each."""
+
+    def __init__(self, steps: DataFrame, n: int, range_steps: int | None) -> None:
+        self.n, self.ranged = n, bool(range_steps)
+        self.steps = ranges.with_halo(steps, "step_index", range_steps, n) if range_steps else steps
+        self.order = Window.partitionBy("source", "segment_id", ranges.RANGE).orderBy("step_index") if range_steps else _order()
 
+    def after(self, columns: dict[str, Column], steps: DataFrame | None = None) -> DataFrame:
+        """The columns on rows that have n rows before them in their segment."""
+        rows = (self.steps if steps is None else steps).withColumns({"_r": F.row_number().over(self.order), **columns})
+        if self.ranged:
+            return rows.filter(~F.col("_halo") & (F.col("step_index") >= self.n)).drop("_r", "_halo", ranges.RANGE)
+        return rows.filter(F.col("_r") > self.n).drop("_r")
 
-def _means(steps: DataFrame, value: str, n: int, of=lambda x: x) -> Column:
-    """Mean of the n rows before, by element for arrays."""
-    w = _order().rowsBetween(-n, -1)
-    if not _is_array(steps, value):
-        return F.avg(of(F.col(value))).over(w)
-    rows = F.collect_list(value).over(w)
-    total = F.aggregate(F.slice(rows, 2, n), F.transform(rows[0], lambda x: of(x.cast("double"))), lambda s, r: F.zip_with(s, r, lambda a, b: a + of(b.cast("double"))))
-    return F.transform(total, lambda x: x / n)
+    def means(self, value: str, of=lambda x: x) -> Column:
+        """Mean of the n rows before, by element for arrays."""
+        w, n = self.order.rowsBetween(-self.n, -1), self.n
+        if value in self.steps.columns and not _is_array(self.steps, value):
+            return F.avg(of(F.col(value))).over(w)
+        rows = F.collect_list(value).over(w)
+        total = F.aggregate(F.slice(rows, 2, n), F.transform(rows[0], lambda x: of(x.cast("double"))), lambda s, r: F.zip_with(s, r, lambda a, b: a + of(b.cast("double"))))
+        return F.transform(total, lambda x: x / n)
 
 
-def _after(steps: DataFrame, n: int, columns: dict[str, Column]) -> DataFrame:
-    """The columns on rows that have n rows before them in their segment."""
-    return steps.withColumns({"_r": F.row_number().over(_order()), **columns}).filter(F.col("_r") > n).drop("_r")
+def _is_array(steps: DataFrame, value: str) -> bool:
+    return steps.schema[value].dataType.simpleString().startswith("array")
 
 
-def first_difference(steps: DataFrame, value: str) -> DataFrame:
+def first_difference(steps: DataFrame, value: str, range_steps: int | None = None) -> DataFrame:
     """``value`` less the one before; a segment's first row goes."""
-    before = F.lag(value).over(_order())
+    frames = _Frames(steps, 1, range_steps)
+    before = F.lag(value).over(frames.order)
     diff = F.zip_with(value, before, lambda a, b: a - b) if _is_array(steps, value) else F.col(value) - before
-    return _after(steps, 1, {"_d": diff}).withColumn(value, F.col("_d")).drop("_d")
+    return frames.after({"_d": diff}).withColumn(value, F.col("_d")).drop("_d")
 
 
-def ma_residual(steps: DataFrame, value: str, n: int) -> DataFrame:
+def ma_residual(steps: DataFrame, value: str, n: int, range_steps: int | None = None) -> DataFrame:
     """``value`` less the mean of the n rows before."""
-    out = _after(steps, n, {"_m": _means(steps, value, n)})
+    frames = _Frames(steps, n, range_steps)
+    out = frames.after({"_m": frames.means(value)})
     diff = F.zip_with(value, "_m", lambda a, m: a - m) if _is_array(steps, value) else F.col(value) - F.col("_m")
     return out.withColumn(value, diff).drop("_m")
 
 
-def rolling_std(steps: DataFrame, value: str, n: int) -> DataFrame:
+def rolling_std(steps: DataFrame, value: str, n: int, range_steps: int | None = None) -> DataFrame:
     """Population deviation of the n rows before, its variance at least ``FLOOR``."""
+    frames = _Frames(steps, n, range_steps)
     if _is_array(steps, value):
         squares = F.zip_with("_q", F.transform("_m", lambda m: m * m), lambda q, m: F.sqrt(F.greatest(q - m, F.lit(FLOOR))))
-        return _after(steps, n, {"_m": _means(steps, value, n), "_q": _means(steps, value, n, lambda x: x * x)}).withColumn(value, squares).drop("_m", "_q")
-    return _after(steps, n, {"_v": F.var_pop(value).over(_order().rowsBetween(-n, -1))}).withColumn(value, F.sqrt(F.greatest("_v", F.lit(FLOOR)))).drop("_v")
+        return frames.after({"_m": frames.means(value), "_q": frames.means(value, lambda x: x * x)}).withColumn(value, squares).drop("_m", "_q")
+    return frames.after({"_v": F.var_pop(value).over(frames.order.rowsBetween(-n, -1))}).withColumn(value, F.sqrt(F.greatest("_v", F.lit(FLOOR)))).drop("_v")
 
 
 def phase_sin_cos(steps: DataFrame, re: str, im: str, out: str = "features") -> DataFrame:
@@ -64,32 +80,33 @@ def phase_sin_cos(steps: DataFrame, re: str, im: str, out: str = "features") ->
 
 def phase_difference(steps: DataFrame, re: str, im: str, out: str = "features") -> DataFrame:
     """Angle of z[t] * conj(z[t-1]) by carrier, safe at the wrap; a segment's first row goes."""
-    w = _order()
+    frames = _Frames(steps, 1, None)
 
     def turn(now: Column, before: Column) -> Column:
         x, y = V.conj_product(now["r"].cast("double"), now["i"].cast("double"), before["r"].cast("double"), before["i"].cast("double"))
         return F.atan2(y, x)
 
     zipped = steps.withColumn("_z", F.zip_with(re, im, lambda r, i: F.struct(r.alias("r"), i.alias("i"))))
-    return _after(zipped, 1, {out: F.zip_with("_z", F.lag("_z").over(w), turn)}).drop("_z")
+    return frames.after({out: F.zip_with("_z", F.lag("_z").over(frames.order), turn)}, zipped).drop("_z")
 
 
 def phase_rolling_std(steps: DataFrame, re: str, im: str, n: int, out: str = "features") -> DataFrame:
     """Circular deviation of the phases of the n rows before: sqrt(-2 ln R), R within [1e-6, 1]."""
     turned = steps.withColumns({"_c": F.transform(V.phase(re, im), F.cos), "_s": F.transform(V.phase(re, im), F.sin)})
     spread = lambda c, s: F.sqrt(F.greatest(-2 * F.log(F.least(F.greatest(F.sqrt(c * c + s * s), F.lit(FLOOR)), F.lit(1.0))), F.lit(0.0)))
-    made = _after(turned, n, {"_mc": _means(turned, "_c", n), "_ms": _means(turned, "_s", n)})
+    frames = _Frames(turned, n, None)
+    made = frames.after({"_mc": frames.means("_c"), "_ms": frames.means("_s")})
     return made.withColumn(out, F.zip_with("_mc", "_ms", spread)).drop("_c", "_s", "_mc", "_ms")
 
 
-def transformed(steps: DataFrame, feature: str, value: str, n: int = 10) -> DataFrame:
+def transformed(steps: DataFrame, feature: str, value: str, n: int = 10, range_steps: int | None = None) -> DataFrame:
     """The feature of that name: raw, diff, ma or std."""
     if feature == "raw":
         return steps
     if feature == "diff":
-        return first_difference(steps, value)
+        return first_difference(steps, value, range_steps)
     if feature == "ma":
-        return ma_residual(steps, value, n)
+        return ma_residual(steps, value, n, range_steps)
     if feature == "std":
-        return rolling_std(steps, value, n)
+        return rolling_std(steps, value, n, range_steps)
     raise ValueError(f"unknown feature {feature}")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from .statistics import at_rank, placed
+from .statistics import at_rank, placed, quantiles
 
 EPS = 1e-8
 
@@ -34,14 +34,21 @@ def normalised_complex(re: Column | str, im: Column | str, scale: Column | str)
     return normalised_amplitude(re, scale), normalised_amplitude(im, scale)
 
 
-def mad_scores(packets: DataFrame, strength: Column | str = "strength") -> DataFrame:
+def mad_scores(packets: DataFrame, strength: Column | str = "strength", long_sources: bool = False) -> DataFrame:
     """``packets`` with ``mad_score``: distance from the source's median in scaled median deviations.
 
     ``strength`` is a packet's mean amplitude. The scale is 1.4826 times the median absolute
     deviation, at least 1e-6. Both medians are taken by rank over one deal by source, in
-    sorts that can spill.
+    sorts that can spill; with ``long_sources`` between the bounds of a sketch, so that no
+    task gets a source's rows.
     """
     s = F.col(strength) if isinstance(strength, str) else strength
+    if long_sources:
+        rows = packets.withColumn("_strength", s.cast("double"))
+        off = F.abs(F.col("_strength") - F.col("_m"))
+        centred = rows.join(quantiles(rows, ["source"], "_strength", {"_m": 0.5}), "source").withColumn("_off", off).drop("_m")
+        scaled = centred.join(quantiles(centred, ["source"], "_off", {"_d": 0.5}), "source")
+        return scaled.withColumn("mad_score", F.col("_off") / F.greatest(F.lit(1.4826) * F.col("_d"), F.lit(1e-6))).select(*packets.columns, "mad_score")
     w = Window.partitionBy("source")
     ranked = placed(packets.withColumn("_strength", s.cast("double")), ["source"], "_strength")
     centred = ranked.withColumn("_off", F.abs(F.col("_strength") - at_rank("_strength", 0.5, w))).drop("_place", "_count")
@@ -49,6 +56,6 @@ def mad_scores(packets: DataFrame, strength: Column | str = "strength") -> DataF
     return placed(centred, ["source"], "_off").withColumn("mad_score", F.col("_off") / scale).drop("_strength", "_off", "_place", "_count")
 
 
-def mad_filtered(packets: DataFrame, most: float, strength: Column | str = "strength") -> DataFrame:
+def mad_filtered(packets: DataFrame, most: float, strength: Column | str = "strength", long_sources: bool = False) -> DataFrame:
     """Packets with a score of at most ``most``. It runs before gaps are taken: removals widen them."""
-    return mad_scores(packets, strength).filter(F.col("mad_score") <= most).drop("mad_score")
+    return mad_scores(packets, strength, long_sources).filter(F.col("mad_score") <= most).drop("mad_score")

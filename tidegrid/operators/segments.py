@@ -13,15 +13,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 @dataclass(frozen=True)
 class Grid:
-    """Step, tolerance (both in microseconds), most steps a gap may span, and fill: linear, ffill or nearest."""
+    """Step, tolerance (both in microseconds), most steps a gap may span, and fill: linear, ffill or nearest.
+
+    With ``range_rows`` a source is scanned in ranges of so many row numbers (``ranges``), each
+    in a task of its own; without, as one window.
+    """
 
     step_us: int = 11_000
     tolerance_us: int = 4_000
     max_steps: int = 3
     fill: str = "linear"
+    range_rows: int | None = None
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
@@ -33,13 +40,20 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
 
 
-def gaps(log: DataFrame, values: list[str] | None = None) -> DataFrame:
+def gaps(log: DataFrame, values: list[str] | None = None, range_rows: int | None = None) -> DataFrame:
     """``gap_us`` to the row before, null on a source's first row; with ``prev_{v}`` for each value."""
+    if range_rows:
+        return _ranged_gaps(log, values or [], range_rows).drop(ranges.RANGE)
     w = Window.partitionBy("source").orderBy("row_no")
     before = {f"prev_{v}": F.lag(v).over(w) for v in values or []}
     return log.withColumns({"gap_us": F.col("t_us") - F.lag("t_us").over(w)} | before)
 
 
+def _ranged_gaps(log: DataFrame, values: list[str], range_rows: int) -> DataFrame:
+    rows = ranges.with_previous(ranges.cut(log, "row_no", range_rows), ["source"], "row_no", ["t_us", *values])
+    return rows.withColumns({"gap_us": F.col("t_us") - F.col("_prev.t_us")} | {f"prev_{v}": F.col(f"_prev.{v}") for v in values}).drop("_prev")
+
+
 def snapped(gapped: DataFrame, grid: Grid) -> DataFrame:
     """``n_steps`` (half-even, -1 for a gap that isn't positive) and ``snapped``."""
     n = F.when(F.col("gap_us") > 0, F.bround(F.col("gap_us") / F.lit(float(grid.step_us)), 0).cast("long")).otherwise(F.lit(-1).cast("long"))
@@ -49,6 +63,11 @@ def snapped(gapped: DataFrame, grid: Grid) -> DataFrame:
 
 def segmented(log: DataFrame, grid: Grid, values: list[str] | None = None) -> DataFrame:
     """Gaps, snaps, ``segment_id`` from 0, ``step`` within the segment and its first time ``t0_us``."""
+    if grid.range_rows:
+        rows = snapped(_ranged_gaps(log, values or [], grid.range_rows), grid)
+        opens = F.col("gap_us").isNotNull() & ~F.col("snapped")
+        rows = ranges.with_runs(rows, "row_no", opens, F.when(F.col("snapped"), F.col("n_steps")).otherwise(0), "t_us")
+        return rows.withColumns({"segment_id": F.col("run").cast("int"), "step": F.col("total"), "t0_us": F.col("head")}).drop(ranges.RANGE, "run", "total", "head")
     run = Window.partitionBy("source").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     inside = Window.partitionBy("source", "segment_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = snapped(gaps(log, values), grid)
@@ -81,7 +100,7 @@ def resampled(log: DataFrame, grid: Grid, values: list[str]) -> DataFrame:
     segment's start, the step on filled rows and the whole gap on the row after a gap.
     Complex values are two array columns, filled apart.
     """
-    if any(log.schema[v].dataType.simpleString().startswith("array") for v in values):
+    if not grid.range_rows and any(log.schema[v].dataType.simpleString().startswith("array") for v in values):
         log = spread(log, "source")
     rows = segmented(log, grid, values).withColumn("_n", F.when(F.col("snapped"), F.col("n_steps")).otherwise(F.lit(1).cast("long")))
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))

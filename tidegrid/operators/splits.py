@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import chosen_by_digest, ranked
+
 
 def group_split(totals: DataFrame, group: str, rows: str, share: float = 0.8, ties: str = "size", most_masks: int = 20) -> DataFrame:
     """The training flag of each group, for the proper subset whose rows come nearest to ``share`` of all.
@@ -54,41 +56,37 @@ def _reached(sizes: list[int], spark: SparkSession, ties: str) -> DataFrame:
     return front.filter("not _none and not _all").select("held", "places")
 
 
-def _shuffled(seed: int, key: str) -> list:
-    """An order by a digest of seed and key."""
-    return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), F.col(key)]
-
-
-def _last(files: DataFrame, by: list[str], order: list, ratio: float) -> DataFrame:
-    n = F.count("*").over(Window.partitionBy(*by))
-    back = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return files.withColumn("split", F.when(back <= F.greatest(F.lit(1), F.bround(n * F.lit(float(ratio)), 0).cast("int")), "validation").otherwise("train"))
+def _by_hash(rows: DataFrame, ratio: float, seed: int, label: str, key: str) -> DataFrame:
+    """A share of each class by a digest of seed and key: the same on every run, unlike any permutation generator's."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    marked = chosen_by_digest(rows, label, digest, key, ratio)
+    return marked.select(*rows.columns, F.when(F.col("chosen"), "validation").otherwise("train").alias("split"))
 
 
 def time_file(files: DataFrame, ratio: float = 0.2, label: str = "label", time: str = "time", name: str = "name") -> DataFrame:
     """The latest files of each class are validation: at least one, a half-even share else."""
-    return _last(files, [label], [F.desc(time), F.desc(name)], ratio)
+    placed = ranked(files, [label], [F.col(time), F.col(name)])
+    back = F.col("_count") - F.col("_rank") < F.greatest(F.lit(1), F.bround(F.col("_count") * F.lit(float(ratio)), 0).cast("long"))
+    return placed.select(*files.columns, F.when(back, "validation").otherwise("train").alias("split"))
 
 
 def random_file(files: DataFrame, ratio: float = 0.2, seed: int = 42, label: str = "label", name: str = "name") -> DataFrame:
-    """As many files in an order by a hash of seed and name: the same on every run, unlike any permutation generator's."""
-    return _last(files, [label], _shuffled(seed, name), ratio)
+    """As many files in an order by a hash of seed and name."""
+    return _by_hash(files, ratio, seed, label, name)
 
 
 def time_block(files: DataFrame, blocks: int = 5, label: str = "label", time: str = "time", name: str = "name") -> DataFrame:
     """Files of a class in 2 to ``blocks`` blocks by time; the last block is validation."""
-    n = F.count("*").over(Window.partitionBy(label))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(time, name)) - 1
+    placed = ranked(files, [label], [F.col(time), F.col(name)])
+    n, place = F.col("_count"), F.col("_rank") - 1
     k = F.greatest(F.lit(2), F.least(F.lit(blocks), n))
-    rest = F.pmod(n, k)
-    size = F.floor(n / k)
-    before_last = size * (k - 1) + F.least(rest, k - 1)
-    return files.withColumn("split", F.when(place >= before_last, "validation").otherwise("train"))
+    before_last = F.floor(n / k) * (k - 1) + F.least(F.pmod(n, k), k - 1)
+    return placed.select(*files.columns, F.when(place >= before_last, "validation").otherwise("train").alias("split"))
 
 
 def stratified_rows(rows: DataFrame, ratio: float = 0.2, seed: int = 42, label: str = "label", key: str = "key") -> DataFrame:
-    """Rows of each class by hash order."""
-    return _last(rows, [label], _shuffled(seed, key), ratio)
+    """A share of the rows of each class by hash order; rows of one key go together."""
+    return _by_hash(rows, ratio, seed, label, key)
 
 
 def stratified_files(rows: DataFrame, ratio: float = 0.2, seed: int = 42, label: str = "label", name: str = "name") -> DataFrame:

@@ -71,8 +71,16 @@ def at_rank(value: str, share: float, over: WindowSpec | None = None) -> Column:
     return (low + (high - low) * part).cast("double")
 
 
-def file_stats(gapped: DataFrame) -> DataFrame:
-    """Per source: rows, duration and gap statistics, null with fewer than two rows."""
+def file_stats(gapped: DataFrame, long_sources: bool = False) -> DataFrame:
+    """Per source: rows, duration and gap statistics, null with fewer than two rows.
+
+    With ``long_sources`` the quantiles are taken between the bounds of a sketch, so that no
+    task gets a source's gaps.
+    """
+    if long_sources:
+        plain = gapped.groupBy("source").agg(F.count("*").alias("row_count"), F.max_by("t_us", "row_no").alias("_b"), F.min_by("t_us", "row_no").alias("_a"), F.avg("gap_us").alias("mean_gap"))
+        met = plain.join(quantiles(gapped, ["source"], "gap_us", {"median_gap": 0.5, "p90_gap": 0.9}), "source", "left")
+        return met.select("source", "row_count", F.when(F.col("row_count") > 1, F.col("_b") - F.col("_a")).alias("duration_us"), "median_gap", "mean_gap", "p90_gap")
     return placed(gapped, ["source"], "gap_us").groupBy("source").agg(
         F.count("*").alias("row_count"),
         F.when(F.count("*") > 1, F.max_by("t_us", "row_no") - F.min_by("t_us", "row_no")).alias("duration_us"),

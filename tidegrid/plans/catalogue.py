@@ -20,7 +20,7 @@ from ..operators import splits as X
 from ..operators import statistics as S
 from ..operators import windows as W
 from ..sources import tables as K
-from .views import GRID, OVERLAP_HIGH, OVERLAP_LOW, complex_packets, files, packets, predictions, table
+from .views import GRID, LONG_GRID, OVERLAP_HIGH, OVERLAP_LOW, complex_packets, files, long_packets, packets, predictions, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -258,6 +258,43 @@ def rolling_std(spark, sf_dir):
     return T.transformed(steps(spark, sf_dir), "std", "amp", 5).select("source", "segment_id", "step_index", r("amp", 5).alias("amp"))
 
 
+# --- the same in two levels, for sources of any length ---------------------------------
+
+
+@query(_SQL["segment_ids"])
+def segment_ids_ranged(spark, sf_dir):
+    return G.segmented(long_packets(spark, sf_dir), LONG_GRID).select("source", F.col("row_no").cast("long").alias("row_no"), "segment_id", "step", "t0_us")
+
+
+def _long_steps(spark, sf_dir):
+    return G.resampled(long_packets(spark, sf_dir).drop("event_id"), LONG_GRID, ["amp"])
+
+
+@query(_SQL["resample_linear"])
+def resample_linear_ranged(spark, sf_dir):
+    return _long_steps(spark, sf_dir).select("source", "segment_id", "step_index", "grid_t_us", "interp_mask", r("amp").alias("amp"))
+
+
+@query(_SQL["first_difference"])
+def first_difference_ranged(spark, sf_dir):
+    return T.transformed(_long_steps(spark, sf_dir), "diff", "amp", range_steps=16).select("source", "segment_id", "step_index", r("amp").alias("amp"))
+
+
+@query(_SQL["ma_residual"])
+def ma_residual_ranged(spark, sf_dir):
+    return T.transformed(_long_steps(spark, sf_dir), "ma", "amp", 5, range_steps=16).select("source", "segment_id", "step_index", r("amp").alias("amp"))
+
+
+@query(_SQL["rolling_std"])
+def rolling_std_ranged(spark, sf_dir):
+    return T.transformed(_long_steps(spark, sf_dir), "std", "amp", 5, range_steps=16).select("source", "segment_id", "step_index", r("amp", 5).alias("amp"))
+
+
+@query(_SQL["gap_stats"])
+def gap_stats_ranged(spark, sf_dir):
+    return S.file_stats(G.gaps(long_packets(spark, sf_dir), range_rows=16), long_sources=True).withColumns({"mean_gap": r("mean_gap", 2), "p90_gap": r("p90_gap", 2)})
+
+
 _ANGLE = "atan2(CAST(im[k] AS DOUBLE), CAST(re[k] AS DOUBLE))"
 
 
@@ -385,6 +422,11 @@ def mad_filter(spark, sf_dir):
     return R.mad_filtered(packets(spark, sf_dir), 3.0, "amp").select("source", F.col("row_no").cast("long").alias("row_no"), r("amp").alias("amp"))
 
 
+@query(_SQL["mad_filter"])
+def mad_filter_ranged(spark, sf_dir):
+    return R.mad_filtered(long_packets(spark, sf_dir), 3.0, "amp", long_sources=True).select("source", F.col("row_no").cast("long").alias("row_no"), r("amp").alias("amp"))
+
+
 # --- lagged correlation ---------------------------------------------------------------
 
 

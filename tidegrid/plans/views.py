@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..operators.ranges import ranked
 from ..operators.segments import Grid
 
 #: Events are hours apart: a 4 h grid, 1.5 h of tolerance, at most six steps.
 GRID = Grid(step_us=14_400_000_000, tolerance_us=5_400_000_000, max_steps=6)
+#: The same, in ranges of 16 rows: a source of the test tables has several.
+LONG_GRID = replace(GRID, range_rows=16)
 #: 32 carriers: 0 to 9 stand for the first field, 10 to 31 for the second; 10 to 19 overlap.
 LOW, HIGH = list(range(10)), list(range(10, 32))
 OVERLAP_LOW, OVERLAP_HIGH = list(range(10)), list(range(10))
@@ -25,6 +30,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.withColumn("row_no", F.row_number().over(Window.partitionBy("source").orderBy("t_us", "event_id")))
 
 
+def long_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packets``, numbered in two levels: no source is one task."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), F.col("value").alias("amp"), "event_id")
+    return ranked(events, ["source"], [F.col("t_us"), F.col("event_id")], "row_no", "_n").drop("_n")
+
+
 def complex_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complex packet log: 32 carriers from the embedding with the event's number, modulo their count."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
