@@ -239,7 +239,7 @@ def test_csv_logs(spark, tmp_path):
     other.mkdir()
     (other / "log.csv").write_text('\ufefflen,local_timestamp,data\n3, 100 ,"[1,2,3]"\n\n   \n3,200,"[1,\n2,3]"\n4,300,"say ""hi"", x"\n')
     quoted = P.numbered_csv(spark, str(other), ["local_timestamp", "len", "data", "none"]).orderBy("source_row_number").collect()
-    assert [tuple(r)[1:] for r in quoted] == [(2, "100", "3", "[1,2,3]", None), (3, None, "", None, None), (4, "200", "3", "[1,\n2,3]", None), (5, "300", "4", 'say "hi", x', None)]
+    assert [tuple(r)[1:] for r in quoted] == [(2, " 100 ", "3", "[1,2,3]", None), (3, None, "   ", None, None), (4, "200", "3", "[1,\n2,3]", None), (5, "300", "4", 'say "hi", x', None)]
     valid = P.packets(rows, 384).collect()
     assert [(r.row_no, r.t_us) for r in valid] == [(2, 100)]
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):

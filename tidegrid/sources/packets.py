@@ -1,35 +1,13 @@
-"""Packet logs as CSV.
-
-A log's order is its file order. Spark's CSV reader gives the rows of a file in order but
-without numbers, so they are numbered by the order in which its task read them; the first
-one of a file is its header. A file with quoted line breaks is read by one task, as a log
-is one sequence anyway, and streams through it.
-"""
+"""Packet logs as CSV; their rows are numbered in file order (``csv_log``)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators.normalise import normalised_amplitude, scale_factor
-
-
-def numbered_csv(spark: SparkSession, path: str, columns: list[str], recursive: bool = True, most_columns: int = 64) -> DataFrame:
-    """(source_csv, source_row_number, columns as strings) of all CSV files under ``path``.
-
-    Each file's own header names its columns, the first ``most_columns`` of which are read;
-    missing ones are null. Rows are numbered from 2 in file order; empty lines aren't rows
-    and don't count. Quoted fields may hold commas, line breaks and doubled quotes.
-    """
-    names = [f"_c{i}" for i in range(most_columns)]
-    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=False, multiLine=True, quote='"', escape='"', pathGlobFilter="*.csv", recursiveFileLookup=recursive)
-    rows = rows.select(F.input_file_name().alias("source_csv"), F.monotonically_increasing_id().alias("_id"), F.transform(F.array(*names), lambda c: F.trim(c)).alias("_cells"))
-    w = Window.partitionBy("source_csv").orderBy("_id")
-    head = F.transform(F.first("_cells").over(w), lambda c: F.regexp_replace(c, "^\ufeff", ""))
-    rows = rows.withColumns({"source_row_number": F.row_number().over(w), "_names": head}).filter("source_row_number > 1")
-    pick = lambda c: F.get("_cells", F.array_position("_names", c).cast("int") - 1)
-    return rows.select("source_csv", "source_row_number", *(F.when(F.array_contains("_names", c), pick(c)).alias(c) for c in columns))
+from .csv_log import numbered_csv as numbered_csv
 
 
 def packets(rows: DataFrame, width: int, strict_time: bool = False) -> DataFrame:
@@ -39,7 +17,7 @@ def packets(rows: DataFrame, width: int, strict_time: bool = False) -> DataFrame
     parse drops the row, or raises with ``strict_time``.
     """
     time = F.col("local_timestamp").cast("long") if strict_time else F.col("local_timestamp").try_cast("long")
-    fine = rows.filter(F.trim("len") == str(width)).withColumn("data", V.parse_list("data")).filter((F.size("data") == width) & ~F.exists("data", lambda x: x.isNull()))
+    fine = rows.filter(F.col("len") == str(width)).withColumn("data", V.parse_list("data")).filter((F.size("data") == width) & ~F.exists("data", lambda x: x.isNull()))
     out = fine.select(F.col("source_csv").alias("source"), F.col("source_row_number").alias("row_no"), time.alias("t_us"), "data")
     return out if strict_time else out.filter(F.col("t_us").isNotNull())
 
