@@ -127,7 +127,7 @@ def _firsts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return e, gram | _new(e["context"]), gram
 
 
-def _entries(batches: Iterator[pd.DataFrame], length: int, parts: int, chunk: int, most: int = 1 << 21) -> Iterator[pd.DataFrame]:
+def _entries(batches: Iterator[pd.DataFrame], length: int, parts: int, chunk: int, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Packed entries by part of the gram, of about ``chunk`` bytes of text at a time; ranges already known to be covered have part -1."""
     step = min(chunk, most)
 
