@@ -8,16 +8,11 @@ those that cut first and correlate then, are slices of it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from .segments import spread
+from .vector_rows import over_rows_before
 from .windows import step_windows
 
 EPS = 1e-6
@@ -68,38 +63,8 @@ def lag_profile(steps: DataFrame, re: str, im: str, lags: int, rho: str = "real"
         raise ValueError("lags must be positive")
     normalised_columns(np.zeros((1, 1)), mode)
     _real(np.zeros(1, complex), rho)
-    keys = ["source", "segment_id", "step_index", *kept]
-    rows = spread(steps.select(*keys, F.col(re).cast("array<double>").alias("_re"), F.col(im).cast("array<double>").alias("_im")), "source", "segment_id").sortWithinPartitions("source", "segment_id", "step_index")
-    schema = StructType([*rows.select(*keys).schema, StructField("profile", ArrayType(DoubleType(), False))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, place, before = None, 0, np.zeros((0, 0), complex)  # of the row before: segment, place in it, and the last rows
-        for whole in batches:
-            widths = pc.list_value_length(whole.column("_re")).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), whole.num_rows]
-            for i, j in zip(edges, edges[1:], strict=False):
-                batch = whole.slice(i, j - i)
-                n = batch.num_rows
-                if not n:
-                    continue
-                z = (batch.column("_re").flatten().to_numpy() + 1j * batch.column("_im").flatten().to_numpy()).reshape(n, int(widths[i]))
-                opens = np.ones(n, bool)
-                names = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("source", "segment_id")]
-                opens[0] = key != (names[0][0], names[1][0]) or before.shape[1] != z.shape[1]
-                opens[1:] = (names[0][1:] != names[0][:-1]) | (names[1][1:] != names[1][:-1])
-                start = np.maximum.accumulate(np.where(opens, np.arange(n), 0))
-                places = np.arange(n) - start + np.where(np.cumsum(opens) == 0, place + 1, 0)
-                if opens[0]:
-                    before = np.zeros((0, z.shape[1]), complex)
-                at = np.flatnonzero(places >= lags)
-                z = np.concatenate([before, z])
-                found = normalised_columns(_lagged(z, at + len(before), lags, rho), mode, zero_on_empty) if len(at) else np.zeros((0, lags))
-                key, place, before = (names[0][-1], names[1][-1]), int(places[-1]), z[-lags:]
-                out = batch.select(keys).take(pa.array(at))
-                profile = pa.ListArray.from_arrays(np.arange(0, found.size + 1, lags, dtype=np.int32), found.ravel())
-                yield pa.RecordBatch.from_arrays([*out.columns, profile], names=[*keys, "profile"])
-
-    return rows.mapInArrow(run, schema)
+    make = lambda z, at: normalised_columns(_lagged(z[0] + 1j * z[1], at, lags, rho), mode, zero_on_empty)
+    return over_rows_before(steps, [re, im], lags, make, "profile", ["source", "segment_id", "step_index", *kept])
 
 
 def profile_windows(profiles: DataFrame, length: int, stride: int, lags: int, paper_style: bool = False, kept: tuple[str, ...] = ()) -> DataFrame:

@@ -7,30 +7,27 @@ frames reach; ``step_index`` has no holes then.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import vectors as V
 from . import ranges
+from .vector_rows import over_rows, over_rows_before
 
 FLOOR = 1e-6
 
 
-def _order() -> Window:
-    return Window.partitionBy("source", "segment_id").orderBy("step_index")
-
-
 class _Frames:
     """Steps and the window over the ``n`` before each."""
 
     def __init__(self, steps: DataFrame, n: int, range_steps: int | None) -> None:
         self.n, self.ranged = n, bool(range_steps)
         self.steps = ranges.with_halo(steps, "step_index", range_steps, n) if range_steps else steps
-        self.order = Window.partitionBy("source", "segment_id", ranges.RANGE).orderBy("step_index") if range_steps else _order()
+        self.order = Window.partitionBy("source", "segment_id", *([ranges.RANGE] if range_steps else [])).orderBy("step_index")
 
-    def after(self, columns: dict[str, Column], steps: DataFrame | None = None) -> DataFrame:
+    def after(self, columns: dict[str, Column]) -> DataFrame:
         """The columns on rows that have n rows before them in their segment."""
-        rows = (self.steps if steps is None else steps).withColumns({"_r": F.row_number().over(self.order), **columns})
+        rows = self.steps.withColumns({"_r": F.row_number().over(self.order), **columns})
         if self.ranged:
             return rows.filter(~F.col("_halo") & (F.col("step_index") >= self.n)).drop("_r", "_halo", ranges.RANGE)
         return rows.filter(F.col("_r") > self.n).drop("_r")
@@ -38,7 +35,7 @@ class _Frames:
     def means(self, value: str, of=lambda x: x) -> Column:
         """Mean of the n rows before, by element for arrays."""
         w, n = self.order.rowsBetween(-self.n, -1), self.n
-        if value in self.steps.columns and not _is_array(self.steps, value):
+        if not _is_array(self.steps, value):
             return F.avg(of(F.col(value))).over(w)
         rows = F.collect_list(value).over(w)
         total = F.aggregate(F.slice(rows, 2, n), F.transform(rows[0], lambda x: of(x.cast("double"))), lambda s, r: F.zip_with(s, r, lambda a, b: a + of(b.cast("double"))))
@@ -74,29 +71,35 @@ def rolling_std(steps: DataFrame, value: str, n: int, range_steps: int | None =
     return frames.after({"_v": F.var_pop(value).over(frames.order.rowsBetween(-n, -1))}).withColumn(value, F.sqrt(F.greatest("_v", F.lit(FLOOR)))).drop("_v")
 
 
-def phase_sin_cos(steps: DataFrame, re: str, im: str, out: str = "features") -> DataFrame:
-    return steps.withColumn(out, V.sin_cos(V.phase(re, im)))
+def phase_sin_cos(steps: DataFrame, re: str, im: str, out: str = "features", kept: list[str] | None = None) -> DataFrame:
+    """Sines, then cosines of the phases."""
+
+    def make(z: list[np.ndarray]) -> np.ndarray:
+        angle = np.arctan2(z[1], z[0])
+        return np.concatenate([np.sin(angle), np.cos(angle)], axis=1)
 
+    return over_rows(steps, [re, im], make, out, kept or steps.columns)
 
-def phase_difference(steps: DataFrame, re: str, im: str, out: str = "features") -> DataFrame:
+
+def phase_difference(steps: DataFrame, re: str, im: str, out: str = "features", kept: list[str] | None = None) -> DataFrame:
     """Angle of z[t] * conj(z[t-1]) by carrier, safe at the wrap; a segment's first row goes."""
-    frames = _Frames(steps, 1, None)
 
-    def turn(now: Column, before: Column) -> Column:
-        x, y = V.conj_product(now["r"].cast("double"), now["i"].cast("double"), before["r"].cast("double"), before["i"].cast("double"))
-        return F.atan2(y, x)
+    def make(z: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        (a, b), (p, q) = (m[at] for m in z), (m[at - 1] for m in z)
+        return np.arctan2(b * p - a * q, a * p + b * q)
 
-    zipped = steps.withColumn("_z", F.zip_with(re, im, lambda r, i: F.struct(r.alias("r"), i.alias("i"))))
-    return frames.after({out: F.zip_with("_z", F.lag("_z").over(frames.order), turn)}, zipped).drop("_z")
+    return over_rows_before(steps, [re, im], 1, make, out, kept or steps.columns)
 
 
-def phase_rolling_std(steps: DataFrame, re: str, im: str, n: int, out: str = "features") -> DataFrame:
+def phase_rolling_std(steps: DataFrame, re: str, im: str, n: int, out: str = "features", kept: list[str] | None = None) -> DataFrame:
     """Circular deviation of the phases of the n rows before: sqrt(-2 ln R), R within [1e-6, 1]."""
-    turned = steps.withColumns({"_c": F.transform(V.phase(re, im), F.cos), "_s": F.transform(V.phase(re, im), F.sin)})
-    spread = lambda c, s: F.sqrt(F.greatest(-2 * F.log(F.least(F.greatest(F.sqrt(c * c + s * s), F.lit(FLOOR)), F.lit(1.0))), F.lit(0.0)))
-    frames = _Frames(turned, n, None)
-    made = frames.after({"_mc": frames.means("_c"), "_ms": frames.means("_s")})
-    return made.withColumn(out, F.zip_with("_mc", "_ms", spread)).drop("_c", "_s", "_mc", "_ms")
+
+    def make(z: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        angle = np.arctan2(z[1], z[0])
+        c, s = (sum(x[at - k] for k in range(1, n + 1)) / n for x in (np.cos(angle), np.sin(angle)))
+        return np.sqrt(np.maximum(-2 * np.log(np.clip(np.sqrt(c * c + s * s), FLOOR, 1.0)), 0.0))
+
+    return over_rows_before(steps, [re, im], n, make, out, kept or steps.columns)
 
 
 def transformed(steps: DataFrame, feature: str, value: str, n: int = 10, range_steps: int | None = None) -> DataFrame:

@@ -34,6 +34,12 @@ def macro_scores(scores: DataFrame) -> DataFrame:
     return scores.agg(*(F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")))
 
 
+def weighted_loss(rows: DataFrame, by: list[str], batch: str = "batch", loss: str = "loss") -> DataFrame:
+    """Mean of batch means, each weighted by its batch's size."""
+    sized = rows.groupBy(*by, batch).agg(F.avg(loss).alias("_m"), F.count(loss).alias("_n"))
+    return sized.groupBy(*by).agg((F.sum(F.col("_m") * F.col("_n")) / F.sum("_n")).alias("loss"), F.sum("_n").alias("n"))
+
+
 def batch_mean_loss(rows: DataFrame, by: list[str], batch: str = "batch", loss: str = "loss") -> DataFrame:
     """Mean of batch means."""
     return rows.groupBy(*by, batch).agg(F.avg(loss).alias("_m")).groupBy(*by).agg(F.avg("_m").alias("loss"))
@@ -66,21 +72,61 @@ def errors(predictions: DataFrame) -> DataFrame:
     return predictions.filter(F.col("true") != F.col("pred")).select("model", "sample_id").distinct()
 
 
-def error_jaccard(wrong: DataFrame, models: list[str]) -> DataFrame:
-    """Sizes of intersection and union and their ratio for each pair of models, 1 where both have no errors."""
-    spark = wrong.sparkSession
+def error_masks(predictions: DataFrame, models: list[str]) -> DataFrame:
+    """(sample_id, mask): one row a sample that a model gets wrong, its wrong models as bits in sorted order; at most 63 models.
+
+    One shuffle, after a partial union of bits; every overlap below comes from this table.
+    """
+    if len(models) > 63:
+        raise ValueError("a mask holds 63 models")
+    wrong = predictions.filter(F.col("true") != F.col("pred")).select("sample_id", "model")
+    return _masks(wrong, models)
+
+
+def _masks(wrong: DataFrame, models: list[str]) -> DataFrame:
+    bits = F.create_map(*(x for i, m in enumerate(sorted(models)) for x in (F.lit(m), F.lit(1 << i).cast("long"))))
+    return wrong.groupBy("sample_id").agg(F.bit_or(F.try_element_at(bits, F.col("model"))).alias("mask")).filter("mask is not null")
+
+
+def mask_jaccard(masks: DataFrame, models: list[str]) -> DataFrame:
+    """Sizes of intersection and union and their ratio for each pair of models, 1 where both have no errors.
+
+    Samples are counted by mask; the pairs come from the masks that occur.
+    """
     ordered = sorted(models)
-    pairs = spark.createDataFrame([(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :]], "left string, right string")
-    n = wrong.groupBy("model").agg(F.count("*").alias("n"))
-    both = wrong.alias("a").join(wrong.alias("b"), "sample_id").filter("a.model < b.model").groupBy(F.col("a.model").alias("left"), F.col("b.model").alias("right")).agg(F.count("*").alias("both"))
-    sized = pairs.join(n.select(F.col("model").alias("left"), F.col("n").alias("_l")), "left", "left").join(n.select(F.col("model").alias("right"), F.col("n").alias("_r")), "right", "left").join(both, ["left", "right"], "left")
-    shared = F.coalesce("both", F.lit(0).cast("long"))
-    union = F.coalesce("_l", F.lit(0)) + F.coalesce("_r", F.lit(0)) - shared
-    return sized.select("left", "right", shared.alias("intersection"), union.alias("union"), F.when(union == 0, 1.0).otherwise(shared / union).alias("jaccard"))
+    pairs = [(i, j) for i in range(len(ordered)) for j in range(i + 1, len(ordered))]
+    has = lambda i: F.getbit("mask", F.lit(i)) == 1
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
+    cells = [F.struct(F.lit(ordered[i]).alias("left"), F.lit(ordered[j]).alias("right"), count(has(i) & has(j)).alias("intersection"), count(has(i) | has(j)).alias("union")) for i, j in pairs]
+    rows = masks.agg(F.array(*cells).alias("_p")).select(F.explode("_p").alias("_p")).select("_p.*") if cells else masks.sparkSession.createDataFrame([], "left string, right string, intersection long, union long")
+    return rows.withColumn("jaccard", F.when(F.col("union") == 0, 1.0).otherwise(F.col("intersection") / F.col("union")))
 
 
-def common_errors(wrong: DataFrame, n_models: int) -> DataFrame:
+def mask_common(masks: DataFrame, models: list[str]) -> DataFrame:
     """Samples that every model gets wrong."""
+    return masks.filter(F.col("mask") == (1 << len(models)) - 1).select("sample_id")
+
+
+def mask_unique(masks: DataFrame, models: list[str]) -> DataFrame:
+    """(model, sample_id) that only one model gets wrong."""
+    names = F.array(*map(F.lit, sorted(models)))
+    return masks.filter(F.bit_count("mask") == 1).select(F.element_at(names, F.round(F.log2("mask")).cast("int") + 1).alias("model"), "sample_id")
+
+
+def mask_counts(masks: DataFrame, models: list[str]) -> DataFrame:
+    """(models, n): how many samples just these models get wrong."""
+    names = F.array(*map(F.lit, sorted(models)))
+    of = F.filter(names, lambda x, i: F.getbit("mask", i) == 1)
+    return masks.groupBy("mask").agg(F.count("*").alias("n")).select(F.array_join(of, ",").alias("models"), "n")
+
+
+def error_jaccard(wrong: DataFrame, models: list[str]) -> DataFrame:
+    """``mask_jaccard`` of (model, sample_id) rows."""
+    return mask_jaccard(_masks(wrong, models), models)
+
+
+def common_errors(wrong: DataFrame, n_models: int) -> DataFrame:
+    """Samples that every one of ``n_models`` models gets wrong, from (model, sample_id) rows."""
     return wrong.groupBy("sample_id").agg(F.countDistinct("model").alias("_n")).filter(F.col("_n") == n_models).select("sample_id")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-FLOOR = 1e-6
+from .moments import deviation, vector_moments
 
 
 def quantiles(values: DataFrame, by: list[str], value: str, points: dict[str, float], accuracy: int = 10_000) -> DataFrame:
@@ -164,20 +166,22 @@ def trimmed_groups(gapped: DataFrame, value: str, gap: str = "gap_us", parts: tu
 
 
 def channel_stats(rows: DataFrame, vector: str, policy: str = "floor", by: list[str] | None = None) -> DataFrame:
-    """Mean and population deviation by channel in one pass.
+    """Count, mean and population deviation by channel in one pass over whole vectors.
 
     ``floor`` keeps variances at 1e-6 or more; ``unit`` turns deviations under 1e-6 into 1.
     """
-    by = by or []
-    long = rows.select(*by, F.posexplode(vector).alias("channel", "x"))
-    out = long.groupBy(*by, "channel").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.var_pop("x").alias("_v"))
-    if policy == "floor":
-        std = F.sqrt(F.greatest("_v", F.lit(FLOOR)))
-    elif policy == "unit":
-        std = F.when(F.sqrt("_v") < FLOOR, 1.0).otherwise(F.sqrt("_v"))
-    else:
-        raise ValueError(f"unknown policy {policy}")
-    return out.withColumn("std", std).drop("_v")
+    std = deviation(policy)
+    return vector_moments(rows, vector, by).select(*(by or []), "channel", "n", "mean", std.alias("std"))
+
+
+def train_stats(rows: DataFrame, vector: str, delta: str | None = "delta_t_ms") -> DataFrame:
+    """One row: means and floored deviations by channel, and those of ``delta``, which is scaled apart (0 and 1 without it)."""
+    v = F.col(vector).cast("array<double>")
+    stats = vector_moments(rows, F.concat(F.array(F.col(delta).cast("double") if delta else F.lit(None).cast("double")), v))
+    packed = stats.withColumn("std", deviation("floor")).agg(F.array_sort(F.collect_list(F.struct("channel", "mean", "std"))).alias("_s"))
+    own = F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(0)))
+    first = lambda c, none: F.coalesce(F.try_element_at("_s", F.lit(1))[c], F.lit(none))
+    return packed.select(own["mean"].alias("means"), own["std"].alias("stds"), first("mean", 0.0).alias("delta_mean"), first("std", 1.0).alias("delta_std"))
 
 
 def packed_stats(stats: DataFrame) -> DataFrame:
@@ -186,16 +190,21 @@ def packed_stats(stats: DataFrame) -> DataFrame:
     return rows.select(F.col("_s.mean").alias("means"), F.col("_s.std").alias("stds"))
 
 
+def _cell_moments(rows: DataFrame, matrix: str, by: list[str]) -> DataFrame:
+    """Moments by group, row and column of matrices whose rows are equally long; those of another width are counted apart."""
+    flat = rows.select(*by, F.size(F.get(F.col(matrix), F.lit(0))).alias("_w"), F.flatten(matrix).alias("_m")).filter("_w > 0")
+    cells = vector_moments(flat, "_m", [*by, "_w"])
+    return cells.withColumns({"row": F.floor(F.col("channel") / F.col("_w")).cast("int"), "column": (F.col("channel") % F.col("_w")).cast("int")}).drop("_w", "channel")
+
+
 def pixel_stats(rows: DataFrame, matrix: str) -> DataFrame:
     """Mean and floored deviation by cell of a matrix column."""
-    cells = rows.select(F.posexplode(matrix).alias("row", "_r")).select("row", F.posexplode("_r").alias("column", "x"))
-    return cells.groupBy("row", "column").agg(F.avg("x").alias("mean"), F.sqrt(F.greatest(F.var_pop("x"), F.lit(FLOOR))).alias("std"))
+    return _cell_moments(rows, matrix, []).select("row", "column", "mean", deviation("floor").alias("std"))
 
 
 def class_heatmap(rows: DataFrame, matrix: str, label: str) -> DataFrame:
     """Mean and deviation by class and cell, with the least and largest of each over all classes: the shared scale of their maps."""
-    cells = rows.select(label, F.posexplode(matrix).alias("row", "_r")).select(label, "row", F.posexplode("_r").alias("column", "x"))
-    maps = cells.groupBy(label, "row", "column").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    maps = _cell_moments(rows, matrix, [label]).select(label, "row", "column", "mean", deviation().alias("std"))
     scale = maps.agg(*(f(c).alias(f"{c}_{name}") for c in ("mean", "std") for name, f in (("min", F.min), ("max", F.max))))
     return maps.crossJoin(F.broadcast(scale))  # one row of bounds
 
@@ -217,10 +226,27 @@ def temporal_variation(cut: DataFrame, value: str) -> DataFrame:
     return cut.withColumn("mean_change", F.when(n > 1, change / (n - 1))).withColumn("_m", mean).withColumn("time_std", F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / n)).drop("_m")
 
 
+def vector_variation(cut: DataFrame, value: str) -> DataFrame:
+    """Per window of vectors: mean absolute step change, and the mean over carriers of their deviation over time; null for windows of no or ragged vectors."""
+
+    @F.pandas_udf("mean_change double, time_std double")
+    def vary(windows: pd.Series) -> pd.DataFrame:
+        out = []
+        for w in windows:
+            ragged = w is None or len(w) == 0 or len({-1 if v is None else len(v) for v in w}) > 1 or w[0] is None or len(w[0]) == 0
+            x = None if ragged else np.stack(w).astype(float)
+            out.append((None, None) if ragged else (float(np.abs(np.diff(x, axis=0)).mean()) if len(x) > 1 else None, float(x.std(0).mean())))
+        return pd.DataFrame(out, columns=["mean_change", "time_std"], index=windows.index)
+
+    return cut.withColumn("_v", vary(value)).select(*cut.columns, "_v.mean_change", "_v.time_std")
+
+
 def carrier_summary(packets: DataFrame, amplitude: str, phase: str) -> DataFrame:
-    """Mean and deviation of amplitude and deviation of phase, by carrier."""
-    cells = packets.select(F.posexplode(F.arrays_zip(F.col(amplitude).alias("a"), F.col(phase).alias("p"))).alias("carrier", "z"))
-    return cells.groupBy("carrier").agg(F.avg("z.a").alias("mean_amplitude"), F.stddev_pop("z.a").alias("std_amplitude"), F.stddev_pop("z.p").alias("std_phase"))
+    """Mean and deviation of amplitude and deviation of phase, by carrier; both vectors have as many."""
+    both = packets.select(F.size(amplitude).alias("_w"), F.concat(F.col(amplitude).cast("array<double>"), F.col(phase).cast("array<double>")).alias("_b")).filter("_w > 0")
+    cells = vector_moments(both, "_b", ["_w"]).withColumns({"carrier": (F.col("channel") % F.col("_w")).cast("int"), "_phase": F.col("channel") >= F.col("_w"), "_std": deviation()})
+    pick = lambda c, phase: F.max(F.when(F.col("_phase") == phase, F.col(c)))
+    return cells.groupBy("_w", "carrier").agg(pick("mean", False).alias("mean_amplitude"), pick("_std", False).alias("std_amplitude"), pick("_std", True).alias("std_phase")).drop("_w")
 
 
 def amplitude_phase_summary(packets: DataFrame, by: list[str], re: str, im: str) -> DataFrame:

@@ -51,7 +51,9 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 
 def rv(v: Column | str, digits: int = 6) -> Column:
-    return F.transform(v, lambda x: r(x.cast("double"), digits))
+    """By element, as DuckDB rounds: half away from zero, in doubles."""
+    m = float(10**digits)
+    return F.transform(v, lambda x: F.signum(x.cast("double")) * F.floor(F.abs(x.cast("double")) * m + 0.5) / m + F.lit(0.0))
 
 
 def q(x: str, digits: int = 6) -> str:
@@ -295,19 +297,20 @@ def gap_stats_ranged(spark, sf_dir):
     return S.file_stats(G.gaps(long_packets(spark, sf_dir), range_rows=16), long_sources=True).withColumns({"mean_gap": r("mean_gap", 2), "p90_gap": r("p90_gap", 2)})
 
 
+_KEYS = ["source", "segment_id", "step_index"]
 _ANGLE = "atan2(CAST(im[k] AS DOUBLE), CAST(re[k] AS DOUBLE))"
 
 
 @query(f"WITH {COMPLEX_STEPS} SELECT source, segment_id, step_index, {qv(f'list_transform(range(1, 33), lambda k: sin({_ANGLE}))', 5)} || {qv(f'list_transform(range(1, 33), lambda k: cos({_ANGLE}))', 5)} AS features FROM zsteps")
 def phase_sincos(spark, sf_dir):
-    return T.phase_sin_cos(complex_steps(spark, sf_dir), "re", "im").select("source", "segment_id", "step_index", rv("features", 5).alias("features"))
+    return T.phase_sin_cos(complex_steps(spark, sf_dir), "re", "im", kept=_KEYS).select("source", "segment_id", "step_index", rv("features", 5).alias("features"))
 
 
 @query(f"""WITH {COMPLEX_STEPS}, d AS (SELECT *, lag(re) OVER w AS pr, lag(im) OVER w AS pi FROM zsteps WINDOW w AS (PARTITION BY source, segment_id ORDER BY step_index))
     SELECT source, segment_id, step_index, {qv('''list_transform(range(1, 33), lambda k: atan2(CAST(im[k] AS DOUBLE) * pr[k] - CAST(re[k] AS DOUBLE) * pi[k], CAST(re[k] AS DOUBLE) * pr[k] + CAST(im[k] AS DOUBLE) * pi[k]))''', 5)} AS features
     FROM d WHERE pr IS NOT NULL""")
 def phase_tdiff(spark, sf_dir):
-    return T.phase_difference(complex_steps(spark, sf_dir), "re", "im").select("source", "segment_id", "step_index", rv("features", 5).alias("features"))
+    return T.phase_difference(complex_steps(spark, sf_dir), "re", "im", kept=_KEYS).select("source", "segment_id", "step_index", rv("features", 5).alias("features"))
 
 
 @query(f"""WITH {COMPLEX_STEPS}, l AS (SELECT source, segment_id, step_index, k, atan2(CAST(im[k] AS DOUBLE), CAST(re[k] AS DOUBLE)) AS x FROM (SELECT *, unnest(range(1, 33)) AS k FROM zsteps)),
@@ -315,7 +318,7 @@ def phase_tdiff(spark, sf_dir):
           WINDOW w AS (PARTITION BY source, segment_id, k ORDER BY step_index ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
     SELECT source, segment_id, step_index, {q('avg(sqrt(greatest(-2 * ln(least(greatest(sqrt(c * c + s * s), 1e-6), 1)), 0)))', 5)} AS mean_spread FROM m WHERE n > 5 GROUP BY ALL""")
 def phase_rolling_std(spark, sf_dir):
-    rows = T.phase_rolling_std(complex_steps(spark, sf_dir), "re", "im", 5)
+    rows = T.phase_rolling_std(complex_steps(spark, sf_dir), "re", "im", 5, kept=_KEYS)
     return rows.select("source", "segment_id", "step_index", r(V.mean("features"), 5).alias("mean_spread"))
 
 
@@ -578,6 +581,24 @@ def channel_stats_floor(spark, sf_dir):
     return S.channel_stats(table(spark, sf_dir, "embeddings"), "embedding").withColumns({"mean": r("mean"), "std": r("std")})
 
 
+@query(f"""WITH {COMPLEX_STEPS.replace("SELECT source, segment_id, step - m + i AS step_index,", "SELECT source, segment_id, step - m + i AS step_index, CASE WHEN NOT snapped THEN CAST(0 AS DOUBLE) WHEN i < m THEN 14400000000 / 1000.0::DOUBLE ELSE gap_us / 1000.0::DOUBLE END AS delta_t_ms,")},
+    c AS (SELECT unnest(range(1, 33)) AS k, CAST(unnest(re) AS DOUBLE) AS x FROM zsteps), s AS (SELECT k, avg(x) AS m, sqrt(greatest(var_pop(x), 1e-6)) AS d FROM c GROUP BY k)
+    SELECT (SELECT {qv('list(m ORDER BY k)', 5)} FROM s) AS means, (SELECT {qv('list(d ORDER BY k)', 5)} FROM s) AS stds, {q('avg(delta_t_ms)', 1)} AS delta_mean, {q('stddev_pop(delta_t_ms)', 1)} AS delta_std FROM zsteps""")
+def train_stats(spark, sf_dir):
+    rows = S.train_stats(complex_steps(spark, sf_dir), "re")
+    return rows.select(rv("means", 5).alias("means"), rv("stds", 5).alias("stds"), r("delta_mean", 1).alias("delta_mean"), r("delta_std", 1).alias("delta_std"))
+
+
+@query(f"""WITH {COMPLEX_STEPS}, sized AS (SELECT source, segment_id, count(*) AS n FROM zsteps GROUP BY ALL), cut AS (SELECT *, unnest(range(0, n - 7, 4)) AS start_index FROM sized WHERE n >= 8),
+    cells AS (SELECT c.source, c.segment_id, c.start_index, s.step_index, unnest(range(1, 33)) AS k, CAST(unnest(s.re) AS DOUBLE) AS x FROM cut c JOIN zsteps s ON s.source = c.source AND s.segment_id = c.segment_id AND s.step_index >= c.start_index AND s.step_index < c.start_index + 8),
+    moved AS (SELECT *, abs(x - lag(x) OVER (PARTITION BY source, segment_id, start_index, k ORDER BY step_index)) AS d FROM cells),
+    carriers AS (SELECT source, segment_id, start_index, k, avg(d) AS d, stddev_pop(x) AS t FROM moved GROUP BY ALL)
+    SELECT source, segment_id, CAST(start_index AS INTEGER) AS start_index, {q('avg(d)', 5)} AS mean_change, {q('avg(t)', 5)} AS time_std FROM carriers GROUP BY ALL""")
+def vector_variation(spark, sf_dir):
+    cut = W.step_windows(complex_steps(spark, sf_dir), ["re"], [8], 4)
+    return S.vector_variation(cut, "re").select("source", "segment_id", "start_index", r("mean_change", 5).alias("mean_change"), r("time_std", 5).alias("time_std"))
+
+
 @query(f"WITH c AS ({_CELLS}) SELECT CAST(channel AS INTEGER) AS channel, count(*) AS n, {q('avg(x)')} AS mean, {q('CASE WHEN stddev_pop(x) < 1e-6 THEN 1 ELSE stddev_pop(x) END')} AS std FROM c GROUP BY channel")
 def channel_stats_unit(spark, sf_dir):
     return S.channel_stats(table(spark, sf_dir, "embeddings"), "embedding", "unit").withColumns({"mean": r("mean"), "std": r("std")})
@@ -665,21 +686,33 @@ def best_epoch(spark, sf_dir):
     return M.best_epochs(_history(spark, sf_dir), {"first_best": "first", "last_best": "last", "loss_best": "loss"})
 
 
+MODELS = ["a", "b", "c"]
+
+
+def _masks(spark, sf_dir):
+    return M.error_masks(predictions(spark, sf_dir), MODELS)
+
+
 @query(f"""WITH {PREDICTIONS}, models AS (SELECT unnest(['a', 'b', 'c']) AS m), pairs AS (SELECT x.m AS l, y.m AS r FROM models x JOIN models y ON x.m < y.m),
     j AS (SELECT l, r, (SELECT count(*) FROM wrong a JOIN wrong b ON a.sample_id = b.sample_id AND a.model = l AND b.model = r) AS i, (SELECT count(DISTINCT sample_id) FROM wrong WHERE model IN (l, r)) AS u FROM pairs)
     SELECT l AS "left", r AS "right", i AS intersection, u AS "union", {q('CASE WHEN u = 0 THEN 1 ELSE CAST(i AS DOUBLE) / u END')} AS jaccard FROM j""")
 def error_jaccard(spark, sf_dir):
-    return M.error_jaccard(M.errors(predictions(spark, sf_dir)), ["a", "b", "c"]).withColumn("jaccard", r("jaccard"))
+    return M.mask_jaccard(_masks(spark, sf_dir), MODELS).withColumn("jaccard", r("jaccard"))
 
 
 @query(f"WITH {PREDICTIONS} SELECT sample_id FROM wrong GROUP BY sample_id HAVING count(*) = 3")
 def errors_common(spark, sf_dir):
-    return M.common_errors(M.errors(predictions(spark, sf_dir)), 3)
+    return M.mask_common(_masks(spark, sf_dir), MODELS)
 
 
 @query(f"WITH {PREDICTIONS} SELECT min(model) AS model, sample_id FROM wrong GROUP BY sample_id HAVING count(*) = 1")
 def errors_unique(spark, sf_dir):
-    return M.unique_errors(M.errors(predictions(spark, sf_dir)))
+    return M.mask_unique(_masks(spark, sf_dir), MODELS)
+
+
+@query(f"WITH {PREDICTIONS}, m AS (SELECT sample_id, string_agg(model, ',' ORDER BY model) AS models FROM wrong GROUP BY sample_id) SELECT models, count(*) AS n FROM m GROUP BY models")
+def error_mask_counts(spark, sf_dir):
+    return M.mask_counts(_masks(spark, sf_dir), MODELS)
 
 
 @query(f"WITH {PREDICTIONS} SELECT sample_id, truth AS \"true\", CAST(string_agg(model || '=' || CAST(pred AS VARCHAR), ',' ORDER BY model) AS VARCHAR) AS predictions FROM predictions GROUP BY ALL HAVING bool_or(truth <> pred)")
