@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators.normalise import normalised_amplitude, scale_factor
+from ..operators.selection import first_per_group
 from .csv_log import numbered_csv as numbered_csv
 
 
@@ -61,10 +62,34 @@ def labelled(rows: DataFrame, depth: int = 1) -> DataFrame:
     return rows.withColumn("label", F.element_at(F.split("source_csv", "/"), -1 - depth))
 
 
-def width_of(vectors: DataFrame, vector: str = "data") -> DataFrame:
-    """One row: the most frequent width and how many rows have another one."""
-    sizes = vectors.groupBy(F.size(vector).alias("width")).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max_by("width", "n").alias("width"), (F.sum("n") - F.max("n")).alias("other_rows"))
+def width_of(vectors: DataFrame, order: list[str], vector: str = "data") -> DataFrame:
+    """One row: the width of the first valid row in order, and how many rows have another one or no vector; no row without a valid one."""
+    valid = F.when(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()), F.size(vector))
+    sizes = vectors.groupBy(valid.alias("width")).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    found = sizes.agg(F.min_by("width", F.when(F.col("width").isNotNull(), F.col("first"))).alias("width"), F.map_from_entries(F.collect_list(F.struct(F.coalesce("width", F.lit(-1)).alias("w"), "n"))).alias("_n"), F.sum("n").alias("_all"))
+    return found.filter("width is not null").select("width", (F.col("_all") - F.element_at("_n", F.col("width"))).alias("other_rows"))
+
+
+def row_vectors(train: DataFrame, validation: DataFrame, order: list[str], vector: str = "data") -> tuple[DataFrame, DataFrame, int, int]:
+    """Rows of both splits that have the width of their split's first valid row, that width, and how many rows were skipped.
+
+    No valid row in a split, or other widths in the two, is an error.
+    """
+    found = [width_of(rows, order, vector).first() for rows in (train, validation)]
+    if None in found:
+        raise ValueError("no valid row")
+    if found[0].width != found[1].width:
+        raise ValueError(f"widths differ: {found[0].width} in train, {found[1].width} in validation")
+    fine = (F.size(vector) == found[0].width) & ~F.exists(vector, lambda x: x.isNull())
+    return train.filter(fine), validation.filter(fine), found[0].width, found[0].other_rows + found[1].other_rows
+
+
+def first_valid(rows: DataFrame, by: list[str], order: list, n: int) -> DataFrame:
+    """The first ``n`` rows of each group in order; an error if there is none at all."""
+    found = first_per_group(rows, by, order, n)
+    if found.isEmpty():
+        raise ValueError("no valid row")
+    return found
 
 
 def fan_out(rows: DataFrame) -> DataFrame:
@@ -80,6 +105,12 @@ def fan_out(rows: DataFrame) -> DataFrame:
     return out.withColumns({"data": V.list_text("_c"), "len": F.size("_c").cast("string")}).drop("_v", "_c")
 
 
+def variant_counters(spread: DataFrame) -> DataFrame:
+    """Rows of ``fan_out`` by variant: all, those without a valid vector, and the others."""
+    bad = (F.col("len") == "0").cast("long")
+    return spread.groupBy("variant").agg(F.count("*").alias("rows_seen"), F.sum(bad).alias("rows_invalid_length"), F.sum(1 - bad).alias("rows_written"))
+
+
 def only_second_field(rows: DataFrame) -> DataFrame:
     """One row for each row, cut to the second training field; invalid ones are ``len`` 0 and ``[]``."""
     return fan_out(rows).filter("variant = 'htltf_only'").drop("variant")

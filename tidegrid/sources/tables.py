@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import ranked
+
 
 def write_windows(cut: DataFrame, path: str, *by: str) -> None:
     """One Parquet table of all windows; variants are projections of it, splits a column."""
@@ -26,6 +28,29 @@ def channels(cut: DataFrame, variant: str) -> DataFrame:
     return cut.drop(*drop)
 
 
+def variants(cut: DataFrame) -> dict[str, DataFrame]:
+    """Every variant of a window table: projections of the one table."""
+    return {v: channels(cut, v) for v in ("interp_only", "interp_mask", "interp_mask_deltat")}
+
+
+def channel_first(cut: DataFrame, vector: str, mask: str | None = None, out: str = "channels") -> DataFrame:
+    """Windows with ``out``: an array a carrier over time, the mask as the last one; windows of vectors of one width."""
+    n = F.size(F.get(F.col(vector), F.lit(0)))
+    carriers = F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.transform(F.col(vector), lambda row: F.get(row, c).cast("double")))
+    carriers = F.when(n > 0, carriers)
+    both = F.concat(carriers, F.array(F.col(mask).cast("array<double>"))) if mask else carriers
+    return cut.withColumn(out, both)
+
+
+def class_windows(spark: SparkSession, path: str, names: list[str], by: str = "label", order: str = "window_path") -> DataFrame:
+    """The windows of some classes of a stored table, each read as its partition, together, with their place in their class's sorted listing (``position`` from 0)."""
+    parts = [read_windows(spark, path).filter(F.col(by) == name) for name in names]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return ranked(whole, [by], [F.col(order)], "position", "_n").withColumn("position", F.col("position") - 1).drop("_n")
+
+
 def probe(cut: DataFrame, vector: str = "amp") -> dict:
     """Which optional channels a window table has, and its vector width."""
     first = cut.select(F.size(F.element_at(vector, 1)) if cut.schema[vector].dataType.simpleString().startswith("array<array") else F.lit(1)).first()
