@@ -11,6 +11,7 @@ from ..functions import vectors as V
 from ..operators import features as T
 from ..operators import metrics as M
 from ..operators import models as L
+from ..operators import training
 from ..operators import windows as W
 from ..operators.ranges import ranked
 from ..sources import packets as P
@@ -241,3 +242,50 @@ def stored_run_features(spark, sf_dir):
     params, _, _, _, kernels = K.read_run(spark, path)
     rows = L.penultimate(table(spark, sf_dir, "embeddings"), L.rebuilt(params, kernels), "embedding", (64,))
     return rows.select("vec_id", rv("features", 5).alias("features"))
+
+
+_CELL = "SELECT vec_id, label, unnest(range(0, 65)) AS f, unnest(list_append(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), 1.0::DOUBLE)) AS x FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL"
+
+
+def _softmax_sql(epochs: int = 3, rate: float = 0.5) -> str:
+    """Full-batch gradient descent of a softmax regression from zero weights, an epoch a step."""
+    steps_ = ["n AS (SELECT max(label) + 1 AS c, count(*) AS n FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)", f"x AS MATERIALIZED ({_CELL})",
+        "w0 AS MATERIALIZED (SELECT f, c, 0.0::DOUBLE AS w FROM (SELECT unnest(range(0, 65)) AS f), (SELECT unnest(range(0, (SELECT c FROM n))) AS c))"]
+    for e in range(epochs):
+        steps_ += [f"z{e} AS MATERIALIZED (SELECT vec_id, label, c, sum(x * w) AS z FROM x JOIN w{e} USING (f) GROUP BY ALL)",
+            f"g{e} AS MATERIALIZED (SELECT vec_id, c, exp(z - max(z) OVER v) / sum(exp(z)) OVER v * exp(max(z) OVER v) - CASE WHEN label = c THEN 1 ELSE 0 END AS g FROM z{e} WINDOW v AS (PARTITION BY vec_id))",
+            f"w{e + 1} AS MATERIALIZED (SELECT f, c, any_value(w) - {rate} * sum(x * g) / (SELECT n FROM n) AS w FROM x JOIN g{e} USING (vec_id) JOIN w{e} USING (f, c) GROUP BY f, c)"]
+    return f"WITH {', '.join(steps_)} SELECT CAST(f AS INTEGER) AS feature, CAST(c AS INTEGER) AS class, {q('w')} AS weight FROM w{epochs}"
+
+
+@query(_softmax_sql())
+def softmax_training(spark, sf_dir):
+    """Weights of a network without hidden layers after three epochs of distributed gradient steps; feature 64 is the bias."""
+    rows = scratch.stored(table(spark, sf_dir, "embeddings").filter("embedding is not null and label is not null").select("embedding", "label"), "rows")
+    classes = rows.agg(F.max("label")).first()[0] + 1
+    model = L.Mlp([64, classes], 1)
+    model.params = {k: np.zeros_like(v) for k, v in model.params.items()}
+    step = L.Sgd(0.5, momentum=0.0)
+    for _ in range(3):
+        found = training.sums(rows, model, "embedding", "label", (64,))
+        step.step(model.params, {k[2:]: v / found["weight"] for k, v in found.items() if k.startswith("g.")})
+    weights = np.vstack([model.params["w0"], model.params["b0"]])
+    return spark.createDataFrame([(f, c, float(w)) for (f, c), w in np.ndenumerate(weights)], "feature int, class int, weight double").withColumn("weight", r("weight"))
+
+
+@query()
+def training_history(spark, sf_dir):
+    """An MLP fitted over all rows by distributed gradients; a fifth of them, by hash, is validation."""
+    rows = scratch.stored(table(spark, sf_dir, "embeddings").filter("embedding is not null and label is not null").select("vec_id", "embedding", "label"), "rows")
+    held = F.pmod(F.xxhash64("vec_id"), F.lit(5)) == 0
+    model = L.Mlp([64, 16, rows.agg(F.max("label")).first()[0] + 1], 1)
+    history = training.fit(rows.filter(~held), rows.filter(held), model, "embedding", "label", (64,), L.Adam(0.02), epochs=3, parts=2, key=F.col("vec_id"))
+    return spark.createDataFrame([tuple(h.values()) for h in history], "epoch int, train_loss double, train_accuracy double, validation_loss double, validation_accuracy double")
+
+
+@query()
+def grid_history(spark, sf_dir):
+    """Two configurations with two seeds each, a task a run."""
+    rows = table(spark, sf_dir, "embeddings")
+    configs = [{"hidden": [16], "optimiser": "adam", "rate": 0.01, "epochs": 3}, {"hidden": [16], "optimiser": "sgd", "rate": 0.05, "epochs": 3, "rho": 0.05}]
+    return training.fit_grid(rows, configs, [1, 2], "embedding", "label", "vec_id")
