@@ -95,8 +95,39 @@ def test_group_split_ties(spark):
 @pytest.mark.parametrize("sizes", [[3, 3, 3, 3, 3], [0, 5, 0, 5], [1, 2, 4, 8, 16, 32], [7, 7, 2, 0, 9, 4, 4]])
 def test_group_split_by_sums_equals_masks(spark, ties, sizes):
     totals = spark.createDataFrame([(f"g{i}", x) for i, x in enumerate(sizes)], "g string, n long")
-    split = lambda most: {r.g: r.is_train for r in X.group_split(totals, "g", "n", 0.6, ties, most).collect()}
-    assert split(0) == split(20)
+    split = lambda *most: {r.g: r.is_train for r in X.group_split(totals, "g", "n", 0.6, ties, *most).collect()}
+    assert split(0, 0) == split(0, 44) == split(20)
+
+
+@pytest.mark.parametrize("ties", ["size", "order"])
+def test_halves_equal_brute_force(spark, ties):
+    from itertools import combinations
+
+    rng = np.random.default_rng(4)
+    for n, top in ((2, 3), (3, 1), (7, 4), (10, 3), (10, 1000), (5, 0)):
+        sizes = rng.integers(0, top + 1, n).tolist()
+        target = sum(sizes) * 0.7
+        subsets = [c for k in range(1, n) for c in combinations(range(n), k)]
+        key = lambda c, s=sizes, t=target: (abs(sum(s[i] for i in c) - t), len(c), c) if ties == "size" else (abs(sum(s[i] for i in c) - t), c)
+        best = min((tuple(r.places), r.held) for r in X._nearest(sizes, target, spark, ties, 5).collect() if key(tuple(r.places)) == min(map(key, subsets)))
+        assert best[0] == min(subsets, key=key) and best[1] == sum(sizes[i] for i in best[0])
+
+
+@pytest.mark.parametrize("ties", ["size", "order"])
+def test_halves_equal_sums_on_22_groups(spark, ties):
+    sizes = np.random.default_rng(9).integers(1, 40, 22).tolist()
+    totals = spark.createDataFrame(list(enumerate(sizes)), "g int, n long")
+    split = lambda *most: {r.g: r.is_train for r in X.group_split(totals, "g", "n", 0.8, ties, *most).collect()}
+    assert split(20, 44) == split(20, 0)
+
+
+def test_forty_groups_of_any_size_in_no_shuffle(spark):
+    sizes = np.random.default_rng(3).integers(1, 10**9, 40).tolist()
+    found = X._nearest(sizes, sum(sizes) * 0.8, spark, "size")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    flags = {r.g: r.is_train for r in X.group_split(spark.createDataFrame(list(enumerate(sizes)), "g int, n long"), "g", "n").collect()}
+    held = sum(x for i, x in enumerate(sizes) if flags[i])
+    assert abs(held - sum(sizes) * 0.8) < 1000  # of 10 ** 12 subsets, one is that near
 
 
 def test_group_split_of_many_groups(spark):

@@ -542,6 +542,20 @@ def split_date(spark, sf_dir):
     return X.group_split(S.totals(days, ["day_group"]), "day_group", "n_rows", ties="order")
 
 
+@query(f"""WITH {FILES}, totals AS (SELECT source % 24 AS g, CAST(sum(row_count) AS BIGINT) AS n FROM files GROUP BY 1), numbered AS (SELECT g, n, row_number() OVER (ORDER BY g) - 1 AS i FROM totals),
+    goal AS (SELECT 0.8::DOUBLE * sum(n) AS t, count(*) AS k FROM numbered), half AS (SELECT unnest(range(0, 1 << 12)) AS mask),
+    low AS (SELECT mask, coalesce(sum(n), 0) AS s, count(n) AS c, coalesce(list(i ORDER BY i) FILTER (n IS NOT NULL), []) AS p FROM half LEFT JOIN numbered ON i < 12 AND (mask >> i) & 1 = 1 GROUP BY mask),
+    high AS (SELECT mask, coalesce(sum(n), 0) AS s, count(n) AS c, coalesce(list(i ORDER BY i) FILTER (n IS NOT NULL), []) AS p FROM half LEFT JOIN numbered ON i >= 12 AND (mask >> (i - 12)) & 1 = 1 GROUP BY mask),
+    sums AS (SELECT s, min(struct_pack(c := c, p := p)) AS b FROM high WHERE c BETWEEN 1 AND 11 GROUP BY s UNION ALL SELECT s, struct_pack(c := c, p := p) FROM high WHERE c NOT BETWEEN 1 AND 11),
+    pairs AS (SELECT l.s + h.s AS held, l.c + h.b.c AS size, l.p || h.b.p AS places FROM low l JOIN sums h ON l.s + h.s BETWEEN (SELECT t FROM goal) - 20 AND (SELECT t FROM goal) + 20),
+    best AS (SELECT places FROM pairs WHERE size BETWEEN 1 AND (SELECT k - 1 FROM goal) ORDER BY abs(held - (SELECT t FROM goal)), size, places LIMIT 1)
+    SELECT CAST(g AS BIGINT) AS day_group, list_contains(places, i) AS is_train FROM numbered, best""")
+def split_many_groups(spark, sf_dir):
+    """24 groups, by the sums of two halves."""
+    days = files(spark, sf_dir).withColumn("day_group", F.col("source") % 24)
+    return X.group_split(S.totals(days, ["day_group"]), "day_group", "n_rows")
+
+
 _LAST = "CASE WHEN row_number() OVER (PARTITION BY label ORDER BY first_us DESC, source DESC) <= greatest(1, round_even(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE, 0)) THEN 'validation' ELSE 'train' END"
 
 
