@@ -118,8 +118,18 @@ def _k_means_sql(rounds: int = 10) -> str:
         sha256(array_to_string(m, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} o ON o.c = b.c"""
 
 
+def exact_personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op4's result."""
+    return op4_crf_personal_data(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def exact_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op7's result."""
+    return op7_bottom_k_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
+    return {name: f for name, f in globals().items() if name.startswith(("op", "exact_")) and callable(f)}
 
 
 SQL = {
@@ -163,6 +173,21 @@ SQL = {
         g AS (SELECT doc_id, sum(gone) AS n_removed, string_agg(b, ' ' ORDER BY pos) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
     """,
+    "exact_personal_data_counts": r"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+            regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+') AS card, regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]') AS phone FROM t),
+        d AS (SELECT doc_id, email, list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda y: length(ltrim(y, '0')) > 3 OR coalesce(TRY_CAST(y AS INTEGER), 0) > 255)) = 0) AS ip,
+            list_filter(list_transform(card, lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))), lambda x: length(x) BETWEEN 12 AND 19) AS card,
+            list_filter(phone, lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 9 AND 15) AS phone FROM m)
+        SELECT doc_id, CAST(len(email) AS BIGINT) AS n_email, CAST(len(ip) AS BIGINT) AS n_ip,
+            CAST(len(list_filter(card, lambda x: list_sum(list_transform(range(0, length(x)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(x[i + 1] AS INTEGER) WHEN CAST(x[i + 1] AS INTEGER) > 4 THEN 2 * CAST(x[i + 1] AS INTEGER) - 9 ELSE 2 * CAST(x[i + 1] AS INTEGER) END)) % 10 = 0)) AS BIGINT) AS n_card,
+            CAST(len(phone) AS BIGINT) AS n_phone FROM d
+    """,
+    "exact_edited_texts": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS after FROM t)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substring(t, 1, CAST(n - n // 4 AS BIGINT)) || substring(after, 1, CAST(n // 4 AS BIGINT))) AS edited_sha256 FROM n
+    """,
     "op12_ball_k_means": _k_means_sql(),
     "op13_source_divergence": r"""
         WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
