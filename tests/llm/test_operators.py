@@ -127,6 +127,17 @@ def test_word_ids_equal_the_librarys():
         assert [t for t, x, y in zip(some, encode.by_word(some), encode._encode(some), strict=True) if x != y] == []
 
 
+def test_ids_depend_on_the_text_alone(monkeypatch):
+    """Even where words give other ids, whatever a worker saw before."""
+    texts = [prose(n % 40, n) for n in range(400)]
+    encoder = packing.WordEncoder(Q.vocabulary("word_bpe_49k.json"))
+    monkeypatch.setattr(encoder, "by_word", lambda some: [b"" for _ in some])
+    whole = dict(zip(texts, encoder._encode(texts), strict=True))
+    first = encoder(texts)
+    assert first == encoder(texts[::-1])[::-1] == [encoder([t])[0] for t in texts]
+    assert {b"" if x != whole[t] else x for t, x in zip(texts, first, strict=True)} != {b""} and all(x in (b"", whole[t]) for t, x in zip(texts, first, strict=True))
+
+
 def test_tokenizers_that_join_across_spaces_get_whole_texts(spark):
     assert packing.splits_at_spaces(Q.vocabulary("word_bpe_49k.json"))
     assert not packing.splits_at_spaces(Q.vocabulary("byte_bpe_50k.json"))

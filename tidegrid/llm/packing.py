@@ -167,11 +167,14 @@ class WordEncoder:
 
     For tokenizers that drop white space and never join across it, ids of a text are
     the ids of its words in a row. ``splits_at_spaces`` asks the tokenizer for that before
-    this class is used; besides, each worker holds one text of ``every`` against the
-    library's encoding of the whole text, and takes that for all texts once they differ.
+    this class is used, and it holds some fixed texts against the library's ids of the whole
+    texts, which it gives for all texts if they differ; besides, one text of ``every``, told by a hash of its beginning and its
+    length, is held against the library's encoding of the whole text and takes that if they
+    differ. So a text's ids depend on the text alone, in whichever worker or attempt.
     """
 
     every = 256
+    probes = ("The quick brown fox jumps over the lazy dog.", "a b  c\nd, e; 12 345-6 (x_y) don't", "Zoë's naïve café — 日本語 ok 🙂 A1B2 ...", "one two\tthree\r\nfour <|x|> 'five' \"six\"")
 
     #: Words that are kept: so many, and up to so many bytes, as longer ones seldom recur.
     limit, longest = 600_000, 11
@@ -188,7 +191,7 @@ class WordEncoder:
             self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
         self.bare = self._bare() if suffix else None
         self.known: dict[bytes, bytes] = {}
-        self.seen, self.whole = 0, False
+        self.whole = self.by_word(list(self.probes)) != list(self._encode(list(self.probes)))
 
     def _bare(self):
         """The tokenizer without the steps that leave words of a-z as they are, or None if it isn't byte-level."""
@@ -260,11 +263,9 @@ class WordEncoder:
         if self.whole or not texts:
             return list(self._encode(texts))
         out = self.by_word(texts)
-        tested = [i for i in range(len(texts)) if (self.seen + i) % self.every < (16 if self.seen + i < self.every else 1)]
-        self.seen += len(texts)
-        if [out[i] for i in tested] != list(self._encode([texts[i] for i in tested])):
-            self.whole = True
-            return list(self._encode(texts))
+        tested = [i for i, t in enumerate(texts) if (zlib.crc32(t[:64].encode("utf-8", "surrogatepass")) + len(t)) % self.every == 0]
+        for i, ids in zip(tested, self._encode([texts[i] for i in tested]) if tested else [], strict=True):
+            out[i] = ids
         return out
 
     def by_word(self, texts: list[str]) -> list[bytes]:
@@ -394,7 +395,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, window: int = 4096, w
     A source has a queue of its own if it has a weight or at least 1 / ``max_queues`` of
     all tokens. The others' queue is a schedule of a second level: each source's documents,
     in stretches of at most a window or one document, come at the moment that is their
-    share of their source, so they keep proportions too, to within a stretch each.
+    share of their source, so they keep proportions too, to within a stretch each. A very
+    long text is cut wherever a window ends; documents of one source and part come in the
+    order of their rows, which settles ties.
 
     ``by_word`` encodes distinct words once; by default where ``splits_at_spaces``.
     ``kept_words`` bounds the words whose ids a worker remembers, for speed only.
