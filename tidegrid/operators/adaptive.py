@@ -53,13 +53,23 @@ def fitted(gap: int, base: float, a: Adaptive) -> int | None:
     return found
 
 
+def advanced(gap: int, base: float, segment: int, a: Adaptive) -> tuple[int | None, str | None, float, int]:
+    """What a gap is, k or the reason of a split, and the base and the segment after it."""
+    k = fitted(gap, base, a)
+    if k is None:
+        return None, "nonpositive" if gap <= 0 else "long" if 0 < base * a.long_factor < gap else "unmatched", base, segment + 1
+    if k == 1:
+        alpha = 2.0 / (a.ema_span + 1.0)
+        base = alpha * gap + (1.0 - alpha) * base
+    return k, None, base, segment
+
+
 def adaptive_segments(log: DataFrame, a: Adaptive) -> DataFrame:
     """(source, row_no, gap_us, k, base_gap_us, segment_id, split_reason) of every row.
 
     ``k`` is null on a source's first row and on splits; ``base_gap_us`` is the base that
     the gap was held against; split_reason is nonpositive, long or unmatched.
     """
-    alpha = 2.0 / (a.ema_span + 1.0)
     w = Window.partitionBy("source").orderBy("row_no")
     rows = gaps(log).select("source", F.col("row_no").cast("long").alias("row_no"), F.col("gap_us").cast("long").alias("gap_us"), F.row_number().over(w).alias("_n"))
     rows = rows.join(base_gaps(log, a.initial_gaps).withColumnRenamed("base_gap_us", "_first"), "source", "left")
@@ -78,12 +88,7 @@ def adaptive_segments(log: DataFrame, a: Adaptive) -> DataFrame:
                 k = reason = None
                 used = base
                 if gap is not None:
-                    k = fitted(gap, base, a)
-                    if k is None:
-                        reason = "nonpositive" if gap <= 0 else "long" if 0 < base * a.long_factor < gap else "unmatched"
-                        segment += 1
-                    elif k == 1:
-                        base = alpha * gap + (1.0 - alpha) * base
+                    k, reason, base, segment = advanced(gap, base, segment, a)
                 out.append((k, used, reason, segment))
             columns = zip(*out, strict=True) if out else [()] * len(added)
             kept = ["source", "row_no", "gap_us"]
