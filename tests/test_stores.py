@@ -55,3 +55,36 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
         scratch.folder(Session())
     df = scratch.stored(spark.range(3), "x")
     assert df.count() == 3
+
+
+def test_bucketed_steps_are_read_without_an_exchange(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from tidegrid.operators import features as T
+
+    rows = [(s, g, i, float(i * s)) for s in range(6) for g in range(3) for i in range(9)]
+    steps = spark.createDataFrame(rows, "source int, segment_id int, step_index int, amp double").repartition(3)
+    table = K.write_steps(steps, "bucketed_steps", str(tmp_path / "steps"), 4)
+    try:
+        assert sorted(map(tuple, table.collect())) == rows
+        plans = {
+            "features": T.rolling_std(table, "amp", 2),
+            "windows": table.withColumn("m", F.max("amp").over(Window.partitionBy("source", "segment_id"))),
+            "join": table.join(table.groupBy("source", "segment_id").agg(F.count("*").alias("n")).hint("merge"), ["source", "segment_id"]),
+        }
+        for name, df in plans.items():
+            assert df.count() > 0
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString(), name
+    finally:
+        spark.sql("DROP TABLE bucketed_steps")
+
+
+def test_rows_are_counted_while_they_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("a", i % 2, i) for i in range(10)] + [("b", None, 1), ("c", 0, 2)], "g string, h int, k int").repartition(3)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("counted", "")
+    out = K.counted_write(rows, str(tmp_path / "w"), ["g", "h"], [("a", 0), ("a", 1), ("b", None), ("z", 9)], "g")
+    jobs = len(tracker.getJobIdsForGroup("counted"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {(r.g, r.h): r.n for r in out.collect()} == {("a", 0): 5, ("a", 1): 5, ("b", None): 1, ("z", 9): 0, (None, None): 1}
+    assert jobs <= 2 and spark.read.parquet(str(tmp_path / "w")).count() == 12  # the write and its shuffle

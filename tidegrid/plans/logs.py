@@ -11,12 +11,14 @@ from ..functions import vectors as V
 from ..operators import features as T
 from ..operators import metrics as M
 from ..operators import models as L
+from ..operators import splits as X
 from ..operators import training
 from ..operators import windows as W
 from ..operators.ranges import ranked
 from ..sources import packets as P
 from ..sources import scratch
 from ..sources import tables as K
+from . import catalogue
 from .catalogue import _WINDOWS, COMPLEX_STEPS, FILES, PREDICTIONS, STEPS, complex_steps, q, query, qv, r, rv, steps
 from .catalogue import P as PACKETS
 from .views import files, packets, predictions, table
@@ -151,6 +153,7 @@ def row_vectors(spark, sf_dir):
 
 # --- window tables ----------------------------------------------------------------------
 
+FILES_TABLE = """SELECT user_id AS source, CASE WHEN user_id % 2 = 0 THEN 'big' ELSE 'small' END AS label, epoch_us(min(ts)) AS first_us FROM events GROUP BY user_id"""
 _CELLS = f"""WITH {STEPS}{_WINDOWS}, cells AS (SELECT c.source, c.segment_id, c.start_index, s.* EXCLUDE (source, segment_id) FROM cut c JOIN steps s ON s.source = c.source AND s.segment_id = c.segment_id AND s.step_index >= c.start_index AND s.step_index < c.start_index + 8 WHERE c.window_length = 8)"""
 
 
@@ -174,6 +177,24 @@ def window_variants(spark, sf_dir):
     return out
 
 
+@query(catalogue._SQL["ma_residual"])
+def stored_ma_residual(spark, sf_dir):
+    """Steps in a bucketed table, features of what is read from it."""
+    kept = steps(spark, sf_dir).select("source", "segment_id", "step_index", "amp")
+    place = scratch.place(spark, "steps")
+    table_ = K.write_steps(kept, "steps_" + place.rpartition("-")[2], place, 8)
+    return T.transformed(table_, "ma", "amp", 5).select("source", "segment_id", "step_index", r("amp").alias("amp"))
+
+
+@query(f"{_CELLS}, w AS (SELECT DISTINCT source, segment_id, start_index FROM cells), f AS (SELECT source, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY first_us DESC, source DESC) <= greatest(1, round_even(count(*) OVER (PARTITION BY label) * 0.2::DOUBLE, 0)) THEN 'validation' ELSE 'train' END AS split FROM ({FILES_TABLE})) SELECT split, label, count(*) AS n FROM w JOIN f USING (source) GROUP BY ALL")
+def counted_windows(spark, sf_dir):
+    """Windows written by split and class, counted as they are written."""
+    split = X.time_file(files(spark, sf_dir), 0.2, time="first_us", name="source").select("source", "label", "split")
+    cut = W.window_starts(steps(spark, sf_dir), [8], 4).join(split, "source")
+    cells = [(s, c) for s in ("train", "validation") for c in ("big", "small")]
+    return K.counted_write(cut, scratch.place(spark, "windows"), ["split", "label"], cells, "split", "label").filter("n > 0")
+
+
 @query(f"""{_CELLS}, w AS (SELECT DISTINCT source, segment_id, start_index, CASE WHEN source % 2 = 0 THEN 'big' ELSE 'small' END AS label FROM cells),
     k AS (SELECT label, CAST(source AS VARCHAR) || '_seg' || CASE WHEN segment_id < 10 THEN '0' ELSE '' END || CAST(segment_id AS VARCHAR) || '_start' || lpad(CAST(start_index AS VARCHAR), 4, '0') AS window_path FROM w)
     SELECT label, window_path, row_number() OVER (PARTITION BY label ORDER BY window_path) - 1 AS position FROM k""")

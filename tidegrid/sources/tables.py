@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 import json
+from functools import reduce
+from operator import and_
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranges import ranked
@@ -42,6 +44,36 @@ def channel_first(cut: DataFrame, vector: str, mask: str | None = None, out: str
     return cut.withColumn(out, both)
 
 
+def write_steps(steps: DataFrame, name: str, path: str, buckets: int, order: str = "step_index") -> DataFrame:
+    """Steps as a table in buckets of (source, segment), each one file sorted by segment and step; read back.
+
+    Windows, joins and features by (source, segment) of what is read need no exchange.
+    """
+    keys = ["source", "segment_id"]
+    dealt = steps.repartition(buckets, *keys).sortWithinPartitions(*keys, order)
+    dealt.write.bucketBy(buckets, *keys).sortBy(*keys, order).option("path", path).mode("overwrite").saveAsTable(name)
+    return steps.sparkSession.table(name)
+
+
+def counted_write(rows: DataFrame, path: str, by: list[str], values: list[tuple], *partition: str) -> DataFrame:
+    """Write ``rows`` as Parquet and return their counts by the given ``values`` of ``by``, taken while they are written.
+
+    One job: the counts are metrics of the rows that pass. ``values`` that don't occur count 0;
+    rows of none of them are counted in a last row of nulls if there are any.
+    """
+    spark = rows.sparkSession
+    seen = Observation()
+    met = [reduce(and_, (F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(by, row, strict=True))) for row in values]
+    counts = [F.count(F.when(m, 1)).alias(f"n{i}") for i, m in enumerate(met)]
+    writer = rows.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.mode("overwrite")
+    (writer.partitionBy(*partition) if partition else writer).parquet(path)
+    found = seen.get
+    out = [(*row, found[f"n{i}"]) for i, row in enumerate(values)]
+    other = found["rows"] - sum(n for *_, n in out)
+    kinds = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in by]
+    return spark.createDataFrame([*out, *([(*[None] * len(by), other)] if other else [])], ", ".join([*kinds, "n long"]))
+
+
 def class_windows(spark: SparkSession, path: str, names: list[str], by: str = "label", order: str = "window_path") -> DataFrame:
     """The windows of some classes of a stored table, each read as its partition, together, with their place in their class's sorted listing (``position`` from 0)."""
     parts = [read_windows(spark, path).filter(F.col(by) == name) for name in names]
