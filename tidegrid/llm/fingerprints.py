@@ -89,8 +89,8 @@ def fingerprints(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     The edited text has its last quarter (rounded down) replaced by as many code points
     of the next document, by doc_id; the last document is followed by the first. A null
     text is empty, a null doc_id comes first, rows with one doc_id follow each other by a
-    hash of their text. Without words a fingerprint is empty. Further columns are ignored;
-    an empty table gives no row.
+    hash of their text. A very long text is sketched whole. Without words a fingerprint is
+    empty. Further columns are ignored; an empty table gives no row.
     """
     spark = docs.sparkSession
     shared.share_code(spark)

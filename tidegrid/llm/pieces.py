@@ -235,7 +235,11 @@ def encode_pieces(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
-    """doc_id and the text of piece ids; null ids give an empty text."""
+    """doc_id and the text of piece ids; null ids give an empty text.
+
+    Repeated rows are decoded each, a very long list whole; a null doc_id stays null; further
+    columns are ignored; an empty table gives no row.
+    """
     shared.share_code(encoded.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,8 +253,8 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
 def verify_pieces(docs: DataFrame, model: str) -> DataFrame:
     """Per document: its encoding, whether the sentencepiece library gives the same ids, and whether decoding returns the text.
 
-    Nulls are empty texts; repeated rows and further columns are kept apart and ignored;
-    an empty table gives no row. The library encodes and decodes each whole text:
+    Nulls are empty texts; repeated rows are encoded each, a very long text whole; further
+    columns are ignored; an empty table gives no row. The library encodes and decodes each whole text:
     ``same_ids`` compares its ids, ``decoded_same`` its decoding, ``round_trip`` the text itself.
     """
     shared.share_code(docs.sparkSession)
