@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .ranges import chosen_by_digest, ranked
 
 
@@ -137,8 +138,8 @@ def _reached(sizes: list[int], spark: SparkSession, ties: str) -> DataFrame:
         size = F.size("places")
         order = F.struct(size, "places") if ties == "size" else F.struct("places")
         front = both.groupBy("held", (size == 0).alias("_none"), (size == taken).alias("_all")).agg(F.min_by("places", order).alias("places"))
-        if taken % 16 == 0 and spark.sparkContext.getCheckpointDir():
-            front = front.checkpoint()
+        if taken % 16 == 0:
+            front = stored(front, "sums")
     return front.filter("not _none and not _all").select("held", "places")
 
 
