@@ -211,7 +211,7 @@ class Crf:
         k, x = len(TAGS), self.batch([_features(r) for r in rows], learn=True)
         self.shapes = sorted({_shape(t) for r in rows for t in r})
         self.heads = sorted({_head(t) for r in rows for t in r} - {""})
-        n, length, _ = x.shape
+        n, length, width = x.shape
         on = np.arange(length)[None] < np.array([len(r) for r in rows])[:, None]
         y = np.zeros((n, length), int)
         for i, t in enumerate(tags):
@@ -219,29 +219,33 @@ class Crf:
         w, trans = np.zeros((len(self.ids) + 1, k)), np.zeros((k + 1, k))
         moments = [np.zeros_like(p) for p in (w, w, trans, trans)]
         gold_w, gold_t = np.zeros_like(w), np.zeros_like(trans)
-        for f in range(x.shape[2]):
+        for f in range(width):
             np.add.at(gold_w, (x[..., f][on], y[on]), 1)
         np.add.at(gold_t, (k, y[:, 0]), 1)
         both = on[:, 1:]
         np.add.at(gold_t, (y[:, :-1][both], y[:, 1:][both]), 1)
+        flat = x[on]  # token x feature
+        names = np.where(flat < 0, len(w) - 1, flat).ravel()
         for step in range(1, steps + 1):
             w[-1] = 0
-            emit = w[x].sum(2)
-            fwd, bwd = np.zeros((n, length, k)), np.zeros((n, length, k))
-            fwd[:, 0] = trans[k] + emit[:, 0]
-            for t in range(1, length):
-                nxt = np.logaddexp.reduce(fwd[:, t - 1, :, None] + trans[None, :k], axis=1) + emit[:, t]
-                fwd[:, t] = np.where(on[:, t, None], nxt, fwd[:, t - 1])
+            score = w[flat].sum(1)
+            emit = np.ones((n, length, k))
+            emit[on] = np.exp(score - score.max(1, keepdims=True))
+            move = np.exp(trans[:k])
+            fwd, bwd, scale = np.zeros((n, length, k)), np.ones((n, length, k)), np.ones((n, length, 1))
+            for t in range(length):  # probabilities, each step's sum kept apart
+                now = (np.exp(trans[k]) if t == 0 else fwd[:, t - 1] @ move) * emit[:, t]
+                total = now.sum(1, keepdims=True)
+                fwd[:, t] = now / total if t == 0 else np.where(on[:, t, None], now / total, fwd[:, t - 1])
+                scale[:, t] = total
+            ahead = np.zeros((n, length, k))  # of the next word: emission and what follows, over its sum
             for t in range(length - 2, -1, -1):
-                nxt = np.logaddexp.reduce(trans[None, :k] + (emit[:, t + 1] + bwd[:, t + 1])[:, None], axis=2)
-                bwd[:, t] = np.where(on[:, t + 1, None], nxt, 0)
-            z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-            one = np.exp(fwd + bwd - z[:, None, None]) * on[..., None]
-            pair = np.exp(fwd[:, :-1, :, None] + trans[None, None, :k] + (emit + bwd)[:, 1:, None] - z[:, None, None, None]) * both[..., None, None]
-            grad_w, grad_t = gold_w.copy(), gold_t.copy()
-            for f in range(x.shape[2]):
-                np.subtract.at(grad_w, x[..., f][on], one[on])
-            grad_t[:k] -= pair.sum((0, 1))
+                ahead[:, t] = np.where(on[:, t + 1, None], emit[:, t + 1] * bwd[:, t + 1] / scale[:, t + 1], 0.0)
+                bwd[:, t] = np.where(on[:, t + 1, None], ahead[:, t] @ move.T, 1.0)
+            one = fwd * bwd
+            grad_w = gold_w - np.stack([np.bincount(names, np.repeat(one[on][:, j], width), len(w)) for j in range(k)], axis=1)
+            grad_t = gold_t.copy()
+            grad_t[:k] -= (fwd.reshape(-1, k).T @ ahead.reshape(-1, k)) * move
             grad_t[k] -= one[:, 0].sum(0)
             for p, g, i in ((w, grad_w, 0), (trans, grad_t, 2)):
                 g = g / n - l2 * p
