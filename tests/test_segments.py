@@ -1,6 +1,7 @@
 """Hand-worked logs through gaps, segments, fills and windows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegrid.operators import adaptive as A
 from tidegrid.operators import features as T
@@ -64,6 +65,16 @@ def test_vectors_fill_like_scalars(spark):
     assert [r.v for r in out][:3] == [[0.0, 0.0], [0.5, 1.0], [1.0, 2.0]]
 
 
+def test_vectors_met_by_key_fill_like_those_in_the_log(spark):
+    rows = log(spark, [0, 10, 40, 55, 65]).withColumn("k", (F.col("row_no") % 3).cast("int"))
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, -4.0]), (2, None)], "k int, v array<float>")
+    grid, columns = G.Grid(10, 4, 3), ["source", "segment_id", "step_index", "interp_mask", "delta_t_ms", "v"]
+    inside = G.resampled(rows.join(vectors, "k").drop("k", "amp"), grid, ["v"]).select(columns).collect()
+    by_key = G.resampled(rows.drop("amp"), grid, ["v"], vectors, ["k"])
+    assert set(columns) < set(by_key.columns) and not {"k", "prev_k", "prev_v"} & set(by_key.columns)
+    assert sorted(map(str, by_key.select(columns).collect())) == sorted(map(str, inside)) and len(inside) > 5
+
+
 def test_sources_do_not_touch(spark):
     one = steps(spark, [0, 10, 40])
     two = G.resampled(log(spark, [0, 10, 40]).union(log(spark, [7, 17]).selectExpr("'t'", "row_no", "t_us", "amp")), G.Grid(10, 4, 3), ["amp"])

@@ -54,6 +54,16 @@ def _ranged_gaps(log: DataFrame, values: list[str], range_rows: int) -> DataFram
     return rows.withColumns({"gap_us": F.col("t_us") - F.col("_prev.t_us")} | {f"prev_{v}": F.col(f"_prev.{v}") for v in values}).drop("_prev")
 
 
+def with_vectors(gapped: DataFrame, vectors: DataFrame, on: list[str], values: list[str]) -> DataFrame:
+    """Rows of ``gaps`` over the columns ``on`` with the values of ``vectors``, which has one row a key, and ``prev_{v}``.
+
+    So sorts and windows hold a key a row instead of its arrays and those of the row before.
+    """
+    before = vectors.select(*(F.col(k).alias(f"prev_{k}") for k in on), *(F.col(v).alias(f"prev_{v}") for v in values))
+    met = gapped.join(vectors.select(*on, *values), on, "left").join(before, [f"prev_{k}" for k in on], "left")
+    return met.drop(*on, *(f"prev_{k}" for k in on))
+
+
 def snapped(gapped: DataFrame, grid: Grid) -> DataFrame:
     """``n_steps`` (half-even, -1 for a gap that isn't positive) and ``snapped``."""
     n = F.when(F.col("gap_us") > 0, F.bround(F.col("gap_us") / F.lit(float(grid.step_us)), 0).cast("long")).otherwise(F.lit(-1).cast("long"))
@@ -75,7 +85,7 @@ def segmented(log: DataFrame, grid: Grid, values: list[str] | None = None) -> Da
     return rows.withColumns({"step": F.sum(F.when(F.col("snapped"), F.col("n_steps")).otherwise(0)).over(inside), "t0_us": F.first("t_us").over(inside)})
 
 
-def _blend(log: DataFrame, value: str, grid: Grid, observed: Column) -> Column:
+def _blend(rows: DataFrame, value: str, grid: Grid, observed: Column) -> Column:
     alpha = F.col("_i") / F.col("_n")
     now, before = F.col(value), F.col(f"prev_{value}")
 
@@ -88,26 +98,31 @@ def _blend(log: DataFrame, value: str, grid: Grid, observed: Column) -> Column:
             return F.when(alpha < 0.5, a).otherwise(b)
         raise ValueError(f"unknown fill {grid.fill}")
 
-    kind = log.schema[value].dataType.simpleString()
+    kind = rows.schema[value].dataType.simpleString()
     made = F.zip_with(before, now, mixed).cast(kind) if kind.startswith("array") else mixed(before, now).cast(kind)
     return F.when(observed, now).otherwise(made)
 
 
-def resampled(log: DataFrame, grid: Grid, values: list[str]) -> DataFrame:
+def resampled(log: DataFrame, grid: Grid, values: list[str], vectors: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
     """Rows on the grid: step_index, grid_t_us, interp_mask, delta_t_ms, the values, and where they come from.
 
     ``actual_t_us`` and ``source_row`` are null on filled rows. ``delta_t_ms`` is 0 at a
     segment's start, the step on filled rows and the whole gap on the row after a gap.
-    Complex values are two array columns, filled apart.
+    Complex values are two array columns, filled apart. Values may stand in ``vectors``, one
+    row for each key ``on`` of the log: then the log is scanned without them.
     """
-    if not grid.range_rows and any(log.schema[v].dataType.simpleString().startswith("array") for v in values):
+    held = log if vectors is None else vectors
+    if not grid.range_rows and any(held.schema[v].dataType.simpleString().startswith("array") for v in values):
         log = spread(log, "source")
-    rows = segmented(log, grid, values).withColumn("_n", F.when(F.col("snapped"), F.col("n_steps")).otherwise(F.lit(1).cast("long")))
+    rows = segmented(log, grid, values if vectors is None else on)
+    if vectors is not None:
+        rows = with_vectors(rows, vectors, on, values)
+    rows = rows.withColumn("_n", F.when(F.col("snapped"), F.col("n_steps")).otherwise(F.lit(1).cast("long")))
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
     seen = F.col("_i") == F.col("_n")
     at = F.col("step") - F.col("_n") + F.col("_i")
     delta = F.when(~F.col("snapped"), F.lit(0.0)).when(~seen, F.lit(grid.step_us / 1000.0)).otherwise(F.col("gap_us") / 1000.0)
-    kept = [c for c in log.columns if c not in {"t_us", "row_no", *values}]
+    kept = [c for c in log.columns if c not in {"t_us", "row_no", *values, *(on or [])}]
     return rows.select(
         *kept,
         "segment_id",
@@ -117,7 +132,7 @@ def resampled(log: DataFrame, grid: Grid, values: list[str]) -> DataFrame:
         F.when(seen, F.col("row_no")).alias("source_row"),
         (~seen).cast("int").alias("interp_mask"),
         delta.alias("delta_t_ms"),
-        *(_blend(log, v, grid, seen).alias(v) for v in values),
+        *(_blend(rows, v, grid, seen).alias(v) for v in values),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -148,19 +150,23 @@ def bucket_counts(gapped: DataFrame, step: int, tolerance: int, most: int = 3) -
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # a few rows
 
 
-def trimmed_groups(gapped: DataFrame, value: str, gap: str = "gap_us", parts: tuple[str, str] | None = None) -> DataFrame:
+def trimmed_groups(gapped: DataFrame, value: str, gap: str = "gap_us", parts: tuple[str, str] | None = None, attach: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Gaps up to the 99th percentile in small and large groups (quartiles): count, mean gap, mean absolute value change.
 
     ``parts`` names real and imaginary arrays (with ``prev_`` ones): then also ``complex_rmse``,
     the root of the mean squared distance between a row's carriers and the row's before.
+    ``attach`` adds the arrays to rows that lack them; they are met once the quantiles are known.
     """
     present = gapped.filter(F.col(gap).isNotNull())
     cuts = quantiles(present, [], gap, {"_a": 0.25, "_b": 0.75, "_z": 0.99})
     rows = present.crossJoin(F.broadcast(cuts)).filter(F.col(gap) <= F.col("_z"))  # one row of cuts
     group = F.when(F.col(gap) <= F.col("_a"), "small").when(F.col(gap) >= F.col("_b"), "large").otherwise("middle")
     more = []
+    if attach:
+        rows = attach(rows)
     if parts:
-        off = [F.aggregate(F.zip_with(c, f"prev_{c}", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda s, x: s + x) for c in parts]
+        apart = lambda x, y: x.cast("double") - y.cast("double")
+        off = [F.aggregate(F.zip_with(c, f"prev_{c}", lambda x, y: apart(x, y) * apart(x, y)), F.lit(0.0), lambda s, x: s + x) for c in parts]
         more = [F.sqrt(F.sum(off[0] + off[1]) / F.sum(F.size(parts[0]))).alias("complex_rmse")]
     return rows.groupBy(group.alias("gap_group")).agg(F.count("*").alias("n"), F.avg(gap).alias("mean_gap"), F.avg(F.abs(F.col(value) - F.col(f"prev_{value}"))).alias("mean_change"), *more)
 

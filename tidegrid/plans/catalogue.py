@@ -20,7 +20,7 @@ from ..operators import splits as X
 from ..operators import statistics as S
 from ..operators import windows as W
 from ..sources import tables as K
-from .views import GRID, LONG_GRID, OVERLAP_HIGH, OVERLAP_LOW, complex_packets, files, long_packets, packets, predictions, table
+from .views import GRID, LONG_GRID, OVERLAP_HIGH, OVERLAP_LOW, VECTOR, complex_packets, files, long_packets, packets, predictions, table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -131,7 +131,8 @@ def steps(spark: SparkSession, sf_dir: str, fill: str = "linear") -> DataFrame:
 
 
 def complex_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.resampled(complex_packets(spark, sf_dir).drop("event_id", "amp"), GRID, ["re", "im"])
+    log, vectors = complex_packets(spark, sf_dir)
+    return G.resampled(log.drop("event_id", "amp"), GRID, ["re", "im"], vectors, VECTOR)
 
 
 # --- gaps and their statistics --------------------------------------------------------
@@ -950,8 +951,8 @@ def amplitude_phase_summary(spark, sf_dir):
     o AS (SELECT *, list_sum(list_transform(range(1, 33), lambda k: (CAST(re[k] AS DOUBLE) - pr[k]) * (CAST(re[k] AS DOUBLE) - pr[k]) + (CAST(im[k] AS DOUBLE) - pi[k]) * (CAST(im[k] AS DOUBLE) - pi[k]))) AS d FROM gaps WHERE gap_us IS NOT NULL)
     SELECT CASE WHEN gap_us <= a THEN 'small' WHEN gap_us >= b THEN 'large' ELSE 'middle' END AS gap_group, count(*) AS n, {q('avg(abs(amp - prev_amp))')} AS mean_change, {q('sqrt(sum(d) / (32 * count(*)))', 5)} AS complex_rmse FROM o, c WHERE gap_us <= z GROUP BY 1""")
 def gap_trimmed_rmse(spark, sf_dir):
-    rows = complex_packets(spark, sf_dir).withColumns({c: F.col(c).cast("array<double>") for c in ("re", "im")})
-    found = S.trimmed_groups(G.gaps(rows, ["amp", "re", "im"]), "amp", parts=("re", "im"))
+    log, vectors = complex_packets(spark, sf_dir)
+    found = S.trimmed_groups(G.gaps(log, ["amp", *VECTOR]), "amp", parts=("re", "im"), attach=lambda rows: G.with_vectors(rows, vectors, VECTOR, ["re", "im"]))
     return found.select("gap_group", "n", r("mean_change").alias("mean_change"), r("complex_rmse", 5).alias("complex_rmse"))
 
 

@@ -18,6 +18,8 @@ LONG_GRID = replace(GRID, range_rows=16)
 #: 32 carriers: 0 to 9 stand for the first field, 10 to 31 for the second; 10 to 19 overlap.
 LOW, HIGH = list(range(10)), list(range(10, 32))
 OVERLAP_LOW, OVERLAP_HIGH = list(range(10)), list(range(10))
+#: The key of a packet's vector.
+VECTOR = ["_v", "_copy"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,12 +38,19 @@ def long_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(events, ["source"], [F.col("t_us"), F.col("event_id")], "row_no", "_n").drop("_n")
 
 
-def complex_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Complex packet log: 32 carriers from the embedding with the event's number, modulo their count."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_v"), "embedding")
-    n = vectors.agg(F.count("*").alias("_n"))
+def complex_packets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Complex packet log in two tables: packets with the key (``VECTOR``) of their vector, and ``re`` and ``im`` by key.
+
+    A packet has the 32 carriers of the embedding with the event's number, modulo their count;
+    one without is left out, and copies of a vec_id are numbered. Logs are scanned with the
+    keys, and ``segments.with_vectors`` brings the carriers to what is left.
+    """
+    rows = table(spark, sf_dir, "embeddings")
+    n = rows.agg(F.count("*").alias("_n"))
+    copy = F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))
+    vectors = rows.filter("vec_id is not null").select(F.col("vec_id").alias("_v"), copy.alias("_copy"), V.real("embedding").alias("re"), V.imag("embedding").alias("im"))
     numbered = packets(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("_v", F.col("event_id") % F.col("_n"))  # one row: the count
-    return numbered.join(vectors, "_v").withColumns({"re": V.real("embedding"), "im": V.imag("embedding")}).drop("_v", "_n", "embedding")
+    return numbered.join(vectors.select(*VECTOR), "_v").drop("_n"), vectors
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
