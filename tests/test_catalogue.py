@@ -38,14 +38,26 @@ def test_packets_are_scanned_without_their_vectors(spark, sf_dir, name):
     assert "lag(t_us" in plan and "lag(re" not in plan and "lag(im" not in plan
 
 
+def test_no_packet_is_shuffled_with_its_vector(spark, sf_dir):
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.queries()["gap_trimmed_rmse"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("most", [50_000, 2])
 @pytest.mark.parametrize(("name", "copies"), [("gap_trimmed_rmse", 1), ("gap_trimmed_rmse", 2), ("resample_complex", 1)])
-def test_vectors_that_are_missing_or_repeated(spark, tmp_path, name, copies):
+def test_vectors_that_are_missing_or_repeated(spark, tmp_path, monkeypatch, name, copies, most):
     """Some numbers have no vector, 3 may have two (alike), one vector has no number; copies leave ties to segments' SQL."""
     import random
 
     import duckdb
     from pyspark.sql import functions as F
 
+    monkeypatch.setattr("tidegrid.plans.views.MOST_VECTORS", most)
     rng = random.Random(5)
     sf_dir, hour = str(tmp_path), 3_600_000_000
     events = [(i, rng.randrange(400) * hour, rng.randrange(3), rng.random()) for i in range(300)]

@@ -18,8 +18,9 @@ LONG_GRID = replace(GRID, range_rows=16)
 #: 32 carriers: 0 to 9 stand for the first field, 10 to 31 for the second; 10 to 19 overlap.
 LOW, HIGH = list(range(10)), list(range(10, 32))
 OVERLAP_LOW, OVERLAP_HIGH = list(range(10)), list(range(10))
-#: The key of a packet's vector.
+#: The key of a packet's vector, and how many vectors are broadcast: 16 MB at 64 floats each.
 VECTOR = ["_v", "_copy"]
+MOST_VECTORS = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +44,15 @@ def complex_packets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
 
     A packet has the 32 carriers of the embedding with the event's number, modulo their count;
     one without is left out, and copies of a vec_id are numbered. Logs are scanned with the
-    keys, and ``segments.with_vectors`` brings the carriers to what is left.
+    keys, and ``segments.with_vectors`` brings the carriers to what is left. Up to
+    ``MOST_VECTORS`` are broadcast, so that no row is shuffled with its carriers.
     """
     rows = table(spark, sf_dir, "embeddings")
     n = rows.agg(F.count("*").alias("_n"))
     copy = F.row_number().over(Window.partitionBy("vec_id").orderBy("embedding"))
     vectors = rows.filter("vec_id is not null").select(F.col("vec_id").alias("_v"), copy.alias("_copy"), V.real("embedding").alias("re"), V.imag("embedding").alias("im"))
+    if rows.limit(MOST_VECTORS + 1).count() <= MOST_VECTORS:
+        vectors = F.broadcast(vectors)  # a bound of our own
     numbered = packets(spark, sf_dir).crossJoin(F.broadcast(n)).withColumn("_v", F.col("event_id") % F.col("_n"))  # one row: the count
     return numbered.join(vectors.select(*VECTOR), "_v").drop("_n"), vectors
 
