@@ -137,6 +137,13 @@ def test_group_split_of_many_groups(spark):
     assert sum(1 + i % 3 for i in held) == 24 and held == [2, 5, 8, 11, 14, 17, 20, 23]
 
 
+def test_group_split_whose_nearest_subset_is_far(spark):
+    """sf0.1's 24 groups: no subset is within 217 rows of the target; the one 218 off leaves out the five smallest."""
+    sizes = [4298, 4073, 4196, 4082, 4309, 4194, 4335, 4251, 4290, 4146, 4193, 4142, 4144, 4137, 4108, 4203, 4287, 4041, 4144, 4151, 4072, 4172, 4056, 3976]
+    flags = {r.g: r.is_train for r in X.group_split(spark.createDataFrame(list(enumerate(sizes)), "g int, n long"), "g", "n").collect()}
+    assert [g for g in range(24) if not flags[g]] == [1, 17, 20, 22, 23]
+
+
 def test_quantiles_by_source_are_exact(spark):
     rng = np.random.default_rng(5)
     rows = [(s, i, i * 10, int(g) if g > 3 else None) for s, n in (("a", 31), ("b", 1), ("c", 2), ("d", 40)) for i, g in enumerate(rng.integers(0, 60, n))]
